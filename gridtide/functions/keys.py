@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the key's text form, unpadded; a year has four digits.
-KEY_PATTERN = r"^(-?\d{1,18})-(\d{4})-(\d{1,3})-(\d{1,2})$"
+# Between the parts of a key, and the format of its year and day of year.
+SEPARATOR = "-"
+DAY_FORMAT = "yyyy-D"
 
 
 def date_parts(ts: Column) -> dict[str, Column]:
@@ -20,20 +21,17 @@ def epoch_millis(ts: Column) -> Column:
 
 
 def composite_key(id_: Column, date: Column, hour: Column) -> Column:
-    return F.concat_ws("-", id_, F.year(date), F.dayofyear(date), hour)
-
-
-def from_composite_key(key: Column) -> Column:
-    """``struct(id, date, hour)`` of a key text, null unless it is a key's exact text.
-
-    Joining on the three typed columns replaces a join on the text, so a text
-    that merely resembles a key (``7-2014-010-9``) must not start matching.
-    """
-
-    def part(i: int, kind: str) -> Column:
-        return F.regexp_extract(key, KEY_PATTERN, i).try_cast(kind)
-
-    id_, hour = part(1, "bigint"), part(4, "int")
-    date = F.date_add(F.make_date(part(2, "int"), F.lit(1), F.lit(1)), part(3, "int") - 1)
-    parsed = F.struct(id_.alias("id"), date.alias("date"), hour.alias("hour"))
-    return F.when(hour.between(0, 23) & (composite_key(id_, date, hour) == key), parsed)
+    return F.concat_ws(SEPARATOR, id_, F.year(date), F.dayofyear(date), hour)
+
+
+def key_columns(key: Column) -> dict[str, Column]:
+    """``id, date, hour`` of a key text, null where a part cannot be read."""
+    # Counted from the end: the id may start with a minus sign.
+    tail = F.substring_index(key, SEPARATOR, -3)
+    id_ = F.left(key, F.length(key) - F.length(tail) - 1)
+    day = F.try_to_timestamp(F.substring_index(tail, SEPARATOR, 2), F.lit(DAY_FORMAT))
+    return {
+        "id": id_.try_cast("bigint"),
+        "date": day.cast("date"),
+        "hour": F.substring_index(tail, SEPARATOR, -1).try_cast("int"),
+    }

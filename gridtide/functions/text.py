@@ -31,7 +31,7 @@ def count_text(n: Column) -> Column:
     """A count cut (not rounded) to its unit; one decimal, only below ten units."""
     n = n.cast("bigint")
     # The smallest long has no positive counterpart; its neighbour reads the same.
-    size = F.abs(F.greatest(n, F.lit(LONG_MIN + 1)))
+    size = F.abs(F.when(n == LONG_MIN, n + 1).otherwise(n))
 
     def scaled(power: int, unit: str) -> Column:
         tenths = _whole_div(size, F.lit(1000**power // 10))

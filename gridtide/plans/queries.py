@@ -18,7 +18,7 @@ from gridtide.functions import (
     count_text,
     date_parts,
     epoch_millis,
-    from_composite_key,
+    key_columns,
 )
 from gridtide.operators import detect as D
 from gridtide.operators import model as M
@@ -96,9 +96,9 @@ def _model(spark: SparkSession, sf_dir: str, mode: str = "trailing", **kwargs) -
 
 
 def _published(spark: SparkSession, sf_dir: str, mode: str = "trailing") -> DataFrame:
-    """The model as it comes back from its published text: two decimals."""
-    lines = M.model_lines(_model(spark, sf_dir, mode))
-    return parse_model(lines, on_duplicate="fanout")
+    """The model as a detection job gets it: published as text, two decimals, and loaded."""
+    path = publish_model(_model(spark, sf_dir, mode), scratch_folder(spark, "expected"))
+    return load_model(spark, path, on_duplicate="fanout")
 
 
 # ---- scans, parsing, scalar functions -------------------------------------
@@ -149,7 +149,7 @@ def composite_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key text, its parts, and the parts read back from the text."""
     keyed = M.with_hour_key(tables.events(spark, sf_dir))
     with_key = keyed.withColumn("key", _key(keyed)).withColumns(date_parts(F.col("ts")))
-    back = from_composite_key(F.col("key"))
+    back = key_columns(F.col("key"))
     return with_key.select(
         "event_id",
         "key",
@@ -270,7 +270,9 @@ def _model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = tables.events(spark, sf_dir).select("id").distinct()
     cut = ids.select(F.col("id").cast("string").alias("value"), F.lit(2).alias("part"))
     empty = ids.select(F.lit("").alias("value"), F.lit(2).alias("part"))
-    return first.unionByName(second).unionByName(cut).unionByName(empty)
+    path = scratch_folder(spark, "model-lines")
+    first.unionByName(second).unionByName(cut).unionByName(empty).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @_registered

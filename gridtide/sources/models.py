@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtide.functions.keys import from_composite_key
+from gridtide.functions.keys import composite_key, key_columns
 from gridtide.operators.parse import SEPARATOR, non_empty
 from gridtide.sources.files import LINE_ORDER, read_lines
 
@@ -30,17 +30,18 @@ def parse_model(
     """``id, date, hour, expected`` from ``key,number`` lines.
 
     Empty and malformed lines are skipped.  Of several lines for a key the last
-    in ``order`` counts (``last``), or all of them stay (``fanout``).  A key that
-    no reading can have is left out: it would match nothing.
+    in ``order`` counts (``last``), or all of them stay (``fanout``).  The key is
+    kept as three typed columns, cheaper to join on than its text; a text that
+    only resembles a key (``7-2014-010-9``) matches no reading and is left out.
     """
     if on_duplicate not in ON_DUPLICATE:
         raise ValueError(f"unknown on_duplicate: {on_duplicate}")
     good = (
         _tagged(lines)
         .where(F.col("expected").isNotNull())
-        .withColumn("hour_key", from_composite_key(F.col("key")))
-        .where(F.col("hour_key").isNotNull())
-        .select("hour_key.*", "expected", *(order if on_duplicate == "last" else ()))
+        .withColumns(key_columns(F.col("key")))
+        .where(composite_key(F.col("id"), F.col("date"), F.col("hour")) == F.col("key"))
+        .select("id", "date", "hour", "expected", *(order if on_duplicate == "last" else ()))
     )
     if on_duplicate == "fanout":
         return good
