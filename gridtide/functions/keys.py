@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Between the parts of a key, and the format of its year and day of year.
+# Fixed value: between the parts of a key.
 SEPARATOR = "-"
-DAY_FORMAT = "yyyy-D"
 
 
 def date_parts(ts: Column) -> dict[str, Column]:
@@ -29,9 +28,10 @@ def key_columns(key: Column) -> dict[str, Column]:
     # Counted from the end: the id may start with a minus sign.
     tail = F.substring_index(key, SEPARATOR, -3)
     id_ = F.left(key, F.length(key) - F.length(tail) - 1)
-    day = F.try_to_timestamp(F.substring_index(tail, SEPARATOR, 2), F.lit(DAY_FORMAT))
+    new_year = F.concat(F.substring_index(tail, SEPARATOR, 1), F.lit("-01-01")).try_cast("date")
+    day = F.split_part(tail, F.lit(SEPARATOR), F.lit(2)).try_cast("int")
     return {
         "id": id_.try_cast("bigint"),
-        "date": day.cast("date"),
+        "date": F.date_add(new_year, F.when(day.between(1, 366), day - 1)),
         "hour": F.substring_index(tail, SEPARATOR, -1).try_cast("int"),
     }

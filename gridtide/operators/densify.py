@@ -224,28 +224,41 @@ def interpolate_lines(
         into=NEXT,
     )
 
-    def typed(fields: Column, spec: FieldInterp) -> Column:
-        text = F.get(fields, F.lit(spec.position))
-        return F.to_timestamp(text, spec.fmt) if spec.kind == "date" else F.trim(text)
-
-    first, second, i = F.col("_first"), F.col("_second"), F.col(STEP)
     # Of two interpolators for one position the later one counts.
-    at = {
-        s.position: _value_at(s, typed(first, s), typed(second, s), i, n).cast("string")
-        for s in known
-    }
+    by_position = {s.position: s for s in known}
+    chosen = [by_position[p] for p in sorted(by_position)]
+
+    def end_of(fields: Column, spec: FieldInterp) -> Column:
+        text = F.get(fields, F.lit(spec.position))
+        if spec.kind == "date":
+            return F.to_timestamp(text, spec.fmt)
+        return F.trim(text).cast("double" if spec.kind == "double" else "bigint")
 
-    def stepped(text: Column, position: Column) -> Column:
-        for chosen, value_at in at.items():
-            text = F.when(position == chosen, value_at).otherwise(text)
-        return text
+    def kept(start: int, stop: int | None) -> Column:
+        """The earlier record's fields from start up to stop, null where there are none."""
+        length = F.size("_first") - start if stop is None else F.lit(stop - start)
+        part = F.slice("_first", F.lit(start + 1), F.greatest(length, F.lit(0)))
+        return F.when(F.size(part) > 0, F.array_join(part, SEPARATOR))
 
-    text = F.transform(first, stepped)
+    # All parsing is done once per pair; a step only computes and joins texts.
     split = pairs.where(F.col(NEXT).isNotNull()).withColumns(
         {"_first": _fields(F.col(value)), "_second": _fields(F.col(NEXT)[value])}
     )
-    return (
-        split.withColumn(STEP, _steps(n) if n > 0 else F.explode(F.array().cast("array<int>")))
-        .withColumn(value, F.array_join(text, SEPARATOR))
-        .drop("_first", "_second", "_id", NEXT, STEP)
-    )
+    pieces, place = {}, 0
+    for k, spec in enumerate(chosen):
+        pieces[f"_kept{k}"] = kept(place, spec.position)
+        pieces[f"_from{k}"] = end_of(F.col("_first"), spec)
+        pieces[f"_to{k}"] = end_of(F.col("_second"), spec)
+        place = spec.position + 1
+    pieces["_rest"] = kept(place, None)
+    carried = [c for c in lines.columns if c != value]
+    parsed = split.withColumns(pieces).select(*carried, *pieces)
+    if n < 1:
+        parsed, n = parsed.where(F.lit(False)), 1
+    i = F.col(STEP)
+    texts = []
+    for k, spec in enumerate(chosen):
+        at = _value_at(spec, F.col(f"_from{k}"), F.col(f"_to{k}"), i, n).cast("string")
+        texts += [F.col(f"_kept{k}"), at]
+    line = F.concat_ws(SEPARATOR, *texts, F.col("_rest"))
+    return parsed.withColumn(STEP, _steps(n)).withColumn(value, line).select(*lines.columns)

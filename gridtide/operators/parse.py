@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridtide.schemas import TIMESTAMP_FORMAT
-
 SEPARATOR = ","
+# Fixed value: how a reading's time is written.
+TIMESTAMP_PATTERN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
 
 
 def field(line: Column, position: int) -> Column:
@@ -15,6 +15,15 @@ def field(line: Column, position: int) -> Column:
     return F.trim(F.get(F.split(line, SEPARATOR), F.lit(position)))
 
 
+def strict_timestamp(text: Column) -> Column:
+    """The time a ``yyyy-MM-dd HH:mm:ss`` text stands for, null for every other text.
+
+    The cast alone would also take other forms; the pattern rules them out, and
+    both together cost a fraction of parsing with a format.
+    """
+    return F.when(text.rlike(TIMESTAMP_PATTERN), text.try_cast("timestamp"))
+
+
 def non_empty(lines: DataFrame, value: str = "value") -> DataFrame:
     return lines.where(F.length(value) > 0)
 
@@ -32,7 +41,7 @@ def tag_readings(lines: DataFrame, value: str = "value") -> DataFrame:
             "ts_text": field(line, 1),
             "consumption": field(line, 2).try_cast("double"),
         }
-    ).withColumn("ts", F.try_to_timestamp("ts_text", F.lit(TIMESTAMP_FORMAT)))
+    ).withColumn("ts", strict_timestamp(F.col("ts_text")))
     reason = (
         F.when(F.col("id").isNull(), "bad id")
         .when(F.col("ts").isNull(), "bad timestamp")

@@ -54,14 +54,26 @@ def _first_lines(count: int):
     return read
 
 
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, length`` of the files directly in a folder, empty ones included.
+
+    File scans leave empty files out, so the folder is listed through Hadoop,
+    on the driver, as Spark itself does before a scan.
+    """
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = path.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(path)
+    found = [(f.getPath().toString(), f.getLen()) for f in listed if f.isFile()]
+    return spark.createDataFrame(found, "path string, length bigint")
+
+
 def catalog(spark: SparkSession, folder: str, lines_shown: int = PREVIEW_LINES) -> DataFrame:
     """``dataset_name, size, shown_size, preview`` of every file in a folder.
 
     Names and sizes come from the listing alone.  Tasks open the files to read
     the first lines only; a scan would read every file to its end for them.
     """
-    files = spark.read.format("binaryFile").load(folder).select("path", "length")
-    with_heads = files.mapInPandas(
+    with_heads = list_files(spark, folder).mapInPandas(
         _first_lines(lines_shown), "path string, length bigint, preview array<string>"
     )
     return with_heads.select(

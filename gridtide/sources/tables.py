@@ -30,7 +30,7 @@ def as_readings(events_table: DataFrame) -> DataFrame:
 
 def exact(readings: DataFrame) -> DataFrame:
     """Readings as decimals, which they are to the cent: their sums have no rounding."""
-    return readings.withColumn("consumption", F.col("consumption").cast("decimal(10,2)"))
+    return readings.withColumn("consumption", F.col("consumption").cast("decimal(8,2)"))
 
 
 def as_lines(readings: DataFrame) -> DataFrame:
