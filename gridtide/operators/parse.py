@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridtide.functions.once import with_columns_once
+
 SEPARATOR = ","
 # Fixed value: how a reading's time is written.
 TIMESTAMP_PATTERN = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
 
 
 def field(line: Column, position: int) -> Column:
-    """The trimmed field at a position, null where the line is too short."""
-    return F.trim(F.get(F.split(line, SEPARATOR), F.lit(position)))
+    """The trimmed field at a position, empty where the line is too short."""
+    return F.trim(F.split_part(line, F.lit(SEPARATOR), F.lit(position + 1)))
 
 
 def strict_timestamp(text: Column) -> Column:
@@ -35,13 +37,14 @@ def tag_readings(lines: DataFrame, value: str = "value") -> DataFrame:
     (``2014-02-30 25:61:00``) is a reject, not another day.
     """
     line = F.col(value)
-    parsed = lines.withColumns(
-        {
-            "id": field(line, 0).try_cast("bigint"),
-            "ts_text": field(line, 1),
-            "consumption": field(line, 2).try_cast("double"),
-        }
-    ).withColumn("ts", strict_timestamp(F.col("ts_text")))
+    ts_text = field(line, 1)
+    fields = {
+        "id": field(line, 0).try_cast("bigint"),
+        "ts_text": ts_text,
+        "consumption": field(line, 2).try_cast("double"),
+        "ts": strict_timestamp(ts_text),
+    }
+    parsed = with_columns_once(lines, fields)
     reason = (
         F.when(F.col("id").isNull(), "bad id")
         .when(F.col("ts").isNull(), "bad timestamp")

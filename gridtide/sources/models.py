@@ -8,20 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtide.functions.keys import composite_key, key_columns
-from gridtide.operators.parse import SEPARATOR, non_empty
+from gridtide.functions.once import with_columns_once
+from gridtide.operators.parse import SEPARATOR, field, non_empty
 from gridtide.sources.files import LINE_ORDER, read_lines
 
 ON_DUPLICATE = ("last", "fanout")
 
 
 def _tagged(lines: DataFrame) -> DataFrame:
-    fields = F.split("value", SEPARATOR)
-    return non_empty(lines).withColumns(
-        {
-            "key": F.get(fields, F.lit(0)),
-            "expected": F.trim(F.get(fields, F.lit(1))).try_cast("double"),
-        }
-    )
+    key = F.substring_index("value", SEPARATOR, 1)
+    expected = field(F.col("value"), 1).try_cast("double")
+    fields = {"key": key, "expected": expected, **key_columns(key)}
+    return with_columns_once(non_empty(lines), fields)
 
 
 def parse_model(
@@ -39,7 +37,6 @@ def parse_model(
     good = (
         _tagged(lines)
         .where(F.col("expected").isNotNull())
-        .withColumns(key_columns(F.col("key")))
         .where(composite_key(F.col("id"), F.col("date"), F.col("hour")) == F.col("key"))
         .select("id", "date", "hour", "expected", *(order if on_duplicate == "last" else ()))
     )
