@@ -13,8 +13,11 @@ def with_columns_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame
 
     A filter is pushed below a projection by copying its expressions, so a
     parsed field that is tested and then used would be parsed again for every
-    mention.  It is not pushed below a generator, here one of a single row.
+    mention.  It is not pushed below a generator: the columns are computed in
+    one projection, and a generator of a single row hands them on.
     """
-    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    aside = {name: f"_once_{name}" for name in columns}
     kept = [c for c in df.columns if c not in columns]
-    return df.select(*kept, F.inline(F.array(row)))
+    row = F.struct(*[F.col(a).alias(name) for name, a in aside.items()])
+    computed = df.withColumns({aside[name]: c for name, c in columns.items()})
+    return computed.select(*kept, F.inline(F.array(row)))

@@ -212,7 +212,7 @@ def interpolate_lines(
     keyed = lines
     id_cols: list[str] = []
     if id_position is not None and id_position >= 0:
-        keyed = lines.withColumn("_id", F.get(_fields(F.col(value)), F.lit(id_position)))
+        keyed = lines.withColumn("_id", F.get(F.split(value, SEPARATOR), F.lit(id_position)))
         id_cols = ["_id"]
     pairs = with_next(
         keyed,

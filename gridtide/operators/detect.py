@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridtide.functions.keys import composite_key
 from gridtide.functions.render import bracket_row, message_row, tuple_row
 from gridtide.operators.model import KEY, with_hour_key
-from gridtide.operators.parse import field, parse_readings
+from gridtide.operators.parse import SEPARATOR, field, parse_readings
 
 DEFAULT_LIMIT = 5
 
@@ -29,8 +29,11 @@ def lines_above_limit(
     lines: DataFrame, limit: float = DEFAULT_LIMIT, value: str = "value", mode: str = "permissive"
 ) -> DataFrame:
     """The lines, unchanged, whose third field is above the limit."""
-    text = field(F.col(value), 2)
-    number = text.cast("double") if mode == "strict" else text.try_cast("double")
+    if mode == "strict":
+        # Fails on a line without the field, and on a field that is no number.
+        number = F.trim(F.element_at(F.split(value, SEPARATOR), 3)).cast("double")
+    else:
+        number = field(F.col(value), 2).try_cast("double")
     return lines.where(_exceeds(number, F.lit(limit)))
 
 

@@ -26,8 +26,20 @@ MISSING_WEATHER = ("neutral", "drop", "error")
 BROADCAST_HOURS = 1_500_000
 
 
+def _broadcasts_itself(df: DataFrame) -> bool:
+    """Whether Catalyst's own size estimate is within its broadcast threshold."""
+    state = df.sparkSession._jsparkSession.sessionState()
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= state.conf().autoBroadcastJoinThreshold()
+
+
 def broadcast_hours(hourly: DataFrame, limit: int = BROADCAST_HOURS) -> DataFrame:
-    """Mark an hourly table for broadcast after counting it; else leave the join to AQE."""
+    """Mark an hourly table for broadcast where its size allows it, else leave the join to AQE.
+
+    The rows are counted only where Catalyst cannot tell the size from its files.
+    """
+    if _broadcasts_itself(hourly):
+        return hourly
     return F.broadcast(hourly) if hourly.limit(limit + 1).count() <= limit else hourly
 
 

@@ -48,7 +48,7 @@ def segment_size(df: DataFrame, total: int, keyed: bool, rows_per_segment: int |
 
 @dataclass(frozen=True)
 class CutPoints:
-    """Chosen rows, ordered by key and order columns; at most a few ``MAX_SEGMENTS``."""
+    """Chosen rows, in order within each key; about ``MAX_SEGMENTS`` at most."""
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
@@ -75,13 +75,18 @@ def cut_points(
     sample = narrow.where(F.pmod(F.xxhash64(*keys, *order), F.lit(every)) == 0)
     place = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
     chosen = (
-        sample.dropDuplicates([*keys, *order])
-        .withColumn("_place", F.row_number().over(place))
+        sample.withColumn("_place", F.row_number().over(place))
         .where(F.col("_place") % per_segment == 0)
         .drop("_place")
-        .sort(*keys, *order)
     )
-    return CutPoints(tuple(keys), tuple(order), narrow.schema, tuple(chosen.collect()))
+    # A key's rows sit in one partition, in order, so they arrive in order.
+    at, rows = {}, []
+    for row in chosen.collect():
+        key, here = tuple(row[k] for k in keys), tuple(row[c] for c in order)
+        if at.get(key) != here:
+            rows.append(row)
+        at[key] = here
+    return CutPoints(tuple(keys), tuple(order), narrow.schema, tuple(rows))
 
 
 def _order_struct(order: Sequence[str]) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from gridtide.operators.model import model_lines
 
@@ -18,8 +17,12 @@ def publish_model(model: DataFrame, folder: str, run_ms: int | None = None) -> s
     return path
 
 
-def save_model(model: DataFrame, path: str, files_per_date: int = 8) -> str:
-    """Write the model as parquet, one folder per date, so that a job reads only its dates."""
-    placed = model.repartition("date", F.pmod(F.xxhash64("id", "hour"), F.lit(files_per_date)))
+def save_model(model: DataFrame, path: str) -> str:
+    """Write the model as parquet, one folder per date, so that a job reads only its dates.
+
+    The rebalance hint gathers a date's rows and lets Spark split large dates
+    and merge small ones by size.
+    """
+    placed = model.hint("rebalance", "date")
     placed.write.mode("overwrite").partitionBy("date").parquet(path)
     return path

@@ -16,7 +16,7 @@ ON_DUPLICATE = ("last", "fanout")
 
 
 def _tagged(lines: DataFrame) -> DataFrame:
-    key = F.substring_index("value", SEPARATOR, 1)
+    key = F.get(F.split("value", SEPARATOR), F.lit(0))
     expected = field(F.col("value"), 1).try_cast("double")
     fields = {"key": key, "expected": expected, **key_columns(key)}
     return with_columns_once(non_empty(lines), fields)

@@ -2,13 +2,21 @@
 
 from gridtide.streaming.detect import detect_each_batch, detect_stream
 from gridtide.streaming.interpolate import interpolate_each_batch
-from gridtide.streaming.run import progress_totals, run_to_end, spread, start, trigger
+from gridtide.streaming.run import (
+    progress_totals,
+    records_per_trigger,
+    run_to_end,
+    spread,
+    start,
+    trigger,
+)
 
 __all__ = [
     "detect_each_batch",
     "detect_stream",
     "interpolate_each_batch",
     "progress_totals",
+    "records_per_trigger",
     "run_to_end",
     "spread",
     "start",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +43,14 @@ def detect_each_batch(
     """A batch writer that matches each micro-batch with its own dates of the model."""
 
     def process(lines: DataFrame, batch_id: int) -> None:
-        readings = with_hour_key(parse_readings(lines, mode=mode))
-        found = detect(readings, model_for(readings, model))
-        write_batch(render_anomalies(found, form), target, batch_id)
+        # Read twice: once for its dates, once for the join.
+        readings = with_hour_key(parse_readings(lines, mode=mode)).persist(
+            StorageLevel.MEMORY_AND_DISK
+        )
+        try:
+            found = detect(readings, model_for(readings, model))
+            write_batch(render_anomalies(found, form), target, batch_id)
+        finally:
+            readings.unpersist()
 
     return process

@@ -24,6 +24,13 @@ def trigger(seconds: int | None) -> dict[str, Any]:
     return {"processingTime": f"{seconds} seconds"}
 
 
+def records_per_trigger(records_per_second: int, seconds: int) -> int:
+    """The source limit that gives a mean rate: so many records every interval."""
+    if records_per_second < 1 or seconds < 1:
+        raise ValueError("rate and interval must be positive")
+    return records_per_second * seconds
+
+
 def start(
     df: DataFrame,
     target: Target | BatchWriter,

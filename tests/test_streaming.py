@@ -18,6 +18,7 @@ from gridtide.streaming import (
     detect_stream,
     interpolate_each_batch,
     progress_totals,
+    records_per_trigger,
     run_to_end,
     spread,
     trigger,
@@ -59,8 +60,10 @@ def values(df):
 def test_trigger():
     assert trigger(40) == {"processingTime": "40 seconds"}
     assert trigger(None) == {"availableNow": True}
-    with pytest.raises(ValueError):
-        trigger(0)
+    assert records_per_trigger(200_000, 40) == 8_000_000
+    for bad in (lambda: trigger(0), lambda: records_per_trigger(0, 1)):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_threshold_stream_equals_batch(spark, feed, tmp_path):
