@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridtide.functions.once import with_columns_once
 from gridtide.schemas import TIMESTAMP_FORMAT
 
 
@@ -46,8 +47,10 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     ts = F.col("ts").cast("timestamp")
     hours = table(spark, sf_dir, "events").select(F.date_trunc("hour", ts).alias("h")).distinct()
-    day, hour = F.dayofyear("h"), F.hour("h")
-    return hours.where((day * 24 + hour) % 11 != 0).select(
+    # Per hour, not per event: a plain filter would be pushed below the distinct.
+    parts = with_columns_once(hours, {"day": F.dayofyear("h"), "hour": F.hour("h")})
+    day, hour = F.col("day"), F.col("hour")
+    return parts.where((day * 24 + hour) % 11 != 0).select(
         F.unix_timestamp("h").alias("timestamp"),
         (F.lit(20) + (day * 7 + hour * 3) % 80).cast("double").alias("temperature"),
     )
