@@ -18,9 +18,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # At most this many segments: the bound on everything collected or broadcast here.
 MAX_SEGMENTS = 20_000
@@ -33,6 +32,7 @@ SMALLEST_SEGMENT = 1_000
 
 SEGMENT = "_segment"
 CUTS = "_cuts"
+HEAD = "_head"
 
 
 def segment_size(df: DataFrame, total: int, keyed: bool, rows_per_segment: int | None) -> int:
@@ -48,15 +48,15 @@ def segment_size(df: DataFrame, total: int, keyed: bool, rows_per_segment: int |
 
 @dataclass(frozen=True)
 class CutPoints:
-    """Chosen rows, in order within each key; about ``MAX_SEGMENTS`` at most."""
+    """Chosen rows of a table, about ``MAX_SEGMENTS`` at most, held by the driver."""
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    schema: T.StructType
-    rows: tuple[Row, ...]
+    rows: DataFrame
+    count: int
 
     def __bool__(self) -> bool:
-        return bool(self.rows)
+        return self.count > 0
 
 
 def cut_points(
@@ -74,19 +74,17 @@ def cut_points(
     narrow = df.select(*columns)
     sample = narrow.where(F.pmod(F.xxhash64(*keys, *order), F.lit(every)) == 0)
     place = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
+    at = _order_struct(order)
     chosen = (
-        sample.withColumn("_place", F.row_number().over(place))
-        .where(F.col("_place") % per_segment == 0)
-        .drop("_place")
+        sample.withColumn("_place", F.dense_rank().over(place))
+        .withColumn("_again", F.lag(at).over(place).eqNullSafe(at))
+        .where((F.col("_place") % per_segment == 0) & ~F.col("_again"))
+        .select(*columns)
     )
-    # A key's rows sit in one partition, in order, so they arrive in order.
-    at, rows = {}, []
-    for row in chosen.collect():
-        key, here = tuple(row[k] for k in keys), tuple(row[c] for c in order)
-        if at.get(key) != here:
-            rows.append(row)
-        at[key] = here
-    return CutPoints(tuple(keys), tuple(order), narrow.schema, tuple(rows))
+    # Through Arrow, which keeps instants as they are; Python's local times would not.
+    table = chosen.toArrow()
+    rows = df.sparkSession.createDataFrame(table, schema=chosen.schema)
+    return CutPoints(tuple(keys), tuple(order), rows, table.num_rows)
 
 
 def _order_struct(order: Sequence[str]) -> Column:
@@ -108,45 +106,26 @@ def with_segment(df: DataFrame, points: CutPoints) -> DataFrame:
     """Add the number of the row's segment within its key (0 where nothing is cut)."""
     if not points:
         return df.withColumn(SEGMENT, F.lit(0))
-    spark = df.sparkSession
-    local = spark.createDataFrame(list(points.rows), points.schema)
     at = _order_struct(points.order)
     gathered = F.sort_array(F.collect_list(at)).alias(CUTS)
     if not points.keys:
-        cut = df.withColumn(CUTS, local.agg(gathered).scalar())
-        segment = _cuts_before(F.col(CUTS), at, len(points.rows))
+        cut = df.withColumn(CUTS, points.rows.agg(gathered).scalar())
+        segment = _cuts_before(F.col(CUTS), at, points.count)
         return cut.withColumn(SEGMENT, segment).drop(CUTS)
-    per_key = local.groupBy(*points.keys).agg(gathered)
-    longest = max(_run_lengths(points))
+    per_key = points.rows.groupBy(*points.keys).agg(gathered)
     # Bounded by construction: at most MAX_SEGMENTS cut points, give or take sampling.
     joined = df.join(F.broadcast(per_key), list(points.keys), "left")
-    segment = F.when(F.col(CUTS).isNull(), 0).otherwise(_cuts_before(F.col(CUTS), at, longest))
-    return joined.withColumn(SEGMENT, segment).drop(CUTS).select(*df.columns, SEGMENT)
+    found = _cuts_before(F.col(CUTS), at, points.count)
+    segment = F.when(F.col(CUTS).isNull(), 0).otherwise(found)
+    return joined.withColumn(SEGMENT, segment).select(*df.columns, SEGMENT)
 
 
-def _run_lengths(points: CutPoints) -> list[int]:
-    counts: dict[tuple, int] = {}
-    for row in points.rows:
-        key = tuple(row[k] for k in points.keys)
-        counts[key] = counts.get(key, 0) + 1
-    return list(counts.values())
-
-
-def _segment_heads(df: DataFrame, points: CutPoints, payload: Sequence[str]) -> DataFrame:
+def _segment_heads(points: CutPoints, payload: Sequence[str]) -> DataFrame:
     """Per key and segment, the payload of the row that starts the *next* segment."""
-    fields = [f for f in points.schema.fields if f.name in points.keys]
-    fields.append(T.StructField(SEGMENT, T.IntegerType()))
-    names = list(points.schema.names)
-    fields += [
-        T.StructField(f"_head_{c}", points.schema[names.index(c)].dataType) for c in payload
-    ]
-    seen: dict[tuple, int] = {}
-    rows = []
-    for row in points.rows:
-        key = tuple(row[k] for k in points.keys)
-        rows.append((*key, seen.get(key, 0), *[row[c] for c in payload]))
-        seen[key] = seen.get(key, 0) + 1
-    return df.sparkSession.createDataFrame(rows, T.StructType(fields))
+    head = F.struct(*[F.col(c) for c in payload])
+    # A cut row is the first of its own segment, so it follows the segment before.
+    cuts = with_segment(points.rows, points)
+    return cuts.select(*points.keys, (F.col(SEGMENT) - 1).alias(SEGMENT), head.alias(HEAD))
 
 
 def with_next(
@@ -176,12 +155,10 @@ def with_next(
 
     per_segment = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
     inside = with_segment(df, cut).withColumn(into, F.lead(following).over(per_segment))
-    heads = _segment_heads(df, cut, payload)
-    head = F.struct(*[F.col(f"_head_{c}").alias(c) for c in payload])
-    has_head = F.col("_has_head")
+    heads = F.broadcast(_segment_heads(cut, payload))
     return (
-        inside.join(F.broadcast(heads.withColumn("_has_head", F.lit(True))), [*keys, SEGMENT], "left")
-        .withColumn(into, F.coalesce(F.col(into), F.when(has_head, head)))
+        inside.join(heads, [*keys, SEGMENT], "left")
+        .withColumn(into, F.coalesce(into, HEAD))
         .select(*df.columns, into)
     )
 

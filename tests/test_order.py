@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ def test_next_equals_brute_force(spark, keys, size):
 def test_hot_key_is_cut_and_others_are_not(spark):
     df = spark.createDataFrame(skewed_rows(6000, seed=3), SCHEMA)
     points = O.cut_points(df, ["id"], ["ts", "seq"], [], 400)
-    assert {r.id for r in points.rows} == {0}
+    assert {r.id for r in points.rows.collect()} == {0}
     sizes = O.with_segment(df, points).where("id = 0").groupBy(O.SEGMENT).count().collect()
     assert len(sizes) >= 4
     assert max(r["count"] for r in sizes) < 1200
@@ -70,6 +71,32 @@ def test_next_struct_with_nulls_is_still_a_next(spark):
     assert got.where("next IS NULL").count() == 1
 
 
+def test_instants_survive_a_driver_zone_with_daylight_saving(spark, monkeypatch):
+    monkeypatch.setenv("TZ", "Europe/Prague")
+    time.tzset()
+    try:
+        # Minutes around 2024-10-27 01:00 UTC, when local clocks repeat an hour.
+        df = spark.range(1_729_980_000, 1_729_995_000, 60).select(
+            F.lit(1).alias("id"), F.timestamp_seconds("id").alias("ts"), F.col("id").alias("s")
+        )
+        got = O.with_next(df, ["id"], ["ts"], ["ts", "s"], rows_per_segment=8)
+        steps = got.where("next IS NOT NULL").select(
+            F.col("next.s") - F.col("s"), F.unix_seconds("next.ts") - F.col("s")
+        )
+        assert {tuple(r) for r in steps.collect()} == {(60, 60)}
+        assert got.where("next IS NULL").count() == 1
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+
+
+def test_equal_order_values_do_not_break_the_chain(spark):
+    df = spark.createDataFrame([(1, 5, i, 0.0) for i in range(500)], SCHEMA)
+    got = O.with_next(df, ["id"], ["ts"], ["x"], rows_per_segment=20)
+    assert got.count() == 500
+    assert got.where("next IS NULL").count() == 1
+
+
 @pytest.mark.parametrize("size", [None, 64])
 def test_position_equals_brute_force(spark, size):
     rows = skewed_rows(3000, seed=11)
@@ -108,7 +135,8 @@ def test_no_window_over_the_whole_table(spark):
     df = spark.createDataFrame(skewed_rows(3000, seed=1), SCHEMA)
     got = O.with_next(df, [], ["ts", "seq"], ["x"], rows_per_segment=100)
     plan = got._jdf.queryExecution().executedPlan().toString()
-    assert set(re.findall(r"windowspecdefinition\((\w+)#", plan)) == {O.SEGMENT}
+    over_rows = re.findall(r"lead\(.*?windowspecdefinition\((\w+)#", plan)
+    assert set(over_rows) == {O.SEGMENT}
     assert "Cartesian" not in plan
     assert "BroadcastNestedLoop" not in plan
     assert got.select(F.count("*")).first()[0] == 3000
