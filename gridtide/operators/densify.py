@@ -57,7 +57,7 @@ def parse_spec(spec: str) -> FieldInterp | None:
     return FieldInterp(int(parts[0]), kind, parts[2] if kind == "date" else None)
 
 
-def _check_steps(n: int) -> None:
+def check_steps(n: int) -> None:
     if n < 2:
         raise ValueError(f"interpolation needs at least 2 steps, got {n}")
 
@@ -130,7 +130,7 @@ def interpolate(
     """
     if not interps:
         raise ValueError("at least one interpolator required")
-    _check_steps(n)
+    check_steps(n)
     pairs = with_next(
         df,
         id_cols,
@@ -208,7 +208,7 @@ def interpolate_lines(
         raise ValueError("at least one interpolator required")
     known = [s for s in map(parse_spec, specs) if s]
     if known:
-        _check_steps(n)
+        check_steps(n)
     keyed = lines
     id_cols: list[str] = []
     if id_position is not None and id_position >= 0:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridtide.operators.densify import NEXT, Interp, _check_steps, expand_pairs, interpolation_columns
+from gridtide.operators.densify import NEXT, Interp, check_steps, expand_pairs, interpolation_columns
 from gridtide.operators.order import with_next
 from gridtide.sinks.targets import Target, write_batch
 
@@ -41,7 +41,7 @@ def interpolate_each_batch(
     """
     if not interps:
         raise ValueError("at least one interpolator required")
-    _check_steps(n)
+    check_steps(n)
     columns = schema.names
 
     def slot(batch_id: int) -> str:
