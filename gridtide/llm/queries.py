@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtide.llm import bpe, decontaminate, quality, secrets
+from gridtide.llm import bpe, chat, decontaminate, fingerprint, quality, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,6 +64,41 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = fingerprint.fingerprints(texts(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit(""))))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pairs = fingerprint.with_next(own, "doc_id", ["text", "sketch"], parts)
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half))
+    edited = pairs.select("doc_id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
+    both = fingerprint.fingerprints(edited, "edited", "edited_sketch")
+    return both.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint.as_text(F.col("sketch")).alias("fingerprint"),
+        fingerprint.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprint.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+#: Shards of the documents.
+SHARDS = 40
+
+
+@query
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    rows = texts(spark, sf_dir).select(
+        "doc_id", (F.octet_length(data) + 16).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.unhex(F.sha2(data, 256)).alias("same")
+    )
+    sharded = sharding.shard_rows(rows, "same", "doc_id", "size", SHARDS)
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = texts(spark, sf_dir), table(spark, sf_dir, "labels")
@@ -76,6 +111,25 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = F.lit("\\### Assistant: </turn> ok")
+    asked = F.array(*(F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), marks.alias("text")) for i, r in enumerate(("user", "assistant"))))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.unionByName(spark.range(1).select(F.inline(asked)))
+    read = chat.read_windows(chat.format_windows(turns))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    targets = F.array_join("targets", "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length(targets).cast("long").alias("loss_chars"),
+        F.sha2(targets.cast("binary"), 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("long").alias("formatted_chars"),
+    )
+
+
 def _joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
