@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtide.llm import bpe, chat, decontaminate, fingerprint, jaccard, quality, secrets, sharding
+from gridtide.llm import bpe, chat, decontaminate, fingerprint, jaccard, lm, quality, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,6 +90,15 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = texts(spark, sf_dir).withColumn("learn", ~(id_remainder("doc_id", 7) == 2))
+    scored = lm.score_texts(documents, "learn")
+    return scored.withColumn("held_out", id_remainder("doc_id", 7) == 2).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 #: Shards of the documents.
 SHARDS = 40
 
