@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridtide.llm import bpe, decontaminate, quality, secrets
+from gridtide.llm import bpe, decontaminate, jaccard, quality, secrets
 from gridtide.llm.queries import GOOD, table
 from gridtide.session import scratch_folder
 
@@ -18,6 +18,18 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return scored.filter(F.col("_score") >= GOOD).drop("_score")
 
 
+def single_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates the document of least id; documents without id stay.
+
+    Rows with one id are one document: the one with the least text stays.
+    """
+    found = jaccard.near_duplicates(docs)
+    heads = found.filter("doc_id = component_id").select("doc_id").distinct()
+    own = Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    kept = docs.join(heads, "doc_id", "left_semi").withColumn("_n", F.row_number().over(own)).filter("_n = 1").drop("_n")
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lies in benchmark passages."""
     found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
@@ -40,6 +52,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", good_documents),
+    ("n-gram Jaccard join", single_documents),
     ("benchmark decontamination", clean_of_benchmark),
     ("secret scans", without_secrets),
     ("BPE encoding and decoding", token_ids),
