@@ -23,11 +23,11 @@ def shingle_hashes(df: DataFrame, column: str = "text", out: str = "hashes") ->
     shingle, but not none, are one shingle; null and empty texts have none.
     """
     words = F.filter(F.split(F.lower(F.coalesce(column, F.lit(""))), "[ \\t-\\r]+"), lambda w: w != "")
-    hashed = df.withColumn("_w", F.transform(words, lambda w: F.xxhash64(w)))
-    n = F.size("_w")
-    run = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*(F.get("_w", i + j) for j in range(SHINGLE))))
-    whole = F.array(F.xxhash64("_w"))
-    return hashed.withColumn(out, F.when(n >= SHINGLE, run).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))).drop("_w")
+    hashed = df.withColumn("__words", F.transform(words, lambda w: F.xxhash64(w)))
+    n = F.size("__words")
+    run = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*(F.get("__words", i + j) for j in range(SHINGLE))))
+    whole = F.array(F.xxhash64("__words"))
+    return hashed.withColumn(out, F.when(n >= SHINGLE, run).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))).drop("__words")
 
 
 def sketch(hashes: Column, one_in: int = ONE_IN) -> Column:
@@ -68,7 +68,7 @@ def fingerprints(df: DataFrame, column: str = "text", out: str = "sketch", one_i
     Null and empty texts, and texts of blanks only, have the empty sketch.  A
     column already called ``out`` is replaced; all others and repeated rows stay.
     """
-    return shingle_hashes(df, column, "_hashes").withColumn(out, sketch(F.col("_hashes"), one_in)).drop("_hashes")
+    return shingle_hashes(df, column, "__hashes").withColumn(out, sketch(F.col("__hashes"), one_in)).drop("__hashes")
 
 
 def with_next(df: DataFrame, order: str, columns: list[str], parts: int) -> DataFrame:
@@ -86,17 +86,18 @@ def with_next(df: DataFrame, order: str, columns: list[str], parts: int) -> Data
     cuts = [c for c in edges["cuts"] or [] if c != low]
     # Row x is in range k if k cuts are at or below it; the first rows of a range are also shown to the one before.
     at = F.coalesce(F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col(order))), F.lit(0)) if cuts else F.lit(0)
-    rows = df.withColumn("_range", F.when(F.col(order).isNull(), 0).otherwise(at))
-    own = [F.col(order).asc_nulls_first(), *(F.col(c).asc_nulls_first() for c in columns)]
-    shown = F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("guest"), F.lit(0).alias("late")))
-    is_cut = F.col(order).isin(cuts) if cuts else F.lit(False)
-    is_first = F.col(order).isNull() if edges["nulls"] else F.col(order) == F.lit(low)
-    guest = lambda r, late: F.array(F.struct(r.alias("r"), F.lit(True).alias("guest"), F.lit(late).alias("late")))
-    none = F.array().cast("array<struct<r:int,guest:boolean,late:int>>")
-    shown = F.concat(
-        shown, F.when(F.coalesce(is_cut, F.lit(False)), guest(F.col("_range") - 1, 0)).otherwise(none), F.when(F.coalesce(is_first, F.lit(False)), guest(F.lit(len(cuts)), 1)).otherwise(none)
+    # The caller's columns travel in a struct, so no name of theirs can clash with those used here.
+    rows = df.select(F.struct(*df.columns).alias("own"), F.when(F.col(order).isNull(), 0).otherwise(at).alias("range"))
+    key = F.col(f"own.{order}")
+    place = lambda r, guest, late: F.struct(r.alias("range"), F.lit(guest).alias("guest"), F.lit(late).alias("late"))
+    is_cut = key.isin(cuts) if cuts else F.lit(False)
+    is_first = key.isNull() if edges["nulls"] else key == F.lit(low)
+    shown = F.array(
+        place(F.col("range"), False, 0),
+        F.when(F.coalesce(is_cut, F.lit(False)), place(F.col("range") - 1, True, 0)),
+        F.when(F.coalesce(is_first, F.lit(False)), place(F.lit(len(cuts)), True, 1)),
     )
-    spread = rows.select(*df.columns, F.explode(shown).alias("_s")).select(*df.columns, "_s.r", "_s.guest", "_s.late")
-    window = Window.partitionBy("r").orderBy("late", *own)
-    led = spread.select(*df.columns, "guest", *(F.lead(c).over(window).alias(f"next_{c}") for c in columns))
-    return led.filter(~F.col("guest")).drop("guest")
+    spread = rows.select("own", F.explode(F.filter(shown, lambda s: s.isNotNull())).alias("at")).select("own", "at.*")
+    window = Window.partitionBy("range").orderBy("late", key.asc_nulls_first(), *(F.col(f"own.{c}").asc_nulls_first() for c in columns))
+    led = spread.select("own", "guest", F.lead(F.struct(*(F.col(f"own.{c}") for c in columns))).over(window).alias("next"))
+    return led.filter(~F.col("guest")).select("own.*", *(F.col(f"next.{c}").alias(f"next_{c}") for c in columns))

@@ -144,37 +144,40 @@ def shard_rows(df: DataFrame, group: str, order: str, size: str, shards: int) ->
     kept = [c for c in df.columns if c not in ("shard", "slot")]
     weight = F.greatest(F.coalesce(F.col(size), F.lit(1)), F.lit(1)).cast("long")
     folder = scratch_folder(spark, "shards")
-    in_order = df.select(*kept, weight.alias("_weight")).repartitionByRange(F.col(group).asc_nulls_first(), F.col(order).asc_nulls_first())
-    numbered = in_order.sortWithinPartitions(F.col(group).asc_nulls_first(), F.col(order).asc_nulls_first())
-    numbered = numbered.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+    # The caller's columns travel in a struct, so no name of theirs can clash with those used here.
+    narrow = df.select(F.struct(*kept).alias("own"), F.col(group).alias("group"), F.col(order).alias("order"), weight.alias("weight"))
+    keys = [F.col("group").asc_nulls_first(), F.col("order").asc_nulls_first()]
+    numbered = narrow.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    numbered = numbered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
     numbered.write.parquet(folder)
     rows = spark.read.parquet(folder)
     # One row for each partition of the stored table: where it begins, and the group that follows it.
-    over = Window.orderBy("_part")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy("_part").agg(
-        F.sum("_weight").alias("_sum"), F.count("*").alias("_rows"), F.min("_at").alias("_first_at"), F.min_by(F.struct(group), "_at").alias("_first_group")
+    over = Window.orderBy("part")
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("part").agg(
+        F.sum("weight").alias("sum"), F.count("*").alias("rows"), F.min("at").alias("first_at"), F.min_by(F.struct("group"), "at").alias("first_group")
     )
     parts = parts.select(
-        "_part",
-        "_first_at",
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_weight_before"),
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
-        F.lead("_first_group").over(over).alias("_next_group"),
+        "part",
+        "first_at",
+        F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("weight_before"),
+        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
+        F.lead("first_group").over(over).alias("next_group"),
     )
-    own = Window.partitionBy("_part").orderBy("_at")
-    placed = rows.join(F.broadcast(parts), "_part").select(
-        *kept,
-        "_weight",
-        (F.col("_weight_before") + F.sum("_weight").over(own.rowsBetween(Window.unboundedPreceding, 0))).alias("place"),
-        (F.col("_rows_before") + F.col("_at") - F.col("_first_at")).alias("_row"),
-        F.coalesce(F.lead(F.struct(group)).over(own), "_next_group").alias("_after"),
+    own = Window.partitionBy("part").orderBy("at")
+    placed = rows.join(F.broadcast(parts), "part").select(
+        "own",
+        "group",
+        "weight",
+        (F.col("weight_before") + F.sum("weight").over(own.rowsBetween(Window.unboundedPreceding, 0))).alias("place"),
+        (F.col("rows_before") + F.col("at") - F.col("first_at")).alias("row"),
+        F.coalesce(F.lead(F.struct("group")).over(own), "next_group").alias("after"),
     )
-    ends = placed.filter(~F.struct(group).eqNullSafe(F.col("_after"))).select("place")
-    total = rows.agg(F.sum("_weight")).first()[0] or 0
+    ends = placed.filter(~F.struct("group").eqNullSafe(F.col("after"))).select("place")
+    total = rows.agg(F.sum("weight")).first()[0] or 0
     _, cuts = find_cuts(ends, shards, total)
-    begin = F.col("place") - F.col("_weight")
+    begin = F.col("place") - F.col("weight")
     number = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c <= begin)) if cuts else F.lit(0)
-    sharded = placed.withColumn("shard", number.cast("int"))
-    first = sharded.groupBy("shard").agg(F.min("_row").alias("_first_row"))
-    return sharded.join(F.broadcast(first), "shard").select(*kept, "shard", (F.col("_row") - F.col("_first_row")).alias("slot"))
+    sharded = placed.select("own", "row", number.cast("int").alias("shard"))
+    first = sharded.groupBy("shard").agg(F.min("row").alias("first_row"))
+    return sharded.join(F.broadcast(first), "shard").select("own.*", "shard", (F.col("row") - F.col("first_row")).alias("slot"))
