@@ -12,7 +12,8 @@ probability is held.  A token's probability is the mean over several samples.
 
 All of it is spread by word: a bucket of words has the words' counts in all
 contexts, and of the rest of the model only the totals of each restaurant
-matter, a few numbers that are summed up between rounds.  Texts are cut into
+matter, a few numbers that are summed up between rounds; within a round a
+bucket corrects them by its own changes.  Texts are cut into
 blocks by ranges of their id.  A block asks for the distinct (context, word)
 pairs it holds, with their counts, and gets their probabilities back, so what
 moves is a dictionary for each block, not a row for each token.
@@ -34,8 +35,8 @@ CONTEXTS = 256
 #: Discounts and strengths of the context restaurants and of their parent.
 DISCOUNT, STRENGTH = 0.5, 2000.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 10.0
-#: Rounds with the same totals, sweeps in a round, and sweeps of the last round that count as samples.
-ROUNDS, SWEEPS, SAMPLES = 3, 3, 3
+#: Rounds between which totals are summed up, sweeps in a round, and sweeps of the last round that count as samples.
+ROUNDS, SWEEPS, SAMPLES = 3, 2, 3
 SINGLY = 64
 #: Bytes of text in a block, about, and tokens of one part of the input packed at once.
 BLOCK_BYTES = 24_000_000
@@ -141,6 +142,9 @@ class Totals:
         self.parent_customers, self.parent_tables = float(tables.sum()), parent_tables
         self.words, self.tokens = words, int(customers.sum())
 
+    def plus(self, tables: np.ndarray, parent_tables: float) -> Totals:
+        return Totals(self.customers, self.tables + tables, self.parent_tables + parent_tables, self.words)
+
 
 def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables that ``customers`` of a dish take; ``fresh`` is the weight of a new table."""
@@ -162,20 +166,28 @@ def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.rand
 
 
 class Sampler:
-    """The seating of one bucket's words."""
+    """The seating of one bucket's words, from one table each on through some rounds of given totals."""
 
-    def __init__(self, pairs: np.ndarray, counts: np.ndarray, totals: Totals, seed: list[int]) -> None:
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray, history: list[Totals], seed: int) -> None:
         self.context = (pairs & np.uint64(CONTEXTS - 1)).astype(np.int64)
         word = pairs & _WORD
         new = np.concatenate(([True], word[1:] != word[:-1]))
         self.word = np.cumsum(new) - 1
         self.begin = np.flatnonzero(new)
-        self.counts, self.totals = counts.astype(np.int64), totals
+        self.counts = counts.astype(np.int64)
         self.rng = np.random.default_rng(seed)
         self.tables = np.minimum(self.counts, 1).astype(float)
         self.parent = np.add.reduceat(self.tables, self.begin)
         self.parent_tables = np.minimum(self.parent, 1)
         self.word_counts = np.add.reduceat(self.counts, self.begin)
+        for k, totals in enumerate(history):
+            self.elsewhere = totals.plus(-self.own_tables(), -self.parent_tables.sum())
+            self.totals = totals
+            for _ in range(SWEEPS if k < len(history) - 1 else 0):
+                self.sweep()
+
+    def own_tables(self) -> np.ndarray:
+        return np.bincount(self.context, weights=self.tables, minlength=CONTEXTS)
 
     def base(self) -> np.ndarray:
         """Each word's probability in the parent."""
@@ -190,6 +202,7 @@ class Sampler:
         self.parent = np.add.reduceat(self.tables, self.begin)
         rest = (PARENT_STRENGTH + PARENT_DISCOUNT * t.parent_tables) / (t.words + 1)
         self.parent_tables = seat(self.parent.astype(np.int64), np.full(len(self.parent), rest), PARENT_DISCOUNT, self.rng)
+        self.totals = self.elsewhere.plus(self.own_tables(), self.parent_tables.sum())
 
     def probability(self) -> np.ndarray:
         """Each pair's probability of the word in its context."""
@@ -199,22 +212,19 @@ class Sampler:
         return (own + back) / (STRENGTH + t.customers[self.context])
 
 
-def _counted(merged: DataFrame, totals: Totals | None, turn: int) -> Totals:
-    """The totals after a round of sweeps; without ``totals``, of one table for each pair and word."""
+def _counted(merged: DataFrame, history: list[Totals]) -> Totals:
+    """The totals after the rounds of ``history``; at first those of one table for each pair and word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                pairs, counts = np.cumsum(_unplaned(row["pairs"], np.uint64)), _unplaned(row["counts"], np.uint64)
-                first = Totals(np.zeros(CONTEXTS), np.zeros(CONTEXTS), 0.0, 0)
-                s = Sampler(pairs, counts, totals or first, [turn, row["bucket"]])
-                for _ in range(SWEEPS if totals else 0):
+                s = Sampler(np.cumsum(_unplaned(row["pairs"], np.uint64)), _unplaned(row["counts"], np.uint64), history, row["bucket"])
+                for _ in range(SWEEPS if history else 0):
                     s.sweep()
-                sums = [np.bincount(s.context, weights=w, minlength=CONTEXTS) for w in (s.counts, s.tables)]
+                customers = np.bincount(s.context, weights=s.counts, minlength=CONTEXTS)
                 known = int((s.word_counts > 0).sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(CONTEXTS + 1), pa.int32()), pa.array(np.append(sums[0], known)), pa.array(np.append(sums[1], s.parent_tables.sum()))], names=["context", "customers", "tables"]
-                )
+                columns = [np.arange(CONTEXTS + 1, dtype=np.int32), np.append(customers, known), np.append(s.own_tables(), s.parent_tables.sum())]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["context", "customers", "tables"])
 
     sums = merged.select("bucket", "pairs", "counts").mapInArrow(run, "context int, customers double, tables double")
     rows = sums.groupBy("context").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")).collect()
@@ -224,20 +234,20 @@ def _counted(merged: DataFrame, totals: Totals | None, turn: int) -> Totals:
     return Totals(customers[:CONTEXTS], tables[:CONTEXTS], float(tables[CONTEXTS]), int(customers[CONTEXTS]))
 
 
-def _answered(merged: DataFrame, totals: Totals) -> DataFrame:
+def _answered(merged: DataFrame, history: list[Totals]) -> DataFrame:
     """(block, keys, scores, counts): for each block its pairs with log10 of their mean probability, and the words' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 pairs, counts = np.cumsum(_unplaned(row["pairs"], np.uint64)), _unplaned(row["counts"], np.uint64)
-                s = Sampler(pairs, counts, totals, [ROUNDS, row["bucket"]])
+                s = Sampler(pairs, counts, history, row["bucket"])
                 mean = np.zeros(len(pairs))
                 for k in range(SWEEPS + SAMPLES - 1):
                     s.sweep()
                     if k >= SWEEPS - 1:
                         mean += s.probability() / SAMPLES
-                scores = np.log10(mean).astype(np.float32)
+                scores = np.log10(np.minimum(mean, 1.0)).astype(np.float32)
                 words = s.word_counts[s.word].astype(np.uint64)
                 for block, raw in zip(row["blocks"], row["places"], strict=True):
                     at = np.cumsum(_unplaned(raw, np.uint32))
@@ -301,10 +311,11 @@ def score_texts(df: DataFrame, learn: str, document: str = "doc_id", column: str
     block = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
     docs = docs.withColumn("block", F.when(F.col("id").isNull(), F.lit(0)).otherwise(block).cast("int"))
     merged = stored(_merged(_asked(docs, 2 * partitions)), "counts")
-    totals = _counted(merged, None, 0)
-    for turn in range(1, ROUNDS):
-        totals = _counted(merged, totals, turn)
-    scored = _scored(docs, _answered(merged, totals), totals)
+    history: list[Totals] = []
+    for _ in range(ROUNDS):
+        history.append(_counted(merged, history))
+    totals = history[-1]
+    scored = _scored(docs, _answered(merged, history), totals)
     return scored.select(F.col("id").alias(document), "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
