@@ -30,10 +30,12 @@ def neutral_factor(exact: bool = False) -> Column:
 def band_factor(temperature: Column, exact: bool = False) -> Column:
     """Factor for a Celsius temperature, null for a null one.
 
-    ``exact`` gives decimals, for readings that are decimals themselves.
+    NaN is in no band and neutral: all comparisons with it are false.  ``exact`` gives decimals, for readings that are decimals themselves.
     """
     return (
-        F.when(temperature < OVERHEATING_BELOW, _factor(OVERHEATING_FACTOR, exact))
+        # Spark ranks NaN above every number, so it is taken out first.
+        F.when(F.isnan(temperature), neutral_factor(exact))
+        .when(temperature < OVERHEATING_BELOW, _factor(OVERHEATING_FACTOR, exact))
         .when(temperature < HEATING_BELOW, _factor(HEATING_FACTOR, exact))
         .when(temperature > COOLING_ABOVE, _factor(COOLING_FACTOR, exact))
         .when(temperature.isNotNull(), neutral_factor(exact))

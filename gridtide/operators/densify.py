@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridtide.functions.once import with_columns_once
 from gridtide.operators.order import with_next
 from gridtide.operators.parse import SEPARATOR
 
@@ -189,6 +190,44 @@ def _fields(line: Column) -> Column:
     return F.split(F.regexp_replace(line, f"(?<=.){SEPARATOR}+$", ""), SEPARATOR)
 
 
+def _end_of(fields: Column, spec: FieldInterp) -> Column:
+    """A field as the number or instant its kind says; null only where the line is too short."""
+    text = F.get(fields, F.lit(spec.position))
+    if spec.kind == "date":
+        return F.to_timestamp(text, spec.fmt)
+    return F.trim(text).cast("double" if spec.kind == "double" else "bigint")
+
+
+def _readable(fields: Column, spec: FieldInterp) -> Column:
+    """Whether a field is there and of its kind."""
+    text = F.get(fields, F.lit(spec.position))
+    if spec.kind == "date":
+        return F.try_to_timestamp(text, F.lit(spec.fmt)).isNotNull()
+    return F.trim(text).try_cast("double" if spec.kind == "double" else "bigint").isNotNull()
+
+
+def _known_specs(specs: Sequence[str]) -> list[FieldInterp]:
+    """Of two interpolators for one position the later one counts."""
+    by_position = {s.position: s for s in map(parse_spec, specs) if s}
+    return [by_position[p] for p in sorted(by_position)]
+
+
+def _with_reason(lines: DataFrame, specs: Sequence[str], value: str) -> DataFrame:
+    fields = _fields(F.col(value))
+    reason = F.lit(None).cast("string")
+    for spec in reversed(_known_specs(specs)):
+        reason = F.when(~_readable(fields, spec), f"bad field {spec.position}").otherwise(reason)
+    return with_columns_once(lines, {"reason": reason})
+
+
+def rejected_dense_lines(
+    lines: DataFrame, specs: Sequence[str], value: str = "value"
+) -> DataFrame:
+    """Lines that lack a field to interpolate or cannot read it: ``value, reason``."""
+    bad = _with_reason(lines, specs, value).where(F.col("reason").isNotNull())
+    return bad.select(F.col(value).alias("value"), "reason")
+
+
 def interpolate_lines(
     lines: DataFrame,
     n: int,
@@ -196,19 +235,27 @@ def interpolate_lines(
     order: Sequence[str],
     id_position: int | None = None,
     value: str = "value",
+    mode: str = "strict",
     *,
     rows_per_segment: int | None = None,
     total_rows: int | None = None,
 ) -> DataFrame:
     """Text form of :func:`interpolate`: lines in, lines out, fields chosen by position.
 
-    A field that is not a number or date of its kind fails the job.
+    A line of a pair whose field is missing, or no number or date of its kind,
+    fails the job.  ``permissive`` leaves such lines out beforehand, so that
+    their neighbours become a pair; ``rejected_dense_lines`` returns them.
     """
+    if mode not in ("permissive", "strict"):
+        raise ValueError(f"unknown mode: {mode}")
     if not specs:
         raise ValueError("at least one interpolator required")
-    known = [s for s in map(parse_spec, specs) if s]
-    if known:
+    chosen = _known_specs(specs)
+    if chosen:
         check_steps(n)
+    if mode == "permissive":
+        good = _with_reason(lines, specs, value).where(F.col("reason").isNull())
+        lines = good.select(*lines.columns)
     keyed = lines
     id_cols: list[str] = []
     if id_position is not None and id_position >= 0:
@@ -224,15 +271,9 @@ def interpolate_lines(
         into=NEXT,
     )
 
-    # Of two interpolators for one position the later one counts.
-    by_position = {s.position: s for s in known}
-    chosen = [by_position[p] for p in sorted(by_position)]
-
-    def end_of(fields: Column, spec: FieldInterp) -> Column:
-        text = F.get(fields, F.lit(spec.position))
-        if spec.kind == "date":
-            return F.to_timestamp(text, spec.fmt)
-        return F.trim(text).cast("double" if spec.kind == "double" else "bigint")
+    def required(fields: Column, spec: FieldInterp, line: Column) -> Column:
+        message = F.concat(F.lit(f"no field {spec.position} in: "), line)
+        return F.coalesce(_end_of(fields, spec), F.raise_error(message))
 
     def kept(start: int, stop: int | None) -> Column:
         """The earlier record's fields from start up to stop, null where there are none."""
@@ -241,14 +282,15 @@ def interpolate_lines(
         return F.when(F.size(part) > 0, F.array_join(part, SEPARATOR))
 
     # All parsing is done once per pair; a step only computes and joins texts.
+    following = F.col(NEXT)[value]
     split = pairs.where(F.col(NEXT).isNotNull()).withColumns(
-        {"_first": _fields(F.col(value)), "_second": _fields(F.col(NEXT)[value])}
+        {"_first": _fields(F.col(value)), "_second": _fields(following)}
     )
     pieces, place = {}, 0
     for k, spec in enumerate(chosen):
         pieces[f"_kept{k}"] = kept(place, spec.position)
-        pieces[f"_from{k}"] = end_of(F.col("_first"), spec)
-        pieces[f"_to{k}"] = end_of(F.col("_second"), spec)
+        pieces[f"_from{k}"] = required(F.col("_first"), spec, F.col(value))
+        pieces[f"_to{k}"] = required(F.col("_second"), spec, following)
         place = spec.position + 1
     pieces["_rest"] = kept(place, None)
     carried = [c for c in lines.columns if c != value]

@@ -37,6 +37,14 @@ def lines_above_limit(
     return lines.where(_exceeds(number, F.lit(limit)))
 
 
+def rejected_limit_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Lines whose third field is missing or no number: ``value, reason``."""
+    number = field(F.col(value), 2).try_cast("double")
+    return lines.where(number.isNull()).select(
+        F.col(value).alias("value"), F.lit("bad consumption").alias("reason")
+    )
+
+
 def with_expected(readings: DataFrame, model: DataFrame) -> DataFrame:
     """Left join on the hour key; ``expected`` is null for a reading without a model row.
 

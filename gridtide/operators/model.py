@@ -22,25 +22,6 @@ from gridtide.functions.weather import OFFSET, adjusted, band_factor, celsius, n
 KEY = ["id", "date", "hour"]
 MODES = ("literal", "minus_days", "trailing")
 MISSING_WEATHER = ("neutral", "drop", "error")
-# Hourly rows for well over a century; more than that is not a weather table to broadcast.
-BROADCAST_HOURS = 1_500_000
-
-
-def _broadcasts_itself(df: DataFrame) -> bool:
-    """Whether Catalyst's own size estimate is within its broadcast threshold."""
-    state = df.sparkSession._jsparkSession.sessionState()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= state.conf().autoBroadcastJoinThreshold()
-
-
-def broadcast_hours(hourly: DataFrame, limit: int = BROADCAST_HOURS) -> DataFrame:
-    """Mark an hourly table for broadcast where its size allows it, else leave the join to AQE.
-
-    The rows are counted only where Catalyst cannot tell the size from its files.
-    """
-    if _broadcasts_itself(hourly):
-        return hourly
-    return F.broadcast(hourly) if hourly.limit(limit + 1).count() <= limit else hourly
 
 
 def with_hour_key(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -54,45 +35,57 @@ def weather_hours(weather: DataFrame) -> DataFrame:
     return weather.select(F.to_date(at).alias("date"), F.hour(at).alias("hour"), "temperature")
 
 
-def _missing(policy: str, present: Column, value: Column, neutral: Column) -> Column:
+def _check_policy(policy: str) -> None:
     if policy not in MISSING_WEATHER:
         raise ValueError(f"unknown missing_weather: {policy}")
+
+
+def _otherwise(policy: str, value: Column, neutral: Column) -> Column:
+    """``value``; where it is null the neutral one, or an error if that is the policy."""
     if policy == "error":
-        return F.when(present, value).otherwise(
-            F.raise_error(F.lit("reading without a weather row"))
-        )
-    return F.when(present, value).otherwise(neutral)
+        return F.coalesce(value, F.raise_error(F.lit("reading without a temperature")))
+    return F.coalesce(value, neutral)
+
+
+def _known(weather: DataFrame, policy: str) -> DataFrame:
+    """The weather rows that count: a row without a temperature is no row under ``drop``."""
+    return weather.where(F.col("temperature").isNotNull()) if policy == "drop" else weather
 
 
 def join_weather(
     readings: DataFrame, weather: DataFrame, missing_weather: str = "neutral"
 ) -> DataFrame:
-    """Readings with ``temperature, factor, adjusted``; an hour's several rows fan out."""
-    keyed = with_hour_key(readings)
-    hours = weather.select("date", "hour", "temperature", F.lit(True).alias("_matched"))
+    """Readings with ``temperature, factor, adjusted``; an hour's several rows fan out.
+
+    A missing row and a row without a temperature are the same: ``neutral``
+    gives the factor 1, ``drop`` no row, ``error`` fails the job.
+    """
+    _check_policy(missing_weather)
+    hours = _known(weather, missing_weather).select("date", "hour", "temperature")
     exact = isinstance(readings.schema["consumption"].dataType, T.DecimalType)
     how = "inner" if missing_weather == "drop" else "left"
-    joined = keyed.join(broadcast_hours(hours), ["date", "hour"], how)
-    factor = _missing(
-        missing_weather,
-        F.col("temperature").isNotNull(),
-        band_factor(celsius(F.col("temperature")), exact),
-        neutral_factor(exact),
-    )
-    return (
-        joined.withColumn("factor", factor)
-        .withColumn("adjusted", adjusted(F.col("consumption"), F.col("factor")))
-        .drop("_matched")
+    joined = with_hour_key(readings).join(hours, ["date", "hour"], how)
+    band = band_factor(celsius(F.col("temperature")), exact)
+    factor = _otherwise(missing_weather, band, neutral_factor(exact))
+    return joined.withColumn("factor", factor).withColumn(
+        "adjusted", adjusted(F.col("consumption"), F.col("factor"))
     )
 
 
-def hourly_factors(weather: DataFrame) -> DataFrame:
-    """Per hour, the sum of its weather rows' factors in tenths, and how many rows there are."""
-    tenths = (band_factor(celsius(F.col("temperature")), exact=True) * 10).cast("int")
+def hourly_factors(weather: DataFrame, missing_weather: str = "neutral") -> DataFrame:
+    """Per hour, the sum of its weather rows' factors in tenths, and how many rows there are.
+
+    Rows without a temperature count as ``join_weather`` counts them.
+    """
+    band = band_factor(celsius(F.col("temperature")), exact=True)
+    factor = _otherwise(missing_weather, band, neutral_factor(exact=True))
     return (
-        weather.where(F.col("temperature").isNotNull())
+        _known(weather, missing_weather)
         .groupBy("date", "hour")
-        .agg(F.sum(tenths).alias("tenths"), F.count(F.lit(1)).alias("rows_in_hour"))
+        .agg(
+            F.sum((factor * 10).cast("int")).alias("tenths"),
+            F.count(F.lit(1)).alias("rows_in_hour"),
+        )
     )
 
 
@@ -124,11 +117,12 @@ def _adjusted_partials(
         # Sums of longs are exact and several times faster than sums of wide decimals.
         units = (F.col("consumption") * unit).cast("bigint")
         readings = readings.withColumn("consumption", units)
+    _check_policy(missing_weather)
     how = "inner" if missing_weather == "drop" else "left"
-    hours = hourly_factors(weather)
-    joined = hourly_partials(readings).join(broadcast_hours(hours), ["date", "hour"], how)
-    present = F.col("rows_in_hour").isNotNull()
-    tenths = _missing(missing_weather, present, F.col("tenths"), F.lit(10).cast("bigint"))
+    hours = hourly_factors(weather, missing_weather)
+    # No broadcast hint: adaptive execution knows the size of the hours when they are there.
+    joined = hourly_partials(readings).join(hours, ["date", "hour"], how)
+    tenths = _otherwise(missing_weather, F.col("tenths"), F.lit(10).cast("bigint"))
     n = F.col("n") * F.coalesce("rows_in_hour", F.lit(1))
     total = F.col("total") * tenths + n * (offset * 10 * (unit or 1))
     return joined.select(*KEY, total.alias("total"), n.alias("n"))

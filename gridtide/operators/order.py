@@ -3,129 +3,72 @@
 Two needs share this module: the next record of the same id, and the position
 of a row in the whole table.  A window per id is the plain way; it breaks down
 when one id holds a large share of the rows, or when there is no id at all.
-Then the order is cut into *segments*: a bounded, hash-chosen sample of rows
-gives cut points, every row finds its segment by binary search, and the window
-runs per ``(id, segment)``.  Because each cut point is itself a row of the
-table, it is also the record that follows the segment before it, so the
-segments are joined up again from the cut points alone.
-
-The choice depends only on row content: a task that is run again after a lost
-executor assigns the same segments.
+Then the rows are dealt out in ranges of ``(id, order)``, so that a hot id
+takes as many ranges as it needs, and are stored in that order.  Inside a range
+a window does the rest; across ranges only their first rows, or a number each,
+are handed on.
+
+A stored range is read back as it was written: a task that is run again after a
+lost executor sees the same ranges.  The ranges' number grows with the table,
+their size does not, and the driver holds one row for each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# At most this many segments: the bound on everything collected or broadcast here.
-MAX_SEGMENTS = 20_000
-# Sampled rows per segment; 32 keep segment sizes within about a fifth of each other.
-SAMPLES_PER_SEGMENT = 32
-# One task windows this many rows of one id without trouble.
+from gridtide.session import scratch_folder
+
+# One task windows this many rows without trouble; a table of fewer cannot hold a hot id.
 ROWS_PER_SEGMENT = 1_000_000
 # A table without ids is cut finer, to keep every core busy, but not below this.
 SMALLEST_SEGMENT = 1_000
 
+ROW = "_row"
 SEGMENT = "_segment"
-CUTS = "_cuts"
-HEAD = "_head"
+AT = "_at"
 
 
-def segment_size(df: DataFrame, total: int, keyed: bool, rows_per_segment: int | None) -> int:
-    """Rows per segment, raised where the table would need too many segments."""
+def segment_count(df: DataFrame, total: int, keyed: bool, rows_per_segment: int | None) -> int:
+    """How many ranges the rows are dealt to."""
     wanted = rows_per_segment
     if wanted is None:
         wanted = ROWS_PER_SEGMENT
         if not keyed:
             share = total // (4 * df.sparkSession.sparkContext.defaultParallelism)
             wanted = min(wanted, max(SMALLEST_SEGMENT, share))
-    return max(1, wanted, -(-total // MAX_SEGMENTS))
-
-
-@dataclass(frozen=True)
-class CutPoints:
-    """Chosen rows of a table, about ``MAX_SEGMENTS`` at most, held by the driver."""
-
-    keys: tuple[str, ...]
-    order: tuple[str, ...]
-    rows: DataFrame
-    count: int
-
-    def __bool__(self) -> bool:
-        return self.count > 0
+    return max(1, -(-total // max(1, wanted)))
 
 
-def cut_points(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], payload: Sequence[str], size: int
-) -> CutPoints:
-    """Rows that start a new segment, about one per ``size`` rows of the same key.
+def in_segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], count: int) -> DataFrame:
+    """The rows as a struct, with their segment and place in it, stored in the order asked for.
 
-    Only a key with more than ``size`` rows or so gets any.  One scan of the
-    named columns; what leaves it is the sample, a bounded number of rows.
+    Runs when it is called.  Nulls are values like others and come first.
     """
-    keys, order = list(keys), list(order)
-    columns = list(dict.fromkeys([*keys, *order, *payload]))
-    every = max(1, size // SAMPLES_PER_SEGMENT)
-    per_segment = max(1, size // every)
-    narrow = df.select(*columns)
-    sample = narrow.where(F.pmod(F.xxhash64(*keys, *order), F.lit(every)) == 0)
-    place = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
-    at = _order_struct(order)
-    chosen = (
-        sample.withColumn("_place", F.dense_rank().over(place))
-        .withColumn("_again", F.lag(at).over(place).eqNullSafe(at))
-        .where((F.col("_place") % per_segment == 0) & ~F.col("_again"))
-        .select(*columns)
+    columns = [F.col(f"{ROW}.{c}").asc_nulls_first() for c in [*keys, *order]]
+    rows = df.select(F.struct(*df.columns).alias(ROW))
+    dealt = rows.repartitionByRange(count, *columns).sortWithinPartitions(*columns)
+    numbered = dealt.select(
+        ROW, F.spark_partition_id().alias(SEGMENT), F.monotonically_increasing_id().alias(AT)
     )
-    # Through Arrow, which keeps instants as they are; Python's local times would not.
-    table = chosen.toArrow()
-    rows = df.sparkSession.createDataFrame(table, schema=chosen.schema)
-    return CutPoints(tuple(keys), tuple(order), rows, table.num_rows)
-
-
-def _order_struct(order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c) for c in order])
-
-
-def _cuts_before(cuts: Column, at: Column, longest: int) -> Column:
-    """How many entries of a sorted array are ``<= at``, by binary search."""
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(longest.bit_length()))])
+    folder = scratch_folder(df.sparkSession, "segments")
+    numbered.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
 
-    def advance(found: Column, step: Column) -> Column:
-        reachable = found + step <= F.size(cuts)
-        return F.when(reachable & (F.get(cuts, found + step - 1) <= at), found + step).otherwise(found)
 
-    return F.aggregate(steps, F.lit(0), advance)
+def _inside() -> Window:
+    return Window.partitionBy(SEGMENT).orderBy(AT)
 
 
-def with_segment(df: DataFrame, points: CutPoints) -> DataFrame:
-    """Add the number of the row's segment within its key (0 where nothing is cut)."""
-    if not points:
-        return df.withColumn(SEGMENT, F.lit(0))
-    at = _order_struct(points.order)
-    gathered = F.sort_array(F.collect_list(at)).alias(CUTS)
-    if not points.keys:
-        cut = df.withColumn(CUTS, points.rows.agg(gathered).scalar())
-        segment = _cuts_before(F.col(CUTS), at, points.count)
-        return cut.withColumn(SEGMENT, segment).drop(CUTS)
-    per_key = points.rows.groupBy(*points.keys).agg(gathered)
-    # Bounded by construction: at most MAX_SEGMENTS cut points, give or take sampling.
-    joined = df.join(F.broadcast(per_key), list(points.keys), "left")
-    found = _cuts_before(F.col(CUTS), at, points.count)
-    segment = F.when(F.col(CUTS).isNull(), 0).otherwise(found)
-    return joined.withColumn(SEGMENT, segment).select(*df.columns, SEGMENT)
+def _fields(names: Sequence[str]) -> Column:
+    return F.struct(*[F.col(f"{ROW}.{c}") for c in names])
 
 
-def _segment_heads(points: CutPoints, payload: Sequence[str]) -> DataFrame:
-    """Per key and segment, the payload of the row that starts the *next* segment."""
-    head = F.struct(*[F.col(c) for c in payload])
-    # A cut row is the first of its own segment, so it follows the segment before.
-    cuts = with_segment(points.rows, points)
-    return cuts.select(*points.keys, (F.col(SEGMENT) - 1).alias(SEGMENT), head.alias(HEAD))
+def _out(df: DataFrame, columns: Sequence[str], into: str) -> DataFrame:
+    return df.select(*[F.col(f"{ROW}.{c}") for c in columns if c != into], into)
 
 
 def with_next(
@@ -140,36 +83,32 @@ def with_next(
 ) -> DataFrame:
     """Add a struct of ``payload`` taken from the next row of the same key.
 
-    It is null in the last row of a key.  Without ``keys`` the whole table is
-    one chain.  ``order`` must be unique within a key; ``total_rows`` spares the
-    count when the caller knows an upper bound.
+    It is null in the last row of a key; null keys are one key.  Without
+    ``keys`` the whole table is one chain.  ``order`` must be unique within a
+    key; ``total_rows`` spares the count when the caller knows an upper bound.
     """
     keys, order, payload = list(keys), list(order), list(payload)
     total = df.count() if total_rows is None else total_rows
-    size = segment_size(df, total, bool(keys), rows_per_segment)
-    cut = cut_points(df, keys, order, payload, size) if total > size else None
-    following = F.struct(*[F.col(c) for c in payload])
-    if not cut:
+    count = segment_count(df, total, bool(keys), rows_per_segment)
+    if count == 1:
         per_key = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
+        following = F.struct(*[F.col(c) for c in payload])
         return df.withColumn(into, F.lead(following).over(per_key))
 
-    per_segment = Window.partitionBy(*keys, SEGMENT).orderBy(*order)
-    inside = with_segment(df, cut).withColumn(into, F.lead(following).over(per_segment))
-    heads = F.broadcast(_segment_heads(cut, payload))
-    return (
-        inside.join(heads, [*keys, SEGMENT], "left")
-        .withColumn(into, F.coalesce(into, HEAD))
-        .select(*df.columns, into)
+    rows = in_segments(df, keys, order, count)
+    follower = F.struct(_fields(keys).alias("key") if keys else F.lit(0).alias("key"), _fields(payload).alias("value"))
+    # The row that a segment begins with follows the last row of the segment before.
+    first = rows.groupBy(SEGMENT).agg(F.min_by(follower, AT).alias("_first"))
+    heads = first.select(
+        SEGMENT,
+        F.lead("_first").over(Window.partitionBy(F.lit(0)).orderBy(SEGMENT)).alias("_head"),
     )
-
-
-def _carry(
-    df: DataFrame, order: Sequence[str], rows_per_segment: int | None, total_rows: int | None
-) -> tuple[DataFrame, CutPoints | None]:
-    total = df.count() if total_rows is None else total_rows
-    size = segment_size(df, total, False, rows_per_segment)
-    cut = cut_points(df, [], order, [], size) if total > size else None
-    return (with_segment(df, cut) if cut else df.withColumn(SEGMENT, F.lit(0))), cut
+    led = rows.join(heads, SEGMENT).withColumn(
+        "_then", F.coalesce(F.lead(follower).over(_inside()), "_head")
+    )
+    own_key = _fields(keys) if keys else F.lit(0)
+    same = own_key.eqNullSafe(F.col("_then.key")) & F.col("_then").isNotNull()
+    return _out(led.withColumn(into, F.when(same, F.col("_then.value"))), df.columns, into)
 
 
 def with_position(
@@ -181,22 +120,15 @@ def with_position(
     into: str = "position",
 ) -> DataFrame:
     """Add the row's position, from 0, in the order of the whole table."""
-    tagged, cut = _carry(df, order, rows_per_segment, total_rows)
-    inside = F.row_number().over(Window.partitionBy(SEGMENT).orderBy(*order)) - 1
-    placed = tagged.withColumn(into, inside.cast("bigint"))
-    if not cut:
-        return placed.drop(SEGMENT)
-    sizes = dict(tagged.groupBy(SEGMENT).count().collect())
-    starts, before = [], 0
-    for segment in sorted(sizes):
-        starts.append((segment, before))
-        before += sizes[segment]
-    starts_df = df.sparkSession.createDataFrame(starts, f"{SEGMENT} int, _start bigint")
-    return (
-        placed.join(F.broadcast(starts_df), SEGMENT)
-        .withColumn(into, F.col(into) + F.col("_start"))
-        .select(*df.columns, into)
+    total = df.count() if total_rows is None else total_rows
+    rows = in_segments(df, [], order, segment_count(df, total, False, rows_per_segment))
+    sizes = rows.groupBy(SEGMENT).agg(F.count(F.lit(1)).alias("_size"), F.min(AT).alias("_from"))
+    before = Window.partitionBy(F.lit(0)).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        SEGMENT, (F.coalesce(F.sum("_size").over(before), F.lit(0)) - F.col("_from")).alias("_shift")
     )
+    placed = rows.join(starts, SEGMENT).withColumn(into, F.col(AT) + F.col("_shift"))
+    return _out(placed, df.columns, into)
 
 
 def with_max_before(
@@ -209,19 +141,12 @@ def with_max_before(
     into: str = "max_before",
 ) -> DataFrame:
     """Add the largest ``value`` over all earlier rows, null in the first."""
-    tagged, cut = _carry(df, order, rows_per_segment, total_rows)
-    earlier = (
-        Window.partitionBy(SEGMENT).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    inside = tagged.withColumn(into, F.max(value).over(earlier))
-    if not cut:
-        return inside.drop(SEGMENT)
-    tops = tagged.groupBy(SEGMENT).agg(F.max(value).alias("top"))
-    # One row per segment, so this running maximum is over a bounded table.
-    running = Window.partitionBy(F.lit(0)).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
-    carried = tops.select(SEGMENT, F.max("top").over(running).alias("_carried"))
-    return (
-        inside.join(F.broadcast(carried), SEGMENT)
-        .withColumn(into, F.greatest(into, "_carried"))
-        .select(*df.columns, into)
-    )
+    total = df.count() if total_rows is None else total_rows
+    rows = in_segments(df, [], order, segment_count(df, total, False, rows_per_segment))
+    own = F.col(f"{ROW}.{value}")
+    tops = rows.groupBy(SEGMENT).agg(F.max(own).alias("_top"))
+    before = Window.partitionBy(F.lit(0)).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(SEGMENT, F.max("_top").over(before).alias("_carried"))
+    earlier = _inside().rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.greatest(F.max(own).over(earlier), F.col("_carried"))
+    return _out(rows.join(carried, SEGMENT).withColumn(into, seen), df.columns, into)

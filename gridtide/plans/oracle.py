@@ -30,6 +30,26 @@ ADJUSTED = f"""
     ) r
 """
 
+# Some hours with a temperature that is no number, some with a second row without one.
+GAPS = f"""
+    SELECT day, hour, CASE WHEN hour % 7 = 3 THEN CAST('NaN' AS DOUBLE) ELSE temperature END AS temperature
+    FROM ({WEATHER})
+    UNION ALL SELECT day, hour, NULL FROM ({WEATHER}) WHERE hour % 5 = 0
+"""
+
+
+def _adjusted_gaps(drop: bool) -> str:
+    weather, how = (f"SELECT * FROM ({GAPS}) WHERE temperature IS NOT NULL", "JOIN") if drop else (GAPS, "LEFT JOIN")
+    return f"""
+    SELECT event_id, r.id, CAST(r.ts AS DATE) AS day, hour(r.ts) AS hour, temperature,
+           CAST(r.consumption AS DECIMAL(10, 2)) * CAST(
+             CASE WHEN temperature IS NULL OR isnan(temperature) THEN 1.0 WHEN {CELSIUS} < 5 THEN 0.6
+                  WHEN {CELSIUS} < 16 THEN 0.8 WHEN {CELSIUS} > 24 THEN 0.6 ELSE 1.0 END
+             AS DECIMAL(2, 1)) + 7 AS adjusted
+    FROM ({READINGS}) r {how} ({weather}) w ON CAST(r.ts AS DATE) = w.day AND hour(r.ts) = w.hour
+    """
+
+
 KEY = "concat_ws('-', id, year(day), dayofyear(day), hour)"
 LINE = "concat_ws(',', id, strftime(ts, '%Y-%m-%d %H:%M:%S'), consumption)"
 TS_MS = "epoch_us(ts) // 1000"
@@ -39,13 +59,13 @@ def _to_3(x: str) -> str:
     return f"floor({x} * 1000 + 0.5) / 1000"
 
 
-def _model(shifted_day: str, known_only: bool = False) -> str:
+def _model(shifted_day: str, known_only: bool = False, adjusted: str = ADJUSTED) -> str:
     where = "WHERE temperature IS NOT NULL" if known_only else ""
     return f"""
     SELECT id, CAST(day AS DATE) AS day, hour, CAST(sum(adjusted) AS DOUBLE) / count(*) AS expected,
            count(*) AS n
     FROM (SELECT id, {shifted_day} AS day, hour, adjusted
-          FROM ({ADJUSTED}), (VALUES (1), (2), (3)) lags(k) {where})
+          FROM ({adjusted}), (VALUES (1), (2), (3)) lags(k) {where})
     GROUP BY ALL
     """
 
@@ -110,6 +130,13 @@ DAMAGED = f"""
 """
 
 
+CUT_LINES = f"""
+    SELECT CASE event_type WHEN 'error' THEN concat_ws(',', id, {TS_TEXT})
+                           ELSE concat_ws(',', id, {TS_TEXT}, 'n/a') END AS value
+    FROM ({READINGS}) WHERE event_type IN ('error', 'signup')
+"""
+
+
 def _count_text(n: str) -> str:
     cases = []
     for power, unit in reversed(list(enumerate(["k", "M", "G", "T", "P", "E"], start=1))):
@@ -156,15 +183,19 @@ DENSE_BY_ID = _dense_shown("PARTITION BY id")
 
 # The same on the line texts, whose times have whole seconds.
 SECONDS = "epoch_us(ts) // 1000000"
-DENSE_LINES = f"""
+
+
+def _dense_lines(readings: str) -> str:
+    return f"""
     SELECT id, strftime(make_timestamp(((start_s * 1000 + (i * (next_s - start_s) * 1000) // 4)
                         // 1000) * 1000000), '%Y-%m-%d %H:%M:%S') AS ts_text,
            consumption + i * (next_consumption - consumption) / 4 AS consumption
     FROM (SELECT id, {SECONDS} AS start_s, lead({SECONDS}) OVER w AS next_s, consumption,
                  lead(consumption) OVER w AS next_consumption
-          FROM ({READINGS}) WINDOW w AS (PARTITION BY id ORDER BY ts, event_id)), range(4) steps(i)
+          FROM ({readings}) WINDOW w AS (PARTITION BY id ORDER BY ts, event_id)), range(4) steps(i)
     WHERE next_s IS NOT NULL
-"""
+    """
+
 
 CENTS = "CAST(sum(CAST(round(consumption * 100) AS BIGINT)) AS BIGINT)"
 
@@ -232,7 +263,19 @@ ORACLE: dict[str, str] = {
     "model_file": f"SELECT {KEY} AS key, expected FROM ({_published(TRAILING)})",
     "model_last_wins": f"SELECT {KEY} AS key, expected FROM ({LAST_WINS})",
     "model_rejects": """
-        SELECT DISTINCT CAST(user_id AS VARCHAR) AS value, 'bad expected value' AS reason FROM events""",
+        SELECT CASE k WHEN 1 THEN CAST(id AS VARCHAR) WHEN 2 THEN id || '-2014-010-9,2.5'
+                      ELSE 'm' || id || ',1.5' END AS value,
+               CASE k WHEN 1 THEN 'bad expected value' ELSE 'bad key' END AS reason
+        FROM (SELECT DISTINCT user_id AS id FROM events), (VALUES (1), (2), (3)) kinds(k)""",
+    "model_gaps_neutral": _shown(_model("day + k", adjusted=_adjusted_gaps(drop=False))),
+    "model_gaps_drop": _shown(_model("day + k", adjusted=_adjusted_gaps(drop=True))),
+    "join_gaps_neutral": f"""
+        SELECT event_id, CAST(adjusted AS DOUBLE) AS adjusted FROM ({_adjusted_gaps(drop=False)})""",
+    "join_gaps_drop": f"""
+        SELECT event_id, CAST(adjusted AS DOUBLE) AS adjusted FROM ({_adjusted_gaps(drop=True)})""",
+    "model_double": f"""
+        SELECT {KEY} AS key, floor(expected * 1000 + 0.4123) / 1000 AS expected, n FROM ({TRAILING})""",
+    "weather_csv": f"SELECT epoch_us(h) // 1000000 AS timestamp, temperature FROM ({WEATHER})",
     "threshold_anomalies": f"""
         SELECT event_id, id, {TS_MS} AS ts_ms, consumption FROM ({READINGS}) WHERE consumption > 5""",
     "threshold_lines": f"SELECT {LINE} AS value FROM ({READINGS}) WHERE consumption > 5",
@@ -259,7 +302,14 @@ ORACLE: dict[str, str] = {
     "densify_multiply": f"SELECT event_id, id, consumption FROM ({READINGS}), range(8)",
     "densify_interpolate": DENSE_BY_ID,
     "densify_global": _dense_shown(""),
-    "densify_lines": DENSE_LINES,
+    "densify_lines": _dense_lines(READINGS),
+    "densify_segments": DENSE_BY_ID,
+    "densify_integer": f"""
+        SELECT id, event_id + (i * (next_event - event_id)) // 4 AS event_id, consumption
+        FROM ({_dense('PARTITION BY id')})""",
+    "densify_permissive": _dense_lines(f"{READINGS} WHERE event_type NOT IN ('error', 'signup')"),
+    "densify_rejects": f"SELECT value, 'bad field 2' AS reason FROM ({CUT_LINES})",
+    "threshold_rejects": f"SELECT value, 'bad consumption' AS reason FROM ({CUT_LINES})",
     "densify_custom": f"""
         SELECT id, event_id, CASE WHEN i * 2 < 4 THEN consumption ELSE next_consumption END AS consumption
         FROM ({_dense('PARTITION BY id')})""",
@@ -286,8 +336,12 @@ ORACLE: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, line_no) AS place
               FROM ({DOCUMENT_LINES})) WHERE place <= 5 GROUP BY source""",
     "dataset_catalog": f"""
-        SELECT source, size, {_byte_text('size')} AS shown_size
-        FROM (SELECT source, CAST(sum(strlen(text)) AS BIGINT) AS size FROM documents GROUP BY source)""",
+        SELECT 'source=' || source AS dataset_name, size, {_byte_text('size')} AS shown_size, preview
+        FROM (SELECT source, CAST(sum(strlen(value) + 1) AS BIGINT) AS size,
+                     coalesce(string_agg(value, chr(10) ORDER BY doc_id, line_no)
+                              FILTER (WHERE place <= 5 AND length(value) > 0), '') AS preview
+              FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, line_no) AS place
+                    FROM ({DOCUMENT_LINES})) GROUP BY source)""",
     "tumbling_daily": TUMBLING,
     "sliding_6h": SLIDING,
     "late_readings": f"""
@@ -302,6 +356,8 @@ ORACLE: dict[str, str] = {
         SELECT event_type, count(*) AS n, max(consumption) AS top FROM ({READINGS}) GROUP BY event_type""",
     "user_job": f"SELECT {LINE} AS value FROM ({READINGS}), range(2) WHERE consumption > 5",
     "stream_threshold": f"SELECT {LINE} AS value FROM ({READINGS}) WHERE consumption > 5",
+    "stream_totals": f"""
+        SELECT n AS records, {_count_text('n')} AS shown FROM (SELECT count(*) AS n FROM events)""",
     "stream_detect": _rendered(f"'[' || concat_ws(',', id, {TS_TEXT}, consumption, expected) || ']'"),
     "stream_static_join": _rendered(f"'(' || concat_ws(',', {KEY}, id, {TS_TEXT}, consumption) || ')'"),
     "stream_interpolate": DENSE_BY_ID,

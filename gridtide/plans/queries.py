@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridtide.functions import (
     byte_text,
@@ -29,9 +30,11 @@ from gridtide.operators.densify import (
     NONE,
     Interp,
     densify,
+    interpolate,
     interpolate_lines,
     interpolate_with,
     multiply,
+    rejected_dense_lines,
 )
 from gridtide.operators.pipelines import job, register_job
 from gridtide.operators.replay import (
@@ -42,14 +45,19 @@ from gridtide.operators.replay import (
     timed_totals,
 )
 from gridtide.operators.windows import join_within, late_rows, sliding, tumbling, with_watermark
-from gridtide.schemas import CONSUMPTION_CSV, TIMESTAMP_FORMAT
-from gridtide.session import pin_session, scratch_folder
+from gridtide.schemas import CONSUMPTION_CSV, TIMESTAMP_FORMAT, WEATHER_CSV
+from gridtide.session import pinned_session, scratch_folder
 from gridtide.sinks import file_target, publish_model, save_model
 from gridtide.sources import tables
-from gridtide.sources.datasets import preview
-from gridtide.sources.files import read_csv, read_lines
+from gridtide.sources.datasets import catalog, preview
+from gridtide.sources.files import read_csv, read_lines, stream_csv, stream_lines
 from gridtide.sources.models import load_model, parse_model, rejected_model_lines
-from gridtide.streaming import detect_each_batch, interpolate_each_batch, run_to_end
+from gridtide.streaming import (
+    detect_each_batch,
+    interpolate_each_batch,
+    run_measured,
+    run_to_end,
+)
 from gridtide.streaming.detect import model_for
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,11 +67,14 @@ ORDER = ["ts", "event_id"]
 COPIES = 8
 STEPS = 4
 RECORDS_PER_SECOND = 1_000
+SEGMENT_ROWS = 300
+FEED_BATCHES = 4
+FILES_PER_BATCH = 2
 
 
 def _registered(function: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return function(pin_session(spark), sf_dir)
+        return function(pinned_session(spark), sf_dir)
 
     run.__doc__ = function.__doc__
     QUERIES[function.__name__] = run
@@ -175,6 +186,16 @@ def weather_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_registered
+def weather_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A weather file of fourteen columns without header, of which two are read."""
+    given = tables.weather(spark, sf_dir)
+    others = {n: F.lit(None).cast("string") for n in WEATHER_CSV.names if n not in given.columns}
+    path = scratch_folder(spark, "weather")
+    given.withColumns(others).select(*WEATHER_CSV.names).write.csv(path)
+    return read_csv(spark, path, WEATHER_CSV).select("timestamp", "temperature")
+
+
 @_registered
 def count_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of very different size, as text."""
@@ -212,6 +233,32 @@ def weather_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _weather_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some hours without a number for the temperature, some with a second row without any."""
+    weather = _weather(spark, sf_dir)
+    odd = F.when(F.col("hour") % 7 == 3, F.lit(float("nan"))).otherwise(F.col("temperature"))
+    second = weather.where(F.col("hour") % 5 == 0).withColumn("temperature", F.lit(None).cast("double"))
+    return weather.withColumn("temperature", odd).unionByName(second)
+
+
+def _join_gaps(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
+    readings = tables.exact(tables.events(spark, sf_dir))
+    joined = M.join_weather(readings, _weather_with_gaps(spark, sf_dir), policy)
+    return joined.select("event_id", F.col("adjusted").cast("double").alias("adjusted"))
+
+
+@_registered
+def join_gaps_neutral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing and unreadable temperatures count as neutral."""
+    return _join_gaps(spark, sf_dir, "neutral")
+
+
+@_registered
+def join_gaps_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weather rows without a temperature are no rows."""
+    return _join_gaps(spark, sf_dir, "drop")
+
+
 @_registered
 def hourly_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1: sum and count per id and hour."""
@@ -249,6 +296,33 @@ def model_known_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(_model(spark, sf_dir, missing_weather="drop"))
 
 
+def _model_gaps(spark: SparkSession, sf_dir: str, policy: str) -> DataFrame:
+    readings = tables.exact(tables.events(spark, sf_dir))
+    gaps = _weather_with_gaps(spark, sf_dir)
+    return _shown(M.build_expected_model(readings, gaps, missing_weather=policy))
+
+
+@_registered
+def model_gaps_neutral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1, M2: the model agrees with the row-wise join, ``neutral``."""
+    return _model_gaps(spark, sf_dir, "neutral")
+
+
+@_registered
+def model_gaps_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1, M2: the model agrees with the row-wise join, ``drop``."""
+    return _model_gaps(spark, sf_dir, "drop")
+
+
+@_registered
+def model_double(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1 on double readings, shown to three decimals."""
+    model = M.build_expected_model(tables.events(spark, sf_dir), _weather(spark, sf_dir))
+    # Not cut at a half, where the last bit of a double sum would decide.
+    cut = F.floor(F.col("expected") * 1000 + 0.4123) / 1000
+    return model.select(_key(model).alias("key"), cut.alias("expected"), "n")
+
+
 @_registered
 def model_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4, P10: the published lines."""
@@ -263,29 +337,28 @@ def model_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.select(_key(model).alias("key"), "expected")
 
 
-def _model_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of two models, one after the other, with one empty and one cut line per id."""
-    first = M.model_lines(_model(spark, sf_dir, "trailing")).withColumn("part", F.lit(0))
-    second = M.model_lines(_model(spark, sf_dir, "minus_days")).withColumn("part", F.lit(1))
-    ids = tables.events(spark, sf_dir).select("id").distinct()
-    cut = ids.select(F.col("id").cast("string").alias("value"), F.lit(2).alias("part"))
-    empty = ids.select(F.lit("").alias("value"), F.lit(2).alias("part"))
-    path = scratch_folder(spark, "model-lines")
-    first.unionByName(second).unionByName(cut).unionByName(empty).write.parquet(path)
-    return spark.read.parquet(path)
+def _model_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Folders of two models, one after the other, and one of empty and malformed lines, some per id."""
+    root = scratch_folder(spark, "model-lines")
+    M.model_lines(_model(spark, sf_dir, "trailing")).write.text(f"{root}/1")
+    M.model_lines(_model(spark, sf_dir, "minus_days")).write.text(f"{root}/2")
+    ids = tables.events(spark, sf_dir).select(F.col("id").cast("string").alias("id")).distinct()
+    odd = F.array(F.lit(""), F.col("id"), F.concat("id", F.lit("-2014-010-9,2.5")), F.concat(F.lit("m"), "id", F.lit(",1.5")))
+    ids.select(F.explode(odd).alias("value")).write.text(f"{root}/3")
+    return [f"{root}/{k}" for k in (1, 2, 3)]
 
 
 @_registered
 def model_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of two lines for a key the later one counts."""
-    model = parse_model(_model_files(spark, sf_dir), ["part"], "last")
+    """Of two lines for a key the one in the later file counts."""
+    model = load_model(spark, _model_files(spark, sf_dir))
     return model.select(_key(model).alias("key"), "expected")
 
 
 @_registered
 def model_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Malformed model lines."""
-    return rejected_model_lines(_model_files(spark, sf_dir))
+    """Malformed model lines, with the reason."""
+    return rejected_model_lines(read_lines(spark, _model_files(spark, sf_dir)))
 
 
 # ---- detection -------------------------------------------------------------
@@ -304,6 +377,21 @@ def threshold_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.lines_above_limit(_lines(spark, sf_dir)).select("value")
 
 
+def _cut_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading lines; of certain types of events they end early or hold no number."""
+    readings = tables.events(spark, sf_dir)
+    kind = F.col("event_type")
+    last = F.when(kind == "signup", "n/a").when(kind != "error", F.col("consumption").cast("string"))
+    text = F.concat_ws(",", "id", _ts_text(F.col("ts")), last)
+    return readings.select(text.alias("value"), "ts", "event_id")
+
+
+@_registered
+def threshold_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1, O3: lines whose third field cannot be compared."""
+    return D.rejected_limit_lines(_cut_lines(spark, sf_dir))
+
+
 def _detected(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     found = D.detect(tables.events(spark, sf_dir), _model(spark, sf_dir, mode))
     return found.select(
@@ -343,7 +431,7 @@ def expected_for_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_registered
 def detect_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J2 with duplicate keys: a reading comes out once per model row it exceeds."""
-    model = parse_model(_model_files(spark, sf_dir), on_duplicate="fanout")
+    model = parse_model(read_lines(spark, _model_files(spark, sf_dir)), on_duplicate="fanout")
     found = D.detect(tables.events(spark, sf_dir), model)
     return found.select("event_id", "consumption", "expected")
 
@@ -351,9 +439,8 @@ def detect_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_registered
 def detect_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One model row per key, inner join."""
-    found = D.detect_by_lookup(
-        tables.events(spark, sf_dir), parse_model(_model_files(spark, sf_dir), ["part"], "last")
-    )
+    model = load_model(spark, _model_files(spark, sf_dir))
+    found = D.detect_by_lookup(tables.events(spark, sf_dir), model)
     return found.select("event_id", "consumption", "expected")
 
 
@@ -435,6 +522,40 @@ def densify_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.parse_readings(dense).select("id", "ts_text", "consumption")
 
 
+@_registered
+def densify_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains per id over segments far smaller than an id's rows."""
+    readings = tables.events(spark, sf_dir)
+    return _dense_shown(
+        interpolate(readings, STEPS, INTERPS, ["id"], ORDER, rows_per_segment=SEGMENT_ROWS)
+    )
+
+
+@_registered
+def densify_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole numbers between two records."""
+    readings = tables.events(spark, sf_dir)
+    dense = interpolate(readings, STEPS, [Interp("event_id", "integer")], ["id"], ORDER)
+    return dense.select("id", "event_id", "consumption")
+
+
+LINE_SPECS = [f"1;Date;{TIMESTAMP_FORMAT}", "2;double"]
+
+
+@_registered
+def densify_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2f: lines that cannot be interpolated are left out, their neighbours become pairs."""
+    lines = _cut_lines(spark, sf_dir)
+    dense = interpolate_lines(lines, STEPS, LINE_SPECS, ORDER, id_position=0, mode="permissive")
+    return P.parse_readings(dense).select("id", "ts_text", "consumption")
+
+
+@_registered
+def densify_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2f, O3: the lines that were left out, with the reason."""
+    return rejected_dense_lines(_cut_lines(spark, sf_dir), LINE_SPECS)
+
+
 @_registered
 def densify_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A caller's kernel that holds the earlier value, then the later one."""
@@ -501,10 +622,13 @@ def dataset_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_registered
 def dataset_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size per source."""
-    documents = tables.table(spark, sf_dir, "documents")
-    sizes = documents.groupBy("source").agg(F.sum(F.octet_length("text")).alias("size"))
-    return sizes.withColumn("shown_size", byte_text(F.col("size")))
+    """A folder with a dataset for each source, listed and previewed."""
+    folder = scratch_folder(spark, "datasets")
+    lines = _document_lines(spark, sf_dir).repartition("source")
+    lines = lines.sortWithinPartitions("source", "doc_id", "line_no")
+    lines.select("source", "value").write.partitionBy("source").text(folder)
+    listed = catalog(spark, folder)
+    return listed.withColumn("preview", F.array_join("preview", "\n"))
 
 
 # ---- windows, joins and user jobs --------------------------------------------
@@ -561,10 +685,10 @@ def _alarms(readings: DataFrame) -> DataFrame:
 @_registered
 def readings_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The readings as a view, queried in SQL."""
-    tables.events(spark, sf_dir).createOrReplaceTempView("gridtide_readings")
     return spark.sql(
         "SELECT event_type, count(*) AS n, max(consumption) AS top "
-        "FROM gridtide_readings GROUP BY event_type"
+        "FROM {readings} GROUP BY event_type",
+        readings=tables.events(spark, sf_dir),
     )
 
 
@@ -578,30 +702,68 @@ def user_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- streams -------------------------------------------------------------------
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = tables.table(spark, sf_dir, "events").schema
-    # A pattern, because a stream reads directories and patterns, not single files.
-    files = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
-    return tables.as_readings(files)
+def _feed(spark: SparkSession, sf_dir: str, form: str, *columns: str) -> str:
+    """A folder in which the events arrive as files, in order of their time, a batch after the other.
+
+    ``text`` holds lines of the given columns, ``parquet`` the events as they are.
+    """
+    folder = scratch_folder(spark, "feed")
+    events = tables.table(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    shares = [k / FEED_BATCHES for k in range(1, FEED_BATCHES)]
+    cuts = events.agg(F.percentile_approx(micros, shares)).first()[0]
+    batch = sum(((micros > c).cast("int") for c in cuts), F.lit(0))
+    for k in range(FEED_BATCHES):
+        part = events.where(batch == k).repartition(FILES_PER_BATCH)
+        if form == "parquet":
+            part.write.mode("append").parquet(folder)
+        else:
+            readings = tables.as_readings(part).withColumn("ts", _ts_text(F.col("ts")))
+            readings.select(F.concat_ws(",", *columns)).write.mode("append").text(folder)
+    return folder
+
+
+def _line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = _feed(spark, sf_dir, "text", "id", "ts", "consumption")
+    return stream_lines(spark, feed, FILES_PER_BATCH)
+
+
+def _event_stream(spark: SparkSession, feed: str) -> DataFrame:
+    reader = spark.readStream.schema(spark.read.parquet(feed).schema)
+    return tables.as_readings(reader.option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(feed))
 
 
 @_registered
 def stream_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Static threshold on a stream of lines."""
     out = scratch_folder(spark, "stream")
-    lines = tables.as_lines(_event_stream(spark, sf_dir))
-    run_to_end(D.lines_above_limit(lines).select("value"), file_target(f"{out}/rows"), f"{out}/progress")
+    found = D.lines_above_limit(_line_stream(spark, sf_dir))
+    run_to_end(found, file_target(f"{out}/rows"), f"{out}/progress")
     return spark.read.schema("value string").parquet(f"{out}/rows")
 
 
+@_registered
+def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4, O2: records of all batches, more of them than the query remembers."""
+    out = scratch_folder(spark, "stream")
+    lines = _line_stream(spark, sf_dir)
+    kept = "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(kept)
+    spark.conf.set(kept, 2)
+    try:
+        totals = run_measured(lines, file_target(f"{out}/rows"), f"{out}/progress")
+    finally:
+        spark.conf.set(kept, before)
+    return totals.select("records", "shown")
+
+
 @_registered
 def stream_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model detection, one micro-batch at a time, against a stored model."""
     out = scratch_folder(spark, "stream")
     model = spark.read.parquet(save_model(_published(spark, sf_dir), f"{out}/model"))
-    lines = tables.as_lines(_event_stream(spark, sf_dir)).select("value")
     writer = detect_each_batch(model, file_target(f"{out}/rows"))
-    run_to_end(lines, writer, f"{out}/progress")
+    run_to_end(_line_stream(spark, sf_dir), writer, f"{out}/progress")
     return spark.read.parquet(f"{out}/rows").select("value")
 
 
@@ -610,8 +772,7 @@ def stream_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model detection as a plain stream-static join."""
     out = scratch_folder(spark, "stream")
     model = spark.read.parquet(save_model(_published(spark, sf_dir), f"{out}/model"))
-    lines = tables.as_lines(_event_stream(spark, sf_dir)).select("value")
-    found = D.detect_lines(lines, model, "tuple").select("value")
+    found = D.detect_lines(_line_stream(spark, sf_dir), model, "tuple").select("value")
     run_to_end(found, file_target(f"{out}/rows"), f"{out}/progress")
     return spark.read.schema("value string").parquet(f"{out}/rows")
 
@@ -620,7 +781,7 @@ def stream_static_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2h: interpolation with the last record of each id carried between batches."""
     out = scratch_folder(spark, "stream")
-    readings = _event_stream(spark, sf_dir)
+    readings = _event_stream(spark, _feed(spark, sf_dir, "parquet"))
     writer = interpolate_each_batch(
         readings.schema, STEPS, INTERPS, ["id"], ORDER, file_target(f"{out}/rows"), f"{out}/state"
     )
@@ -632,7 +793,7 @@ def stream_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily totals of a stream; a day comes out once the watermark passes its end."""
     out = scratch_folder(spark, "stream")
-    readings = with_watermark(_event_stream(spark, sf_dir), "2 hours")
+    readings = with_watermark(_event_stream(spark, _feed(spark, sf_dir, "parquet")), "2 hours")
     daily = _window_shown(tumbling(readings, "1 day", ["id"], _window_aggregates()))
     run_to_end(daily, file_target(f"{out}/rows"), f"{out}/progress")
     return spark.read.schema("id bigint, start_ms bigint, n bigint, cents bigint").parquet(
@@ -644,8 +805,9 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two streams joined on key and time range."""
     out = scratch_folder(spark, "stream")
-    readings = with_watermark(_event_stream(spark, sf_dir), "1 hour")
-    alarms = with_watermark(_alarms(_event_stream(spark, sf_dir)), "1 hour", "alarm_ts")
+    feed = _feed(spark, sf_dir, "parquet")
+    readings = with_watermark(_event_stream(spark, feed), "1 hour")
+    alarms = with_watermark(_alarms(_event_stream(spark, feed)), "1 hour", "alarm_ts")
     joined = join_within(readings, alarms, ["event_id"], "ts", "alarm_ts", "1 HOUR").select(
         "event_id", "id", epoch_millis(F.col("alarm_ts")).alias("alarm_ms")
     )
@@ -655,11 +817,13 @@ def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_registered
 def stream_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream as a view, filtered in SQL."""
+    """A stream of CSV files, filtered in SQL."""
     out = scratch_folder(spark, "stream")
-    _event_stream(spark, sf_dir).createOrReplaceTempView("gridtide_stream")
+    feed = _feed(spark, sf_dir, "text", "id", "ts", "consumption", "event_type")
+    schema = T.StructType([*CONSUMPTION_CSV.fields, T.StructField("event_type", T.StringType())])
     found = spark.sql(
-        "SELECT event_type, id, consumption FROM gridtide_stream WHERE consumption > 100"
+        "SELECT event_type, id, consumption FROM {feed} WHERE consumption > 100",
+        feed=stream_csv(spark, feed, schema, FILES_PER_BATCH),
     )
     run_to_end(found, file_target(f"{out}/rows"), f"{out}/progress")
     return spark.read.schema("event_type string, id bigint, consumption double").parquet(

@@ -4,6 +4,7 @@ from pyspark.sql import types as T
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
+# The columns of header-less files, by position.
 CONSUMPTION_COLUMNS = ["id", "timestamp", "consumption"]
 CONSUMPTION_CSV = T.StructType(
     [
@@ -31,10 +32,3 @@ WEATHER_CSV = T.StructType(
         T.StructField("precipProbability", T.DoubleType()),
     ]
 )
-
-PREDICTIONS_CSV = T.StructType(
-    [
-        T.StructField("compositeId", T.StringType()),
-        T.StructField("expectedConsumption", T.DoubleType()),
-    ]
-)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Mapping
@@ -22,21 +24,45 @@ SESSION_SETTINGS = {
 }
 
 
-def get_session(app: str = "gridtide", master: str | None = None, **extra: str) -> SparkSession:
-    """A session with the library's settings; ``extra`` overrides them."""
+#: Bytes of input that one shuffle partition should stand for, and the widths between which that holds.
+SHUFFLE_BYTES = 128 << 20
+SHUFFLE_WIDTHS = (200, 200_000)
+
+
+def get_session(
+    app: str = "gridtide", master: str | None = None, input_bytes: int | None = None, **extra: str
+) -> SparkSession:
+    """A session with the library's settings; ``extra`` overrides them.
+
+    With ``input_bytes`` shuffles start as wide as that much input needs, and
+    adaptive execution merges what turns out small.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SESSION_SETTINGS, **extra}.items():
+    settings = dict(SESSION_SETTINGS)
+    if input_bytes is not None:
+        least, most = SHUFFLE_WIDTHS
+        width = min(most, max(least, -(-input_bytes // SHUFFLE_BYTES)))
+        settings["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = str(width)
+    for key, value in {**settings, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
-def pin_session(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else created."""
-    for key, value in SESSION_SETTINGS.items():
-        spark.conf.set(key, value)
-    return spark
+def pinned_session(spark: SparkSession) -> SparkSession:
+    """``spark`` if it has the library's settings, else a session beside it that has them.
+
+    The other session shares the context and copies the settings of ``spark``;
+    ``spark`` itself is not changed.
+    """
+    if all(spark.conf.get(k, None) == v for k, v in SESSION_SETTINGS.items()):
+        return spark
+    beside = spark.newSession()
+    for key, value in {**spark.conf.getAll, **SESSION_SETTINGS}.items():
+        if beside.conf.isModifiable(key):
+            beside.conf.set(key, value)
+    return beside
 
 
 @dataclass(frozen=True)
@@ -56,6 +82,17 @@ class Endpoints:
         )
 
 
+_local_folders: dict[str, str] = {}
+
+
+def _local_folder(application: str) -> str:
+    """A folder of this process for one application, removed when the process ends."""
+    if application not in _local_folders:
+        _local_folders[application] = tempfile.mkdtemp(prefix="gridtide-")
+        atexit.register(shutil.rmtree, _local_folders[application], ignore_errors=True)
+    return _local_folders[application]
+
+
 def scratch_folder(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder named by ``spark.checkpoint.dir``.
 
@@ -67,6 +104,5 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     if not base:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridtide-"))
-        base = sc.getCheckpointDir()
+        base = _local_folder(sc.applicationId)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -21,8 +21,9 @@ class Target:
         return self.options.get("path")
 
 
-def file_target(path: str, format: str = "parquet") -> Target:
-    return Target(format, {"path": path})
+def file_target(path: str, format: str = "parquet", **options: str) -> Target:
+    """Files below ``path``; ``options`` go to the writer, of batches and of streams alike."""
+    return Target(format, {"path": path, **options})
 
 
 def topic_target(
@@ -44,4 +45,5 @@ def write_batch(df: DataFrame, target: Target, batch_id: int | None = None) -> N
         writer.options(**target.options).save()
         return
     path = target.path if batch_id is None else f"{target.path}/batch={batch_id}"
-    writer.mode("overwrite").save(path)
+    options = {k: v for k, v in target.options.items() if k != "path"}
+    writer.options(**options).mode("overwrite").save(path)

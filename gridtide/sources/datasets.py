@@ -1,17 +1,14 @@
-"""The dataset catalogue: name, size and first lines of every file."""
+"""The dataset catalogue: name, size and first lines of every dataset."""
 
 from __future__ import annotations
 
-import io
-import re
-from collections.abc import Iterator, Sequence
-from itertools import islice
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridtide.functions.text import byte_text
+from gridtide.sources.files import LINE_ORDER, read_lines
 
 PREVIEW_LINES = 5
 
@@ -32,53 +29,50 @@ def preview(
     return first.groupBy(dataset).agg(listed["value"].alias("preview"))
 
 
-def _open_text(path: str):
-    from pyarrow import fs
-
-    # Hadoop writes local paths with one slash; s3a is a Hadoop name for s3.
-    uri = re.sub(r"^s3a:", "s3:", re.sub(r"^file:/(?!/)", "file:///", path))
-    system, inner = fs.FileSystem.from_uri(uri)
-    return io.TextIOWrapper(io.BufferedReader(system.open_input_stream(inner)), errors="replace")
-
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, length`` of the files in a folder and below it, empty ones included.
 
-def _first_lines(count: int):
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            previews = []
-            for path in batch["path"]:
-                with _open_text(path) as text:
-                    head = [line.rstrip("\n") for line in islice(text, count)]
-                previews.append([line for line in head if line])
-            yield batch.assign(preview=previews)
+    Spark lists the folder, in parallel where it is large, and reads no content.
+    Its scans leave empty files out, so the names come from the listing and the
+    sizes from a scan.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    sizes = files.select(_plain("_metadata.file_path").alias("path"), "length")
+    names = spark.createDataFrame([(name,) for name in files.inputFiles()], "name string")
+    # The listing and the scan write the start of a path with a different number of slashes.
+    path = F.regexp_replace(_plain("name"), "^file:/+", "file:///")
+    listed = names.select(path.alias("path"), F.lit(0).cast("bigint").alias("length"))
+    both = listed.unionByName(sizes.withColumn("path", F.regexp_replace("path", "^file:/+", "file:///")))
+    return both.groupBy("path").agg(F.sum("length").alias("length"))
 
-    return read
 
+def _plain(path: str):
+    """A path without the escapes of an address."""
+    return F.url_decode(F.replace(F.col(path), F.lit("+"), F.lit("%2B")))
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, length`` of the files directly in a folder, empty ones included.
 
-    File scans leave empty files out, so the folder is listed through Hadoop,
-    on the driver, as Spark itself does before a scan.
-    """
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-    listed = path.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(path)
-    found = [(f.getPath().toString(), f.getLen()) for f in listed if f.isFile()]
-    return spark.createDataFrame(found, "path string, length bigint")
+def _dataset(path, folder: str):
+    """The entry directly in ``folder`` that a path lies in; the last part of the folder names it."""
+    name = folder.rstrip("/").rsplit("/", 1)[-1]
+    return F.element_at(F.split(F.substring_index(path, f"/{name}/", -1), "/"), 1)
 
 
 def catalog(spark: SparkSession, folder: str, lines_shown: int = PREVIEW_LINES) -> DataFrame:
-    """``dataset_name, size, shown_size, preview`` of every file in a folder.
+    """``dataset_name, size, shown_size, preview`` of every dataset in a folder.
 
-    Names and sizes come from the listing alone.  Tasks open the files to read
-    the first lines only; a scan would read every file to its end for them.
+    A dataset is a file directly in the folder, or a folder in it with part
+    files, whose lines count in the order of the files' names.  Names and sizes
+    come from the listing.  First lines come from Spark's line scan, ranked in
+    each task, so a task sends ``lines_shown`` lines per dataset at most.
     """
-    with_heads = list_files(spark, folder).mapInPandas(
-        _first_lines(lines_shown), "path string, length bigint, preview array<string>"
+    sizes = (
+        list_files(spark, folder)
+        .groupBy(_dataset(F.col("path"), folder).alias("dataset_name"))
+        .agg(F.sum("length").alias("size"))
     )
-    return with_heads.select(
-        F.element_at(F.split("path", "/"), -1).alias("dataset_name"),
-        F.col("length").alias("size"),
-        byte_text(F.col("length")).alias("shown_size"),
-        "preview",
+    lines = read_lines(spark, folder, nested=True)
+    heads = preview(lines.withColumn("dataset_name", _dataset(_plain("file"), folder)), "dataset_name", LINE_ORDER, lines_shown)
+    shown = F.coalesce("preview", F.array().cast("array<string>"))
+    return sizes.join(heads, "dataset_name", "left").select(
+        "dataset_name", "size", byte_text(F.col("size")).alias("shown_size"), shown.alias("preview")
     )

@@ -32,12 +32,14 @@ def read_csv(
     return inferred.toDF(*names) if names else inferred
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], nested: bool = False) -> DataFrame:
     """``value`` and the line's place: ``file, block_start, line_no``.
 
-    ``path`` is a file or a directory; files directly below it are read.
+    ``path`` is a file or a directory, or several; files directly below are
+    read, with ``nested`` also those in folders below.
     """
-    return spark.read.text(path).select(
+    reader = spark.read.option("recursiveFileLookup", "true") if nested else spark.read
+    return reader.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),

@@ -16,10 +16,16 @@ ON_DUPLICATE = ("last", "fanout")
 
 
 def _tagged(lines: DataFrame) -> DataFrame:
+    """The non-empty lines with their fields and ``reason``, which is null for a good line."""
     key = F.get(F.split("value", SEPARATOR), F.lit(0))
     expected = field(F.col("value"), 1).try_cast("double")
     fields = {"key": key, "expected": expected, **key_columns(key)}
-    return with_columns_once(non_empty(lines), fields)
+    parsed = with_columns_once(non_empty(lines), fields)
+    written = composite_key(F.col("id"), F.col("date"), F.col("hour"))
+    reason = F.when(F.col("expected").isNull(), "bad expected value").when(
+        ~written.eqNullSafe(F.col("key")), "bad key"
+    )
+    return parsed.withColumn("reason", reason)
 
 
 def parse_model(
@@ -27,17 +33,17 @@ def parse_model(
 ) -> DataFrame:
     """``id, date, hour, expected`` from ``key,number`` lines.
 
-    Empty and malformed lines are skipped.  Of several lines for a key the last
+    Empty lines are skipped, malformed ones are in ``rejected_model_lines``: every
+    non-empty line is in one of the two.  Of several lines for a key the last
     in ``order`` counts (``last``), or all of them stay (``fanout``).  The key is
     kept as three typed columns, cheaper to join on than its text; a text that
-    only resembles a key (``7-2014-010-9``) matches no reading and is left out.
+    only resembles a key (``7-2014-010-9``) would match no reading and is malformed.
     """
     if on_duplicate not in ON_DUPLICATE:
         raise ValueError(f"unknown on_duplicate: {on_duplicate}")
     good = (
         _tagged(lines)
-        .where(F.col("expected").isNotNull())
-        .where(composite_key(F.col("id"), F.col("date"), F.col("hour")) == F.col("key"))
+        .where(F.col("reason").isNull())
         .select("id", "date", "hour", "expected", *(order if on_duplicate == "last" else ()))
     )
     if on_duplicate == "fanout":
@@ -47,11 +53,12 @@ def parse_model(
 
 
 def rejected_model_lines(lines: DataFrame) -> DataFrame:
-    """Lines without a number in the second field: ``value, reason``."""
-    bad = _tagged(lines).where(F.col("expected").isNull())
-    return bad.select("value", F.lit("bad expected value").alias("reason"))
+    """Lines without a number in the second field or without a key: ``value, reason``."""
+    return _tagged(lines).where(F.col("reason").isNotNull()).select("value", "reason")
 
 
-def load_model(spark: SparkSession, path: str, on_duplicate: str = "last") -> DataFrame:
-    """The model in a file, or in all files of a directory, in name order."""
+def load_model(
+    spark: SparkSession, path: str | list[str], on_duplicate: str = "last"
+) -> DataFrame:
+    """The model in a file, or in all files of directories, in the order of their paths."""
     return parse_model(read_lines(spark, path), LINE_ORDER, on_duplicate)

@@ -3,7 +3,7 @@
 from gridtide.streaming.detect import detect_each_batch, detect_stream
 from gridtide.streaming.interpolate import interpolate_each_batch
 from gridtide.streaming.run import (
-    progress_totals,
+    run_measured,
     records_per_trigger,
     run_to_end,
     spread,
@@ -15,7 +15,7 @@ __all__ = [
     "detect_each_batch",
     "detect_stream",
     "interpolate_each_batch",
-    "progress_totals",
+    "run_measured",
     "records_per_trigger",
     "run_to_end",
     "spread",

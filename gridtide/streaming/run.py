@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import threading
+from collections import defaultdict
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from gridtide.functions.text import count_text, duration_text
 from gridtide.sinks.targets import Target
@@ -62,15 +64,52 @@ def spread(lines: DataFrame, partitions: int) -> DataFrame:
     return lines.repartition(partitions)
 
 
-def progress_totals(query: StreamingQuery) -> DataFrame:
-    """One row: records read and time spent, from the query's recent progress."""
-    progress = query.recentProgress
-    rows = sum(p["numInputRows"] for p in progress)
-    millis = sum(p["durationMs"].get("triggerExecution", 0) for p in progress)
-    spark = SparkSession.active()
-    totals = spark.createDataFrame([(rows, millis / 1000)], "records bigint, seconds double")
+class ProgressSum(StreamingQueryListener):
+    """Adds up every progress update of the session's queries, by run.
+
+    A query itself keeps only its newest updates, so sums over those would miss
+    the earlier batches of a long run.
+    """
+
+    def __init__(self) -> None:
+        self._rows: dict[str, int] = defaultdict(int)
+        self._millis: dict[str, int] = defaultdict(int)
+        self._ended: dict[str, threading.Event] = defaultdict(threading.Event)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        run = str(event.progress.runId)
+        self._rows[run] += event.progress.numInputRows
+        self._millis[run] += event.progress.durationMs.get("triggerExecution", 0)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self._ended[str(event.runId)].set()
+
+    def of(self, query: StreamingQuery, wait_seconds: float = 60) -> tuple[int, float]:
+        """Records and seconds of a finished query; updates arrive in order, its end last."""
+        run = str(query.runId)
+        if not self._ended[run].wait(wait_seconds):
+            raise TimeoutError("the end of the query has not been reported")
+        return self._rows[run], self._millis[run] / 1000
+
+
+def run_measured(
+    df: DataFrame, target: Target | BatchWriter, checkpoint: str, **kwargs
+) -> DataFrame:
+    """Run through all data there is; one row: records read and time spent, over all batches."""
+    spark = df.sparkSession
+    sums = ProgressSum()
+    spark.streams.addListener(sums)
+    try:
+        found = sums.of(run_to_end(df, target, checkpoint, **kwargs))
+    finally:
+        spark.streams.removeListener(sums)
+    totals = spark.createDataFrame([found], "records bigint, seconds double")
     return totals.withColumns(
         {"shown": count_text(F.col("records")), "duration": duration_text(F.col("seconds"))}
     )
-
-

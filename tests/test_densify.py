@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from gridtide.operators import densify as N
@@ -109,6 +110,24 @@ def test_lines_without_id_are_one_chain(spark):
     assert dense_lines(df, 2, ["1;long"]) == ["1,0", "1,5", "2,10", "2,15"]
 
 
+SHORT = ["1,2024-01-01 00:00:00,9.0", "1,2024-01-01 00:10:00", "1,2024-01-01 00:20:00,x", "1,2024-01-01 00:30:00,3.0"]
+
+
+def test_a_missing_field_fails_or_is_rejected(spark):
+    lines = spark.createDataFrame(list(enumerate(SHORT)), "n int, value string")
+    for bad in (lines.where("n < 2"), lines.where("n IN (1, 3)"), lines.where("n >= 2")):
+        with pytest.raises(PySparkException):
+            N.interpolate_lines(bad, 2, ["2;double"], ["n"], id_position=0).collect()
+    dense = N.interpolate_lines(lines, 2, ["2;double"], ["n"], id_position=0, mode="permissive")
+    assert sorted(r.value for r in dense.collect()) == [
+        "1,2024-01-01 00:00:00,6.0",
+        "1,2024-01-01 00:00:00,9.0",
+    ]
+    rejects = N.rejected_dense_lines(lines, ["2;double"]).collect()
+    assert sorted(r.value for r in rejects) == SHORT[1:3]
+    assert {r.reason for r in rejects} == {"bad field 2"}
+
+
 def test_trailing_empty_fields_are_dropped(spark):
     df = lines_of(spark, "1,a,,", "3,b,,")
     assert dense_lines(df, 2, ["0;long"]) == ["1,a", "2,a"]

@@ -62,7 +62,7 @@ def test_missing_weather_policies(spark, pair):
     nothing = weather_of(spark, [(DAY, 10, 0.0)])
     assert set(collected(M.build_expected_model(readings, nothing)).values()) == {(19.0, 2)}
     assert M.build_expected_model(readings, nothing, missing_weather="drop").count() == 0
-    with pytest.raises(PySparkException, match="without a weather row"):
+    with pytest.raises(PySparkException, match="without a temperature"):
         M.build_expected_model(readings, nothing, missing_weather="error").collect()
     known = M.build_expected_model(*pair, missing_weather="error")
     assert set(collected(known).values()) == {(19.0, 2)}
@@ -143,6 +143,38 @@ def test_row_join_gives_the_same_sums(spark, pair):
     assert sorted(r.adjusted for r in joined.collect()) == [17.0, 21.0]
 
 
+@pytest.mark.parametrize("policy", ["neutral", "drop"])
+@pytest.mark.parametrize("exact", [True, False])
+def test_model_and_row_join_agree_on_missing_temperatures(spark, policy, exact):
+    rows = [(k % 3, f"2014-01-{10 + k % 4} {k % 6:02d}:30:00", k * 1.25) for k in range(60)]
+    readings = spark.createDataFrame(rows, "id long, t string, consumption double").select(
+        "id", F.to_timestamp("t").alias("ts"), F.col("consumption").cast("decimal(8,2)" if exact else "double")
+    )
+    kinds = [[], [None], [77.0], [None, 77.0], [float("nan")], [40.0, float("nan"), None]]
+    hours = [(f"2014-01-{d}", h, t) for d in range(10, 14) for h in range(6) for t in kinds[h]]
+    weather = spark.createDataFrame(hours, "d string, hour int, temperature double").select(
+        F.to_date("d").alias("date"), "hour", "temperature"
+    )
+    joined = M.join_weather(readings, weather, policy)
+    by_row = joined.groupBy("id", F.date_add("date", 1).alias("date"), "hour").agg(
+        F.avg(F.col("adjusted").cast("double")).alias("expected"), F.count("*").alias("n")
+    )
+    model = M.build_expected_model(readings, weather, lags=[1], missing_weather=policy)
+    key = lambda df: {(r.id, r.date, r.hour): (round(r.expected, 6), r.n) for r in df.collect()}
+    assert key(model) == key(by_row)
+
+
+def test_error_policy_fails_on_a_row_without_temperature(spark, pair):
+    readings, weather = pair
+    gap = weather.withColumn("temperature", F.lit(None).cast("double"))
+    for frame in (
+        M.join_weather(readings, gap, "error"),
+        M.build_expected_model(readings, gap, missing_weather="error"),
+    ):
+        with pytest.raises(PySparkException, match="without a temperature"):
+            frame.collect()
+
+
 def test_publish_and_load(spark, pair, tmp_path):
     model = M.build_expected_model(*pair)
     path = publish_model(model, str(tmp_path), run_ms=123)
@@ -172,7 +204,13 @@ def test_loader_rules(spark, tmp_path):
     single = load_model(spark, str(tmp_path / "a.csv"))
     assert [(r.id, r.date, r.hour, r.expected) for r in single.collect()] == [(7, DAY, 9, 2.0)]
     rejects = rejected_model_lines(read_lines(spark, str(tmp_path)))
-    assert sorted(r.value for r in rejects.collect()) == ["7-2014-10-9,x", "abc"]
+    assert {(r.value, r.reason) for r in rejects.collect()} == {
+        ("k,1", "bad key"),
+        ("abc", "bad expected value"),
+        ("7-2014-10-9,x", "bad expected value"),
+        ("7-2014-010-9,9", "bad key"),
+        ("8-2014-366-9,9", "bad key"),
+    }
     with pytest.raises(ValueError):
         parse_model(read_lines(spark, str(tmp_path)), on_duplicate="first")
 

@@ -45,24 +45,18 @@ def test_next_equals_brute_force(spark, keys, size):
     assert found == brute_next(rows, bool(keys))
 
 
-def test_hot_key_is_cut_and_others_are_not(spark):
-    df = spark.createDataFrame(skewed_rows(6000, seed=3), SCHEMA)
-    points = O.cut_points(df, ["id"], ["ts", "seq"], [], 400)
-    assert {r.id for r in points.rows.collect()} == {0}
-    sizes = O.with_segment(df, points).where("id = 0").groupBy(O.SEGMENT).count().collect()
-    assert len(sizes) >= 4
+@pytest.mark.parametrize("hot", [0, None])
+def test_hot_key_takes_several_segments(spark, hot):
+    rows = [(r[0] or hot, *r[1:]) for r in skewed_rows(6000, seed=3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    segments = O.in_segments(df, ["id"], ["ts", "seq"], 15)
+    sizes = segments.groupBy(O.SEGMENT).count().collect()
+    assert len(sizes) == 15
     assert max(r["count"] for r in sizes) < 1200
-    assert O.with_segment(df, points).where("id <> 0").select(O.SEGMENT).distinct().count() == 1
-
-
-def test_segments_do_not_depend_on_partitioning(spark):
-    rows = skewed_rows(3000, seed=5)
-    tagged = []
-    for parts in (2, 9):
-        df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
-        points = O.cut_points(df, [], ["ts", "seq"], [], 100)
-        tagged.append({r.seq: r[O.SEGMENT] for r in O.with_segment(df, points).collect()})
-    assert tagged[0] == tagged[1]
+    is_hot = F.col(f"{O.ROW}.id").eqNullSafe(F.lit(hot))
+    assert segments.where(is_hot).select(O.SEGMENT).distinct().count() >= 4
+    got = O.with_next(df, ["id"], ["ts", "seq"], ["seq"], rows_per_segment=400)
+    assert {r.seq: (r.next.seq if r.next else None) for r in got.collect()} == brute_next(rows, True)
 
 
 def test_next_struct_with_nulls_is_still_a_next(spark):
@@ -118,11 +112,21 @@ def test_max_before_equals_brute_force(spark, size):
     assert {r.seq: r.max_before for r in got.collect()} == expected
 
 
-def test_number_of_segments_is_bounded(spark):
+def test_segments_grow_in_number_not_in_size(spark):
     df = spark.range(1)
-    assert O.segment_size(df, 10**13, True, None) * O.MAX_SEGMENTS >= 10**13
-    assert O.segment_size(df, 10**4, True, None) == O.ROWS_PER_SEGMENT
-    assert O.segment_size(df, 10**4, False, None) == O.SMALLEST_SEGMENT
+    assert O.segment_count(df, 10**13, True, None) == 10**13 // O.ROWS_PER_SEGMENT
+    assert O.segment_count(df, 10**4, True, None) == 1
+    assert O.segment_count(df, 10**4, False, None) == 10**4 // O.SMALLEST_SEGMENT
+    assert O.segment_count(df, 0, False, None) == 1
+
+
+def test_columns_called_like_the_helpers(spark):
+    df = spark.createDataFrame([(1, i, 2 * i) for i in range(50)], "_segment long, _at long, _row long")
+    got = O.with_next(df, ["_segment"], ["_at"], ["_row"], rows_per_segment=7, into="_first")
+    assert got.columns == ["_segment", "_at", "_row", "_first"]
+    assert {r["_at"]: r["_first"][0] if r["_first"] else None for r in got.collect()} == {
+        i: 2 * i + 2 if i < 49 else None for i in range(50)
+    }
 
 
 def test_empty_table(spark):

@@ -5,10 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
+from gridtide.plans import QUERIES
 from gridtide.operators import detect as D
 from gridtide.operators.densify import interpolate_lines
-from gridtide.operators.model import broadcast_hours
 from gridtide.sources.files import LINE_ORDER, read_lines
 
 
@@ -17,10 +16,10 @@ def plan_of(df):
 
 
 @pytest.mark.parametrize(
-    "name", sorted(n for n in contract.queries() if not n.startswith("stream_"))
+    "name", sorted(n for n in QUERIES if not n.startswith("stream_"))
 )
 def test_no_cross_join_and_no_window_over_everything(spark, sf_dir, name):
-    plan = plan_of(contract.queries()[name](spark, sf_dir))
+    plan = plan_of(QUERIES[name](spark, sf_dir))
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     # A window's definition starts with what it is partitioned by.  The one over the
@@ -30,9 +29,9 @@ def test_no_cross_join_and_no_window_over_everything(spark, sf_dir, name):
 
 
 def test_scan_reads_only_what_the_query_needs(spark, sf_dir):
-    plan = plan_of(contract.queries()["threshold_lines"](spark, sf_dir))
+    plan = plan_of(QUERIES["threshold_lines"](spark, sf_dir))
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in plan
-    plan = plan_of(contract.queries()["threshold_anomalies"](spark, sf_dir))
+    plan = plan_of(QUERIES["threshold_anomalies"](spark, sf_dir))
     assert "GreaterThan(value,5.0)" in plan
 
 
@@ -70,24 +69,17 @@ def test_hot_hour_is_split_in_the_join(spark):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def test_hourly_table_is_broadcast_only_within_its_limit(spark, tmp_path):
-    hours = spark.range(1000).select(
-        F.lit("2014-01-10").cast("date").alias("date"), F.col("id").alias("hour")
-    )
-    hours.write.parquet(str(tmp_path / "h"))
-    stored = spark.read.parquet(str(tmp_path / "h"))
-    assert broadcast_hours(stored) is stored
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    try:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+def test_the_model_is_planned_without_a_job(spark, sf_dir):
+    from gridtide.operators import model as M
+    from gridtide.sources import tables
 
-        def hinted(df):
-            return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
-
-        assert hinted(broadcast_hours(stored))
-        assert not hinted(broadcast_hours(stored, limit=10))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    readings, weather = tables.events(spark, sf_dir), tables.weather(spark, sf_dir)
+    read = len(tracker.getJobIdsForGroup(None))
+    M.build_expected_model(readings, M.weather_hours(weather)).explain()
+    assert len(tracker.getJobIdsForGroup(None)) == read
+    assert read >= before
 
 
 @pytest.mark.parametrize("size", [None, 7])

@@ -4,6 +4,7 @@ import pytest
 from compare import connect, difference
 
 import __spark_entry__ as contract
+from gridtide.plans import ORACLE, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -12,13 +13,18 @@ def con(sf_dir):
 
 
 def test_every_query_has_a_twin():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(ORACLE) == set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_twin(spark, con, sf_dir, name):
-    df = contract.queries()[name](spark, sf_dir)
-    assert difference(df, con, contract.oracle_sql()[name]) is None
+    df = QUERIES[name](spark, sf_dir)
+    assert difference(df, con, ORACLE[name]) is None
+
+
+def test_the_entry_hands_out_all_of_them():
+    assert QUERIES.items() <= contract.queries().items()
+    assert ORACLE.items() <= contract.oracle_sql().items()
 
 
 def test_entry_runs(spark):

@@ -47,6 +47,32 @@ def test_catalog(spark, tmp_path):
     assert len(rows) == 3
 
 
+def test_catalog_of_folders_with_part_files(spark, tmp_path):
+    (tmp_path / "a+b c").mkdir()
+    (tmp_path / "a+b c" / "part-1").write_text("3\n4\n")
+    (tmp_path / "a+b c" / "part-0").write_text("1\n2\n")
+    row = datasets.catalog(spark, str(tmp_path) + "/", lines_shown=3).first()
+    assert (row.dataset_name, row.size, row.preview) == ("a+b c", 8, ["1", "2", "3"])
+
+
+def test_file_targets_pass_their_options_on(spark, tmp_path):
+    target = file_target(str(tmp_path / "out"), "csv", sep=";", header="true")
+    write_batch(spark.createDataFrame([(1, 2)], "a int, b int").coalesce(1), target, batch_id=0)
+    text = "".join(f.read_text() for f in (tmp_path / "out" / "batch=0").glob("part-*"))
+    assert text == "a;b\n1;2\n"
+
+
+def test_another_session_keeps_its_settings(spark):
+    other = spark.newSession()
+    other.conf.set("spark.sql.session.timeZone", "Europe/Prague")
+    other.conf.set("spark.sql.shuffle.partitions", "5")
+    pinned = S.pinned_session(other)
+    assert other.conf.get("spark.sql.session.timeZone") == "Europe/Prague"
+    assert pinned.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert pinned.conf.get("spark.sql.shuffle.partitions") == "5"
+    assert S.pinned_session(pinned) is pinned
+
+
 def test_preview_of_lines(spark):
     rows = [("a", i, v) for i, v in enumerate(["1,x", "", "2,y", "3", "4", "5"])] + [("b", 0, "")]
     df = spark.createDataFrame(rows, "d string, n int, value string")
