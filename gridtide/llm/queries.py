@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtide.llm import bpe, chat, decontaminate, fingerprint, jaccard, lm, pages, quality, secrets, sharding
+from gridtide.llm.oracle import ORACLE
+
+__all__ = ["GOOD", "ORACLE", "QUERIES", "table"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-#: The registered queries that SQL can express.
-ORACLE: dict[str, str] = {}
 
 #: Score from which a document counts as good.
 GOOD = 0.3
@@ -71,31 +72,26 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = fingerprint.fingerprints(texts(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit(""))))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = fingerprint.with_next(own, "doc_id", ["text", "sketch"], parts)
+    own = texts(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))
+    # Several ranges for each partition, so that partitions get about the same number of rows.
+    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Only texts are shuffled: sketches are hashes, which do not compress, and cost little to compute.
+    pairs = fingerprint.with_next(own, "doc_id", ["text"], ranges)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), n - half), F.col("next_text").substr(F.lit(1), half))
-    edited = pairs.select("doc_id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
-    both = fingerprint.fingerprints(edited, "edited", "edited_sketch")
-    return both.select(
+    all_texts = pairs.select("doc_id", n.cast("long").alias("n_chars"), "text", "next_text", edited.alias("edited"))
+    for column in ("text", "next_text", "edited"):
+        all_texts = fingerprint.fingerprints(all_texts, column, f"{column}_sketch")
+    sketch = F.col("text_sketch")
+    return all_texts.select(
         "doc_id",
         "n_chars",
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint.as_text(F.col("sketch")).alias("fingerprint"),
+        fingerprint.as_text(sketch).alias("fingerprint"),
         fingerprint.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        fingerprint.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        fingerprint.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
-    )
-
-
-@query
-def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = texts(spark, sf_dir).withColumn("learn", ~(id_remainder("doc_id", 7) == 2))
-    scored = lm.score_texts(documents, "learn")
-    return scored.withColumn("held_out", id_remainder("doc_id", 7) == 2).select(
-        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+        fingerprint.likeness(sketch, F.col("edited_sketch")).alias("near_edited"),
+        fingerprint.likeness(sketch, F.col("next_text_sketch")).alias("near_next"),
     )
 
 
