@@ -216,21 +216,22 @@ def _counted(merged: DataFrame, history: list[Totals]) -> Totals:
     """The totals after the rounds of ``history``; at first those of one table for each pair and word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        customers, tables = np.zeros(CONTEXTS + 1), np.zeros(CONTEXTS + 1)
         for batch in batches:
             for row in batch.to_pylist():
                 s = Sampler(np.cumsum(_unplaned(row["pairs"], np.uint64)), _unplaned(row["counts"], np.uint64), history, row["bucket"])
                 for _ in range(SWEEPS if history else 0):
                     s.sweep()
-                customers = np.bincount(s.context, weights=s.counts, minlength=CONTEXTS)
-                known = int((s.word_counts > 0).sum())
-                columns = [np.arange(CONTEXTS + 1, dtype=np.int32), np.append(customers, known), np.append(s.own_tables(), s.parent_tables.sum())]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["context", "customers", "tables"])
-
-    sums = merged.select("bucket", "pairs", "counts").mapInArrow(run, "context int, customers double, tables double")
-    rows = sums.groupBy("context").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")).collect()
-    customers, tables = np.zeros(CONTEXTS + 1), np.zeros(CONTEXTS + 1)
-    for r in rows:
-        customers[r["context"]], tables[r["context"]] = r["customers"], r["tables"]
+                own = np.bincount(s.context, weights=s.counts, minlength=CONTEXTS)
+                customers += np.append(own, (s.word_counts > 0).sum())
+                tables += np.append(s.own_tables(), s.parent_tables.sum())
+        yield pa.RecordBatch.from_pydict({"customers": [customers], "tables": [tables]})
+
+    # One row of sums from each task, added up number by number.
+    sums = merged.select("bucket", "pairs", "counts").mapInArrow(run, "customers array<double>, tables array<double>")
+    total = lambda c: F.array(*(F.sum(F.col(c)[k]) for k in range(CONTEXTS + 1))).alias(c)
+    row = sums.agg(total("customers"), total("tables")).first()
+    customers, tables = (np.array([x or 0.0 for x in row[c]]) for c in ("customers", "tables"))
     return Totals(customers[:CONTEXTS], tables[:CONTEXTS], float(tables[CONTEXTS]), int(customers[CONTEXTS]))
 
 
