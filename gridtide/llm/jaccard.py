@@ -50,7 +50,9 @@ SMALL = 256
 #: Members of one segment in one part of the input from which they are spread over tasks.
 HOT = 64
 #: Segments put out at once; a part of the input with more gives several rows a bucket.
-FLUSH = 1 << 22
+FLUSH = 1 << 20
+#: Members of a signature that are compared in one group; more are cut into pieces, compared two by two.
+PIECE = 2000
 
 _XOR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -324,32 +326,58 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _unlike_pairs(n: np.ndarray, bits: np.ndarray, component: np.ndarray, piece: np.ndarray | None, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, places j) of members, in order of size, that sizes and sketches do not rule out and that are in different components."""
+    last = np.searchsorted(n, n * 100 // percent, "right")
+    for i in range(len(n)):
+        j = np.arange(i + 1, last[i])
+        other = component[j] != component[i]
+        if piece is not None:
+            other &= piece[j] != piece[i]
+        j = j[other]
+        if len(j):
+            unlike = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            j = j[unlike * (100 + percent) <= (n[j] + n[i]) * (100 - percent)]
+            if len(j):
+                yield i, j
+
+
 def _across(rows: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """(a, b) of members of a signature that are in different components and that the sketches do not rule out."""
+    """(a, b) of members of a signature that are in different components and that the sketches do not rule out.
+
+    ``rows`` has ``members``, the number of its signature's members.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        groups: dict[int, list] = {}
-        for sig, *member in zip(*(table[c].to_pylist() for c in ("sig", "n", "id", "component", "sketch")), strict=True):
-            groups.setdefault(sig, []).append(member)
-        tested: set[tuple[int, int]] = set()
-        found: list[tuple[int, int]] = []
-        for members in groups.values():
-            members.sort(key=lambda m: m[:2])
-            for i, (n, own, group, sketch) in enumerate(members):
-                for m, there, other, theirs in members[i + 1 :]:
-                    if m * percent > 100 * n:
-                        break  # the rest is larger still
-                    pair = (min(own, there), max(own, there))
-                    if group != other and pair not in tested:
-                        tested.add(pair)
-                        if may_link(n, sketch, m, theirs, percent):
-                            found.append(pair)
-            if len(tested) > 1 << 20:
-                tested.clear()
-        found = list(set(found))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
-
-    return rows.groupBy(F.pmod("sig", F.lit(buckets)).alias("bucket")).applyInArrow(run, "a long, b long")
+        sig, a, b = (table[c].to_numpy() for c in ("sig", "first", "second"))
+        n, own, component, piece = (table[c].to_numpy() for c in ("n", "id", "component", "piece"))
+        order = np.lexsort((own, n, b, a, sig))
+        new = np.ones(len(order), dtype=bool)
+        key = [x[order] for x in (sig, a, b)]
+        new[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
+        edge = np.append(np.flatnonzero(new), len(order))
+        sketches = table["sketch"].to_pylist()
+        low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, y in zip(edge[:-1], edge[1:], strict=True):
+            at = order[x:y]
+            width = min(len(sketches[k]) for k in at)
+            bits = np.frombuffer(b"".join(_folded(sketches[k], width).to_bytes(width) for k in at), dtype=np.uint64).reshape(len(at), -1)
+            pieces = piece[at] if a[at[0]] != b[at[0]] else None
+            for i, j in _unlike_pairs(n[at], bits, component[at], pieces, percent):
+                ids = own[at[j]]
+                low.append(np.minimum(ids, own[at[i]]))
+                high.append(np.maximum(ids, own[at[i]]))
+        pairs = np.unique(np.column_stack((np.concatenate(low), np.concatenate(high))), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    pieces = F.ceil(F.col("members") / PIECE).cast("int")
+    cut = rows.withColumn("piece", F.pmod(F.xxhash64("id"), pieces).cast("int"))
+    dealt = cut.select("*", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("with"))
+    dealt = dealt.select(
+        "sig", "id", "component", "n", "sketch", "piece", F.least("piece", "with").alias("first"), F.greatest("piece", "with").alias("second")
+    )
+    bucket = F.pmod(F.xxhash64("sig", "first", "second"), F.lit(buckets)).alias("bucket")
+    return dealt.groupBy(bucket).applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, document: str = "doc_id", column: str = "text", percent: int = SIMILARITY) -> DataFrame:
@@ -388,8 +416,9 @@ def near_duplicates(df: DataFrame, document: str = "doc_id", column: str = "text
     placed = shared.select("sig", "id").join(reps, F.col("id") == F.col("own")).select("sig", F.col("rep").alias("id")).distinct()
     placed = placed.join(joined.select(F.col("u").alias("id"), "v"), "id", "left")
     placed = stored(placed.select("sig", "id", F.coalesce("v", "id").alias("component")), "placed")
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    rest = placed.join(mixed.select("sig"), "sig", "left_semi").join(heads, "id").select("sig", "id", "component", "n", "sketch")
+    mixed = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+    mixed = mixed.filter("low < high").select("sig", "members")
+    rest = placed.join(mixed, "sig").join(heads, "id").select("sig", "members", "id", "component", "n", "sketch")
     more = stored(_across(rest, percent, buckets).distinct(), "pairs")
     links = links.unionByName(stored(_verified(more, docs, percent), "links")).select(F.col("a").alias("u"), F.col("b").alias("v"))
     joined = components(links.unionByName(reps.select(F.col("own").alias("u"), F.col("rep").alias("v"))))

@@ -75,6 +75,12 @@ def test_hot_signatures_are_spread_and_lose_nothing(spark, monkeypatch):
     assert result(jaccard.near_duplicates(df)) == brute(rows)
 
 
+def test_pieces_of_a_large_group_lose_nothing(spark, corpus, monkeypatch):
+    monkeypatch.setattr(jaccard, "PIECE", 7)
+    df = spark.createDataFrame(corpus, "doc_id long, text string").repartition(3)
+    assert result(jaccard.near_duplicates(df)) == brute(corpus)
+
+
 def test_other_similarity(spark, corpus):
     few = corpus[:110]
     df = spark.createDataFrame(few, "doc_id long, text string")
