@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +36,29 @@ def sliding(
     )
 
 
+def sliding_totals(
+    df: DataFrame,
+    size: str,
+    slide: str,
+    keys: Sequence[str],
+    sums: Mapping[str, Column],
+    count: str = "n",
+    ts: str = "ts",
+) -> DataFrame:
+    """Counts and sums of ``sliding`` windows whose size is a multiple of their slide.
+
+    Readings are summed per slide first, and only these sums are spread over the
+    windows they belong to; ``sliding`` spreads every reading.
+    """
+    parts = {name: F.sum(column).alias(name) for name, column in sums.items()}
+    per_slide = df.groupBy(F.window(ts, slide).alias("_slide"), *keys).agg(
+        F.count(F.lit(1)).alias(count), *parts.values()
+    )
+    totals = [F.sum(name).alias(name) for name in (count, *sums)]
+    begun = per_slide.withColumn("_begin", F.col("_slide.start"))
+    return sliding(begun, size, slide, keys, totals, "_begin")
+
+
 def with_watermark(df: DataFrame, delay: str, ts: str = "ts") -> DataFrame:
     """Rows later than the delay are dropped by the stateful operators that follow."""
     return df.withWatermark(ts, delay)

@@ -44,7 +44,13 @@ from gridtide.operators.replay import (
     send_slots,
     timed_totals,
 )
-from gridtide.operators.windows import join_within, late_rows, sliding, tumbling, with_watermark
+from gridtide.operators.windows import (
+    join_within,
+    late_rows,
+    sliding_totals,
+    tumbling,
+    with_watermark,
+)
 from gridtide.schemas import CONSUMPTION_CSV, TIMESTAMP_FORMAT, WEATHER_CSV
 from gridtide.session import pinned_session, scratch_folder
 from gridtide.sinks import file_target, publish_model, save_model
@@ -654,7 +660,8 @@ def tumbling_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sliding_6h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X2."""
     readings = tables.events(spark, sf_dir)
-    return _window_shown(sliding(readings, "6 hours", "1 hour", ["id"], _window_aggregates()))
+    cents = F.round(F.col("consumption") * 100).cast("bigint")
+    return _window_shown(sliding_totals(readings, "6 hours", "1 hour", ["id"], {"cents": cents}))
 
 
 @_registered

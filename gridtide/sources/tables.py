@@ -30,8 +30,17 @@ def as_readings(events_table: DataFrame) -> DataFrame:
 
 
 def exact(readings: DataFrame) -> DataFrame:
-    """Readings as decimals, which they are to the cent: their sums have no rounding."""
-    return readings.withColumn("consumption", F.col("consumption").cast("decimal(8,2)"))
+    """Readings as decimals, which they are to the cent: their sums have no rounding.
+
+    A reading that is not to the cent fails the job instead of being rounded.
+    """
+    given = F.col("consumption")
+    cents = given.cast("decimal(18,2)")
+    same = cents.cast("double").eqNullSafe(given)
+    checked = F.when(same, cents).otherwise(
+        F.raise_error(F.concat(F.lit("not to the cent: "), given.cast("string")))
+    )
+    return readings.withColumn("consumption", checked)
 
 
 def as_lines(readings: DataFrame) -> DataFrame:

@@ -213,6 +213,16 @@ def test_sliding_windows(spark):
     assert sorted(r.window_start.hour for r in got.collect()) == [1, 2, 3]
 
 
+def test_sliding_totals_equal_sliding(spark):
+    df = spark.range(500).select(
+        (F.col("id") % 3).alias("k"), F.timestamp_seconds(F.col("id") * 977).alias("ts"), F.col("id").alias("v")
+    )
+    plain = W.sliding(df, "3 hours", "1 hour", ["k"], [F.count("*").alias("n"), F.sum("v").alias("v")])
+    totals = W.sliding_totals(df, "3 hours", "1 hour", ["k"], {"v": F.col("v")})
+    assert totals.columns == plain.columns
+    assert sorted(map(tuple, totals.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_late_rows_equals_brute_force(spark):
     times = [(i * 37) % 101 * 60 for i in range(400)]
     df = spark.createDataFrame(list(enumerate(times)), "seq long, s long").select(
