@@ -21,6 +21,7 @@ moves is a dictionary for each block, not a row for each token.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +32,10 @@ from pyspark.sql import functions as F
 from gridtide.llm.components import stored
 from gridtide.llm.words import SPACED, Words, mix, text_chunks
 
-CONTEXTS = 256
+CONTEXTS = 4096
 #: Discounts and strengths of the context restaurants and of their parent.
-DISCOUNT, STRENGTH = 0.5, 2000.0
-PARENT_DISCOUNT, PARENT_STRENGTH = 0.6, 10.0
+DISCOUNT, STRENGTH = 0.8, 200.0
+PARENT_DISCOUNT, PARENT_STRENGTH = 0.8, 10.0
 #: Rounds between which totals are summed up, sweeps in a round, and sweeps of the last round that count as samples.
 ROUNDS, SWEEPS, SAMPLES = 3, 2, 3
 SINGLY = 64
@@ -64,7 +65,7 @@ def _gaps(x: np.ndarray) -> np.ndarray:
 def pair_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text, key) of every token of some texts, the end of each text included, in order.
 
-    A key is the word's hash with the number of its context in the low bits.
+    A key is the first 52 bits of the word's hash, and the number of its context.
     """
     words = Words(column, SPACED)
     n = len(words.counts)
@@ -225,13 +226,18 @@ def _counted(merged: DataFrame, history: list[Totals]) -> Totals:
                 own = np.bincount(s.context, weights=s.counts, minlength=CONTEXTS)
                 customers += np.append(own, (s.word_counts > 0).sum())
                 tables += np.append(s.own_tables(), s.parent_tables.sum())
-        yield pa.RecordBatch.from_pydict({"customers": [customers], "tables": [tables]})
-
-    # One row of sums from each task, added up number by number.
-    sums = merged.select("bucket", "pairs", "counts").mapInArrow(run, "customers array<double>, tables array<double>")
-    total = lambda c: F.array(*(F.sum(F.col(c)[k]) for k in range(CONTEXTS + 1))).alias(c)
-    row = sums.agg(total("customers"), total("tables")).first()
-    customers, tables = (np.array([x or 0.0 for x in row[c]]) for c in ("customers", "tables"))
+        yield pa.RecordBatch.from_pydict({"customers": [customers.tobytes()], "tables": [tables.tobytes()]})
+
+    def added(rows: pa.Table) -> pa.Table:
+        sums = {c: [np.sum([np.frombuffer(x.as_py()) for x in rows[c]], axis=0).tobytes()] for c in ("customers", "tables")}
+        return pa.table(sums)
+
+    # One row of sums from each task; groups of tasks are added up, and the driver adds the groups.
+    schema = "customers binary, tables binary"
+    groups = math.isqrt(int(merged.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    sums = merged.select("bucket", "pairs", "counts").mapInArrow(run, schema)
+    rows = sums.groupBy((F.spark_partition_id() % groups).alias("group")).applyInArrow(added, schema).collect()
+    customers, tables = (sum((np.frombuffer(bytes(r[c])) for r in rows), np.zeros(CONTEXTS + 1)) for c in ("customers", "tables"))
     return Totals(customers[:CONTEXTS], tables[:CONTEXTS], float(tables[CONTEXTS]), int(customers[CONTEXTS]))
 
 
