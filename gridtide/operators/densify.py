@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from gridtide.functions.once import with_columns_once
 from gridtide.operators.order import with_next
-from gridtide.operators.parse import SEPARATOR
+from gridtide.operators.parse import SEPARATOR, strict_timestamp
+from gridtide.schemas import TIMESTAMP_FORMAT
 
 STEP = "_step"
 NEXT = "_next"
@@ -190,20 +191,14 @@ def _fields(line: Column) -> Column:
     return F.split(F.regexp_replace(line, f"(?<=.){SEPARATOR}+$", ""), SEPARATOR)
 
 
-def _end_of(fields: Column, spec: FieldInterp) -> Column:
-    """A field as the number or instant its kind says; null only where the line is too short."""
+def _value_of(fields: Column, spec: FieldInterp) -> Column:
+    """A field as the number or instant its kind says, null where it is missing or unreadable."""
     text = F.get(fields, F.lit(spec.position))
-    if spec.kind == "date":
-        return F.to_timestamp(text, spec.fmt)
-    return F.trim(text).cast("double" if spec.kind == "double" else "bigint")
-
-
-def _readable(fields: Column, spec: FieldInterp) -> Column:
-    """Whether a field is there and of its kind."""
-    text = F.get(fields, F.lit(spec.position))
-    if spec.kind == "date":
-        return F.try_to_timestamp(text, F.lit(spec.fmt)).isNotNull()
-    return F.trim(text).try_cast("double" if spec.kind == "double" else "bigint").isNotNull()
+    if spec.kind != "date":
+        return F.trim(text).try_cast("double" if spec.kind == "double" else "bigint")
+    if spec.fmt == TIMESTAMP_FORMAT:
+        return strict_timestamp(text)
+    return F.try_to_timestamp(text, F.lit(spec.fmt))
 
 
 def _known_specs(specs: Sequence[str]) -> list[FieldInterp]:
@@ -216,7 +211,7 @@ def _with_reason(lines: DataFrame, specs: Sequence[str], value: str) -> DataFram
     fields = _fields(F.col(value))
     reason = F.lit(None).cast("string")
     for spec in reversed(_known_specs(specs)):
-        reason = F.when(~_readable(fields, spec), f"bad field {spec.position}").otherwise(reason)
+        reason = F.when(_value_of(fields, spec).isNull(), f"bad field {spec.position}").otherwise(reason)
     return with_columns_once(lines, {"reason": reason})
 
 
@@ -256,24 +251,26 @@ def interpolate_lines(
     if mode == "permissive":
         good = _with_reason(lines, specs, value).where(F.col("reason").isNull())
         lines = good.select(*lines.columns)
-    keyed = lines
+    # Every line is parsed once; what its successor needs of it travels as values.
+    fields = _fields(F.col(value))
+    parsed_fields = {f"_v{k}": _value_of(fields, spec) for k, spec in enumerate(chosen)}
     id_cols: list[str] = []
     if id_position is not None and id_position >= 0:
-        keyed = lines.withColumn("_id", F.get(F.split(value, SEPARATOR), F.lit(id_position)))
+        parsed_fields["_id"] = F.get(F.split(value, SEPARATOR), F.lit(id_position))
         id_cols = ["_id"]
     pairs = with_next(
-        keyed,
+        lines.withColumns(parsed_fields),
         id_cols,
         order,
-        [value],
+        [f"_v{k}" for k in range(len(chosen))] or [value],
         rows_per_segment=rows_per_segment,
         total_rows=total_rows,
         into=NEXT,
     )
 
-    def required(fields: Column, spec: FieldInterp, line: Column) -> Column:
-        message = F.concat(F.lit(f"no field {spec.position} in: "), line)
-        return F.coalesce(_end_of(fields, spec), F.raise_error(message))
+    def required(found: Column, spec: FieldInterp) -> Column:
+        message = F.concat(F.lit(f"cannot interpolate field {spec.position} at: "), F.col(value))
+        return F.coalesce(found, F.raise_error(message))
 
     def kept(start: int, stop: int | None) -> Column:
         """The earlier record's fields from start up to stop, null where there are none."""
@@ -281,16 +278,12 @@ def interpolate_lines(
         part = F.slice("_first", F.lit(start + 1), F.greatest(length, F.lit(0)))
         return F.when(F.size(part) > 0, F.array_join(part, SEPARATOR))
 
-    # All parsing is done once per pair; a step only computes and joins texts.
-    following = F.col(NEXT)[value]
-    split = pairs.where(F.col(NEXT).isNotNull()).withColumns(
-        {"_first": _fields(F.col(value)), "_second": _fields(following)}
-    )
+    split = pairs.where(F.col(NEXT).isNotNull()).withColumn("_first", fields)
     pieces, place = {}, 0
     for k, spec in enumerate(chosen):
         pieces[f"_kept{k}"] = kept(place, spec.position)
-        pieces[f"_from{k}"] = required(F.col("_first"), spec, F.col(value))
-        pieces[f"_to{k}"] = required(F.col("_second"), spec, following)
+        pieces[f"_from{k}"] = required(F.col(f"_v{k}"), spec)
+        pieces[f"_to{k}"] = required(F.col(NEXT)[f"_v{k}"], spec)
         place = spec.position + 1
     pieces["_rest"] = kept(place, None)
     carried = [c for c in lines.columns if c != value]
