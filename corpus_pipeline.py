@@ -14,8 +14,8 @@ from gridtide.session import scratch_folder
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality trees, fitted on the labelled ones among them, do not reject."""
     trees = quality.learn_quality(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score_quality(docs, trees, score="_score")
-    return scored.filter(F.col("_score") >= GOOD).drop("_score")
+    scored = quality.score_quality(docs, trees, score="__score")
+    return scored.filter(F.col("__score") >= GOOD).drop("__score")
 
 
 def single_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,15 +26,18 @@ def single_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = jaccard.near_duplicates(docs)
     heads = found.filter("doc_id = component_id").select("doc_id").distinct()
     own = Window.partitionBy("doc_id").orderBy("text", *(c for c in docs.columns if c not in ("doc_id", "text")))
-    kept = docs.join(heads, "doc_id", "left_semi").withColumn("_n", F.row_number().over(own)).filter("_n = 1").drop("_n")
+    kept = docs.join(heads, "doc_id", "left_semi").withColumn("__place", F.row_number().over(own)).filter("__place = 1").drop("__place")
     return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words lies in benchmark passages."""
-    found = decontaminate.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    # The documents' own columns give way for a while if they are called like the result's.
+    aside = {c: f"_own_{c}" for c in ("n_words", "n_hit", "hits", "items") if c in docs.columns}
+    found = decontaminate.find_benchmark(docs.withColumnsRenamed(aside), table(spark, sf_dir, "benchmark"))
     kept = ~decontaminate.is_contaminated("n_words", "n_hit")
-    return found.withColumn("n_hit", decontaminate.hit_words()).filter(kept).select(docs.columns)
+    clean = found.withColumn("n_hit", decontaminate.hit_words()).filter(kept)
+    return clean.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,17 @@ def test_stages_in_order_and_columns(spark, sf_dir, documents):
         assert stage(name)(spark, documents.limit(30), sf_dir).columns == documents.columns
 
 
+def test_stages_keep_columns_called_like_their_own(spark, sf_dir, documents):
+    more = {c: "mine" for c in ("n_words", "n_hit", "hits", "items", "score", "spans", "ids", "component_id", "rep", "_n")}
+    from pyspark.sql import functions as F
+
+    docs = documents.limit(40).withColumns({c: F.lit(v) for c, v in more.items()})
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, docs, sf_dir)
+        assert out.columns == docs.columns, name
+        assert all(r[c] == "mine" for r in out.collect() for c in more), name
+
+
 def test_quality_stage_keeps_what_scores_well(spark, sf_dir, documents):
     kept = texts(stage("quality classifier")(spark, documents, sf_dir))
     trees = quality.learn_quality(documents, spark.read.parquet(f"{sf_dir}/labels.parquet"))
