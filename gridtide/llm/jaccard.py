@@ -22,8 +22,8 @@ Candidates are verified twice: by bit sketches (two bits a shingle), whose
 Hamming distance is a lower bound of the symmetric difference too, and then on
 the whole shingle sets.  Verification goes in two rounds.  First the members of
 a segment's group are compared with one of them only, and linked documents
-become components.  Then members of different components are compared with each
-other.  So a group of many copies costs a comparison each, not all pairs, and
+become components.  Then members of different components that met in some segment are
+compared with each other.  So a group of many copies costs a comparison each, not all pairs, and
 yet every pair that could join two components is tested.
 """
 
@@ -52,7 +52,7 @@ HOT = 64
 #: Segments put out at once; a part of the input with more gives several rows a bucket.
 FLUSH = 1 << 20
 #: Members of a signature that are compared in one group; more are cut into pieces, compared two by two.
-PIECE = 2000
+PIECE = 4000
 
 _XOR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -185,42 +185,47 @@ def _unplaned(raw: bytes, kind: type) -> np.ndarray:
 
 
 def _bucketed(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """(bucket, gaps, places, ids): signatures dealt to buckets, those of one part of the input sorted and packed.
+    """(bucket, hot, gaps, places, ids): signatures dealt to buckets, those of one part of the input sorted and packed.
 
     Sets that occur more than once in the part count once.  A signature with
-    many members there goes to its bucket with one of them, and with all of them
-    to another bucket that depends on the part.
+    many members there is hot: it goes to its bucket with one of them, and with
+    all of them to another bucket that depends on the part.
     """
 
     def packed(sets: list, sigs: list, ids: list) -> Iterator[pa.RecordBatch]:
         id_of = np.concatenate(ids)
         member, sig = np.concatenate(sets), np.concatenate(sigs)
+        if not len(sig):
+            return
         bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(sig)  # ascending signatures are ascending buckets
         member, sig, bucket = member[order], sig[order], bucket[order]
         begin = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         many = np.diff(np.append(begin, len(sig)))
-        hot = np.repeat(many > HOT, many)
-        if hot.any():
+        warm = np.repeat(many > HOT, many)
+        hot = np.zeros(len(sig), dtype=bool)
+        if warm.any():
             lead = begin[many > HOT]
             salt = int(id_of[0]) * 2654435761 % buckets
-            moved = (bucket[hot] + 1 + salt) % buckets
-            bucket = np.concatenate((bucket[~hot], bucket[lead], moved))
-            member = np.concatenate((member[~hot], member[lead], member[hot]))
-            sig = np.concatenate((sig[~hot], sig[lead], sig[hot]))
-            order = np.lexsort((sig, bucket))
-            member, sig, bucket = member[order], sig[order], bucket[order]
-        edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
-        rows: dict[str, list] = {"bucket": [], "gaps": [], "places": [], "ids": []}
+            moved = (bucket[warm] + 1 + salt) % buckets
+            bucket = np.concatenate((bucket[~warm], bucket[lead], moved))
+            member = np.concatenate((member[~warm], member[lead], member[warm]))
+            sig = np.concatenate((sig[~warm], sig[lead], sig[warm]))
+            hot = np.arange(len(sig)) >= (~warm).sum()
+            order = np.lexsort((sig, hot, bucket))
+            member, sig, bucket, hot = member[order], sig[order], bucket[order], hot[order]
+        edge = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (hot[1:] != hot[:-1]))))
+        rows: dict[str, list] = {"bucket": [], "hot": [], "gaps": [], "places": [], "ids": []}
         for x, y in zip(edge, np.append(edge[1:], len(bucket)), strict=True):
             used, place = np.unique(member[x:y], return_inverse=True)
             gaps = np.concatenate((sig[x : x + 1], np.diff(sig[x:y])))
             rows["bucket"].append(int(bucket[x]))
+            rows["hot"].append(bool(hot[x]))
             rows["gaps"].append(_planes(gaps))
             rows["places"].append(_planes(place.astype(np.uint32)))
             rows["ids"].append(_planes(id_of[used]))
-        if rows["bucket"]:
-            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), ("gaps", pa.binary()), ("places", pa.binary()), ("ids", pa.binary())]))
+        kinds = [("bucket", pa.int32()), ("hot", pa.bool_()), ("gaps", pa.binary()), ("places", pa.binary()), ("ids", pa.binary())]
+        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: list = []
@@ -249,39 +254,48 @@ def _bucketed(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
         if ids:
             yield from packed(sets, sigs, ids)
 
-    return docs.mapInArrow(run, "bucket int, gaps binary, places binary, ids binary")
+    return docs.mapInArrow(run, "bucket int, hot boolean, gaps binary, places binary, ids binary")
 
 
-def _collisions(bucketed: DataFrame) -> DataFrame:
-    """(sig, id, lead): documents that share a signature in their bucket, and the least of them."""
+def _meetings(bucketed: DataFrame) -> DataFrame:
+    """(hot, meeting, id, lead): documents that share a signature, and the least of them in their bucket.
+
+    All documents that share a signature are in one meeting.  The meeting of a
+    signature that is hot nowhere is that of its least document, so documents
+    that share many signatures meet once; a hot signature, whose documents are
+    in several buckets, is a meeting of its own.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
-        sigs, ids = [], []
-        for gaps, places, own in zip(*(rows[c] for c in ("gaps", "places", "ids")), strict=True):
+        sigs, ids, flags = [], [], []
+        for hot, gaps, places, own in zip(*(rows[c] for c in ("hot", "gaps", "places", "ids")), strict=True):
             sigs.append(np.cumsum(_unplaned(gaps.as_py(), np.uint64)))
             ids.append(_unplaned(own.as_py(), np.int64)[_unplaned(places.as_py(), np.uint32)])
-        sig, own = np.concatenate(sigs), np.concatenate(ids)
+            flags.append(np.full(len(sigs[-1]), hot.as_py()))
+        sig, own, hot = np.concatenate(sigs), np.concatenate(ids), np.concatenate(flags)
         sigs.clear()
         ids.clear()
         order = np.argsort(sig)
-        sig, own = sig[order], own[order]
-        shared = np.zeros(len(sig), dtype=bool)
+        sig, own, hot = sig[order], own[order], hot[order]
+        kept = hot.copy()  # of a hot signature there are more documents elsewhere
         equal = sig[1:] == sig[:-1]
-        shared[1:] |= equal
-        shared[:-1] |= equal
-        sig, own = sig[shared], own[shared]
+        kept[1:] |= equal
+        kept[:-1] |= equal
+        sig, own, hot = sig[kept], own[kept], hot[kept]
         order = np.lexsort((own, sig))
-        sig, own = sig[order], own[order]
-        new = np.ones(len(sig), dtype=bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])
-        sig, own = sig[new], own[new]
+        sig, own, hot = sig[order], own[order], hot[order]
         first = np.ones(len(sig), dtype=bool)
         first[1:] = sig[1:] != sig[:-1]
         begin = np.flatnonzero(first)
-        lead = np.repeat(own[begin], np.diff(np.append(begin, len(sig))))
-        return pa.table({"sig": sig.view(np.int64), "id": own, "lead": lead})
+        size = np.diff(np.append(begin, len(sig)))
+        lead = np.repeat(own[begin], size)
+        hot = np.repeat(np.logical_or.reduceat(hot, begin) if len(begin) else hot, size)
+        meeting = np.where(hot, sig.view(np.int64), lead)
+        out = pa.table({"hot": hot, "meeting": meeting, "id": own, "lead": lead})
+        return out.group_by(["hot", "meeting", "id", "lead"]).aggregate([])
 
-    return bucketed.groupBy("bucket").applyInArrow(run, "sig long, id long, lead long")
+    schema = "hot boolean, meeting long, id long, lead long"
+    return bucketed.groupBy("bucket").applyInArrow(run, schema).distinct()
 
 
 def _plausible(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
@@ -327,11 +341,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 
 def _unlike_pairs(n: np.ndarray, bits: np.ndarray, component: np.ndarray, piece: np.ndarray | None, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, places j) of members, in order of size, that sizes and sketches do not rule out and that are in different components."""
-    last = np.searchsorted(n, n * 100 // percent, "right")
-    for i in range(len(n)):
-        j = np.arange(i + 1, last[i])
-        other = component[j] != component[i]
+    """(i, places j) of members, in order of size, that sizes and sketches do not rule out and that are in different components.
+
+    Members of the largest component are only compared with the others.
+    """
+    names, sizes = np.unique(component, return_counts=True)
+    inside = component == names[sizes.argmax()]
+    low = np.searchsorted(n, -(-n * percent // 100), "left")
+    high = np.searchsorted(n, n * 100 // percent, "right")
+    for i in np.flatnonzero(~inside):
+        j = np.arange(low[i], high[i])
+        other = (component[j] != component[i]) & (inside[j] | (j > i))
         if piece is not None:
             other &= piece[j] != piece[i]
         j = j[other]
@@ -343,17 +363,18 @@ def _unlike_pairs(n: np.ndarray, bits: np.ndarray, component: np.ndarray, piece:
 
 
 def _across(rows: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """(a, b) of members of a signature that are in different components and that the sketches do not rule out.
+    """(a, b) of members of a meeting that are in different components and that the sketches do not rule out.
 
-    ``rows`` has ``members``, the number of its signature's members.
+    ``rows`` has ``members``, the number of its meeting's members.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        sig, a, b = (table[c].to_numpy() for c in ("sig", "first", "second"))
+        hot = table["hot"].to_numpy(zero_copy_only=False)
+        meeting, a, b = (table[c].to_numpy() for c in ("meeting", "first", "second"))
         n, own, component, piece = (table[c].to_numpy() for c in ("n", "id", "component", "piece"))
-        order = np.lexsort((own, n, b, a, sig))
+        order = np.lexsort((own, n, b, a, meeting, hot))
         new = np.ones(len(order), dtype=bool)
-        key = [x[order] for x in (sig, a, b)]
+        key = [x[order] for x in (hot, meeting, a, b)]
         new[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
         edge = np.append(np.flatnonzero(new), len(order))
         sketches = table["sketch"].to_pylist()
@@ -374,9 +395,9 @@ def _across(rows: DataFrame, percent: int, buckets: int) -> DataFrame:
     cut = rows.withColumn("piece", F.pmod(F.xxhash64("id"), pieces).cast("int"))
     dealt = cut.select("*", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("with"))
     dealt = dealt.select(
-        "sig", "id", "component", "n", "sketch", "piece", F.least("piece", "with").alias("first"), F.greatest("piece", "with").alias("second")
+        "hot", "meeting", "id", "component", "n", "sketch", "piece", F.least("piece", "with").alias("first"), F.greatest("piece", "with").alias("second")
     )
-    bucket = F.pmod(F.xxhash64("sig", "first", "second"), F.lit(buckets)).alias("bucket")
+    bucket = F.pmod(F.xxhash64("hot", "meeting", "first", "second"), F.lit(buckets)).alias("bucket")
     return dealt.groupBy(bucket).applyInArrow(run, "a long, b long")
 
 
@@ -404,7 +425,7 @@ def near_duplicates(df: DataFrame, document: str = "doc_id", column: str = "text
     nodes = stored(with_set.join(copies, ["n", "k1", "k2"]).select("id", "rep", "n", "sketch"), "nodes")
     reps = nodes.select(F.col("id").alias("own"), "rep").distinct()
     heads = nodes.filter("id = rep").distinct().select("id", "n", "sketch")
-    shared = stored(_collisions(_bucketed(docs, percent, buckets)), "collisions")
+    shared = stored(_meetings(_bucketed(docs, percent, buckets)), "meetings")
     # First round: each member of a signature with the least one.
     stars = shared.filter("id <> lead").select("id", "lead").distinct()
     stars = stars.join(reps, F.col("id") == F.col("own")).select(F.col("rep").alias("x"), "lead")
@@ -412,13 +433,18 @@ def near_duplicates(df: DataFrame, document: str = "doc_id", column: str = "text
     pairs = stars.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = stored(_verified(stored(_plausible(pairs, heads, percent), "pairs"), docs, percent), "links")
     joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # Second round: members of different components, where a signature has any.
-    placed = shared.select("sig", "id").join(reps, F.col("id") == F.col("own")).select("sig", F.col("rep").alias("id")).distinct()
-    placed = placed.join(joined.select(F.col("u").alias("id"), "v"), "id", "left")
-    placed = stored(placed.select("sig", "id", F.coalesce("v", "id").alias("component")), "placed")
-    mixed = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
-    mixed = mixed.filter("low < high").select("sig", "members")
-    rest = placed.join(mixed, "sig").join(heads, "id").select("sig", "members", "id", "component", "n", "sketch")
+    # Second round: members of different components, where a meeting has any.  Meetings whose least
+    # documents are in one component by now become one, so that no two documents meet over and over.
+    places = reps.join(joined.select(F.col("u").alias("rep"), "v"), "rep", "left")
+    places = stored(places.select("own", "rep", F.coalesce("v", "rep").alias("component")), "places")
+    met = places.select(F.col("own").alias("meeting"), F.col("component").alias("there"))
+    cold = shared.filter("not hot").select("meeting", "id").join(met, "meeting").select(F.lit(False).alias("hot"), F.col("there").alias("meeting"), "id").distinct()
+    placed = cold.unionByName(shared.filter("hot").select("hot", "meeting", "id"))
+    placed = placed.join(places, F.col("id") == F.col("own")).select("hot", "meeting", F.col("rep").alias("id"), "component").distinct()
+    placed = stored(placed, "placed")
+    mixed = placed.groupBy("hot", "meeting").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+    mixed = mixed.filter("low < high").select("hot", "meeting", "members")
+    rest = placed.join(mixed, ["hot", "meeting"]).join(heads, "id").select("hot", "meeting", "members", "id", "component", "n", "sketch")
     more = stored(_across(rest, percent, buckets).distinct(), "pairs")
     links = links.unionByName(stored(_verified(more, docs, percent), "links")).select(F.col("a").alias("u"), F.col("b").alias("v"))
     joined = components(links.unionByName(reps.select(F.col("own").alias("u"), F.col("rep").alias("v"))))

@@ -41,7 +41,7 @@ ROUNDS, SWEEPS, SAMPLES = 3, 2, 3
 SINGLY = 64
 #: Bytes of text in a block, about, and tokens of one part of the input packed at once.
 BLOCK_BYTES = 24_000_000
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 
 _WORD = np.uint64((1 << 64) - CONTEXTS)
 _END = mix(np.array([0x5EED], dtype=np.uint64))[0]
@@ -278,13 +278,14 @@ def _scored(docs: DataFrame, answers: DataFrame, totals: Totals) -> DataFrame:
             scores = np.concatenate([np.frombuffer(s.as_py(), dtype=np.float32) for s in right["scores"]])
             counts = np.concatenate([_unplaned(c.as_py(), np.uint64) for c in right["counts"]])
             order = np.argsort(keys)
-            keys, scores, counts = keys[order], scores[order].astype(float), counts[order].astype(float)
+            keys, scores, counts = keys[order], scores[order], counts[order]
+            del order
             left = left.combine_chunks()
             texts, ids = left["text"].chunk(0), left["id"].chunk(0)
             for a, b in text_chunks(texts):
                 text, key = pair_keys(texts.slice(a, b - a))
                 at = np.searchsorted(keys, key)
-                c = counts[at]
+                c = counts[at].astype(float)
                 total = lambda w: np.bincount(text, weights=w, minlength=b - a)  # noqa: B023, E731
                 n = np.bincount(text, minlength=b - a)
                 base = total(np.log10(c + 1)) - n * np.log10(tokens + words + 1.0)
@@ -317,7 +318,7 @@ def score_texts(df: DataFrame, learn: str, document: str = "doc_id", column: str
     cuts = sorted(set(cuts or []))
     block = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
     docs = docs.withColumn("block", F.when(F.col("id").isNull(), F.lit(0)).otherwise(block).cast("int"))
-    merged = stored(_merged(_asked(docs, 2 * partitions)), "counts")
+    merged = stored(_merged(_asked(docs, 4 * partitions)), "counts")
     history: list[Totals] = []
     for _ in range(ROUNDS):
         history.append(_counted(merged, history))

@@ -68,6 +68,7 @@ def test_equals_all_pairs(spark, corpus):
 
 
 def test_hot_signatures_are_spread_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 5)
     rng = random.Random(1)
     base = [f"w{k}" for k in range(120)]
     rows = [(k, " ".join(edited(base, rng, 0.02))) for k in range(300)] + [(1000 + k, " ".join(base)) for k in range(40)]
