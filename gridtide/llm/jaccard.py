@@ -20,11 +20,12 @@ probability below 1e-20, less than that of two equal 64-bit hashes.
 
 Candidates are verified twice: by bit sketches (two bits a shingle), whose
 Hamming distance is a lower bound of the symmetric difference too, and then on
-the whole shingle sets.  Verification goes in two rounds.  First the members of
-a segment's group are compared with one of them only, and linked documents
-become components.  Then members of different components that met in some segment are
-compared with each other.  So a group of many copies costs a comparison each, not all pairs, and
-yet every pair that could join two components is tested.
+the whole shingle sets.  Verification goes in three rounds, and linked documents
+become components after each.  First the members of a segment's group are
+compared with one of them only, then those still in different components with a
+few others whose sketches are nearest, and at last every two members in different components that agree in
+some segment.  So a group of many copies costs a few comparisons each, not all
+pairs, and yet every pair that could join two components is tested.
 """
 
 from __future__ import annotations
@@ -51,7 +52,9 @@ SMALL = 256
 HOT = 64
 #: Segments put out at once; a part of the input with more gives several rows a bucket.
 FLUSH = 1 << 20
-#: Members of a signature that are compared in one group; more are cut into pieces, compared two by two.
+#: Others of a meeting, the nearest by their sketches, that a member is compared with in the second round.
+NEAREST = 3
+#: Members of a meeting that are compared in one group; more are cut into pieces, compared two by two.
 PIECE = 4000
 
 _XOR = np.uint64(0xD6E8FEB86659FD93)
@@ -340,10 +343,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _unlike_pairs(n: np.ndarray, bits: np.ndarray, component: np.ndarray, piece: np.ndarray | None, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+def _unlike_pairs(n: np.ndarray, bits: np.ndarray, component: np.ndarray, piece: np.ndarray | None, percent: int, most: int | None) -> Iterator[tuple[int, np.ndarray]]:
     """(i, places j) of members, in order of size, that sizes and sketches do not rule out and that are in different components.
 
-    Members of the largest component are only compared with the others.
+    Members of the largest component are only compared with the others.  With
+    ``most`` only so many j with the least distance are given for each i.
     """
     names, sizes = np.unique(component, return_counts=True)
     inside = component == names[sizes.argmax()]
@@ -351,21 +355,27 @@ def _unlike_pairs(n: np.ndarray, bits: np.ndarray, component: np.ndarray, piece:
     high = np.searchsorted(n, n * 100 // percent, "right")
     for i in np.flatnonzero(~inside):
         j = np.arange(low[i], high[i])
-        other = (component[j] != component[i]) & (inside[j] | (j > i))
+        other = component[j] != component[i]
+        if most is None:  # each pair once
+            other &= inside[j] | (j > i)
         if piece is not None:
             other &= piece[j] != piece[i]
         j = j[other]
         if len(j):
             unlike = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            j = j[unlike * (100 + percent) <= (n[j] + n[i]) * (100 - percent)]
+            possible = unlike * (100 + percent) <= (n[j] + n[i]) * (100 - percent)
+            j, unlike = j[possible], unlike[possible]
+            if most is not None and len(j) > most:
+                j = j[np.argpartition(unlike, most)[:most]]
             if len(j):
                 yield i, j
 
 
-def _across(rows: DataFrame, percent: int, buckets: int) -> DataFrame:
+def _across(rows: DataFrame, percent: int, buckets: int, most: int | None = None) -> DataFrame:
     """(a, b) of members of a meeting that are in different components and that the sketches do not rule out.
 
-    ``rows`` has ``members``, the number of its meeting's members.
+    ``rows`` has ``members``, the number of its meeting's members.  ``most`` keeps
+    for each member the nearest others of a meeting only.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -378,18 +388,16 @@ def _across(rows: DataFrame, percent: int, buckets: int) -> DataFrame:
         new[1:] = np.any([k[1:] != k[:-1] for k in key], axis=0)
         edge = np.append(np.flatnonzero(new), len(order))
         sketches = table["sketch"].to_pylist()
-        low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        found: dict[int, list[np.ndarray]] = {}
         for x, y in zip(edge[:-1], edge[1:], strict=True):
             at = order[x:y]
             width = min(len(sketches[k]) for k in at)
             bits = np.frombuffer(b"".join(_folded(sketches[k], width).to_bytes(width) for k in at), dtype=np.uint64).reshape(len(at), -1)
             pieces = piece[at] if a[at[0]] != b[at[0]] else None
-            for i, j in _unlike_pairs(n[at], bits, component[at], pieces, percent):
-                ids = own[at[j]]
-                low.append(np.minimum(ids, own[at[i]]))
-                high.append(np.maximum(ids, own[at[i]]))
-        pairs = np.unique(np.column_stack((np.concatenate(low), np.concatenate(high))), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+            for i, j in _unlike_pairs(n[at], bits, component[at], pieces, percent, most):
+                found.setdefault(int(own[at[i]]), []).append(own[at[j]])
+        others = [np.unique(np.concatenate(x)) for x in found.values()]
+        return pa.table({"id": pa.array(list(found), pa.int64()), "others": pa.array(others, pa.list_(pa.int64()))})
 
     pieces = F.ceil(F.col("members") / PIECE).cast("int")
     cut = rows.withColumn("piece", F.pmod(F.xxhash64("id"), pieces).cast("int"))
@@ -398,7 +406,17 @@ def _across(rows: DataFrame, percent: int, buckets: int) -> DataFrame:
         "hot", "meeting", "id", "component", "n", "sketch", "piece", F.least("piece", "with").alias("first"), F.greatest("piece", "with").alias("second")
     )
     bucket = F.pmod(F.xxhash64("hot", "meeting", "first", "second"), F.lit(buckets)).alias("bucket")
-    return dealt.groupBy(bucket).applyInArrow(run, "a long, b long")
+    # A document's candidates travel as lists, and those it met more than once are dropped before they become rows.
+    lists = dealt.groupBy(bucket).applyInArrow(run, "id long, others array<long>")
+    once = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    pairs = once.select("id", F.explode("others").alias("other"))
+    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows (hot, meeting, id, component) of meetings with several components, and their number of members."""
+    sizes = placed.groupBy("hot", "meeting").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+    return placed.join(sizes.filter("low < high").drop("low", "high"), ["hot", "meeting"])
 
 
 def near_duplicates(df: DataFrame, document: str = "doc_id", column: str = "text", percent: int = SIMILARITY) -> DataFrame:
@@ -433,19 +451,27 @@ def near_duplicates(df: DataFrame, document: str = "doc_id", column: str = "text
     pairs = stars.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = stored(_verified(stored(_plausible(pairs, heads, percent), "pairs"), docs, percent), "links")
     joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # Second round: members of different components, where a meeting has any.  Meetings whose least
-    # documents are in one component by now become one, so that no two documents meet over and over.
+    # Meetings whose least documents are in one component by now become one, so that no two documents
+    # meet over and over.
     places = reps.join(joined.select(F.col("u").alias("rep"), "v"), "rep", "left")
     places = stored(places.select("own", "rep", F.coalesce("v", "rep").alias("component")), "places")
     met = places.select(F.col("own").alias("meeting"), F.col("component").alias("there"))
     cold = shared.filter("not hot").select("meeting", "id").join(met, "meeting").select(F.lit(False).alias("hot"), F.col("there").alias("meeting"), "id").distinct()
     placed = cold.unionByName(shared.filter("hot").select("hot", "meeting", "id"))
     placed = placed.join(places, F.col("id") == F.col("own")).select("hot", "meeting", F.col("rep").alias("id"), "component").distinct()
-    placed = stored(placed, "placed")
-    mixed = placed.groupBy("hot", "meeting").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
-    mixed = mixed.filter("low < high").select("hot", "meeting", "members")
-    rest = placed.join(mixed, ["hot", "meeting"]).join(heads, "id").select("hot", "meeting", "members", "id", "component", "n", "sketch")
-    more = stored(_across(rest, percent, buckets).distinct(), "pairs")
+    placed = _mixed(stored(placed, "placed"))
+
+    def with_sketch(rows: DataFrame) -> DataFrame:
+        return rows.join(heads, "id").select("hot", "meeting", "members", "id", "component", "n", "sketch")
+
+    # Second round: members with the likeliest others of their meeting in other components.
+    near = stored(_across(with_sketch(placed), percent, buckets, NEAREST), "pairs")
+    links = links.unionByName(stored(_verified(near, docs, percent), "links"))
+    joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    # Third round: all members of different components, where a meeting still has any.
+    placed = placed.drop("component", "members").join(joined.select(F.col("u").alias("id"), "v"), "id", "left")
+    placed = _mixed(stored(placed.select("hot", "meeting", "id", F.coalesce("v", "id").alias("component")), "placed"))
+    more = stored(_across(with_sketch(placed), percent, buckets), "pairs")
     links = links.unionByName(stored(_verified(more, docs, percent), "links")).select(F.col("a").alias("u"), F.col("b").alias("v"))
     joined = components(links.unionByName(reps.select(F.col("own").alias("u"), F.col("rep").alias("v"))))
     found = described.select("id", "n").join(joined.select(F.col("u").alias("id"), "v"), "id", "left")
