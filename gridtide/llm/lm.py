@@ -40,8 +40,8 @@ PARENT_DISCOUNT, PARENT_STRENGTH = 0.8, 10.0
 ROUNDS, SWEEPS, SAMPLES = 3, 2, 3
 SINGLY = 64
 #: Bytes of text in a block, about, and tokens of one part of the input packed at once.
-BLOCK_BYTES = 24_000_000
-FLUSH = 1 << 21
+BLOCK_BYTES = 12_000_000
+FLUSH = 1 << 20
 
 _WORD = np.uint64((1 << 64) - CONTEXTS)
 _END = mix(np.array([0x5EED], dtype=np.uint64))[0]
