@@ -24,7 +24,7 @@ from gridtide.sinks.targets import Target, write_batch
 NEW = "_new"
 BUCKET = "_bucket"
 # Buckets of ids; a batch with few ids touches few of them.
-BUCKETS = 64
+BUCKETS = 16
 
 
 def interpolate_each_batch(
@@ -90,7 +90,9 @@ def interpolate_each_batch(
                     mine = [b for b in touched if now[b] == slot]
                     if mine:
                         part = kept.where(F.col(BUCKET).isin(mine)).select(*columns, F.col(BUCKET).alias("bucket"))
-                        writer = part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                        # One file for a small bucket, several for a large one.
+                        placed = part.hint("rebalance", "bucket")
+                        writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
                         writer.partitionBy("bucket").parquet(f"{state_folder}/slot={slot}")
                 output = expand_pairs(paired, n, interpolation_columns(interps, n)).select(*columns)
                 write_batch(output, target, batch_id)
