@@ -24,7 +24,7 @@ the whole shingle sets.  Verification goes in three rounds, and linked documents
 become components after each.  First the members of a segment's group are
 compared with one of them only, then those still in different components with a
 few others whose sketches are nearest, and at last every two members in different components that agree in
-some segment.  So a group of many copies costs a few comparisons each, not all
+some segment, where that may be more.  So a group of many copies costs a few comparisons each, not all
 pairs, and yet every pair that could join two components is tested.
 """
 
@@ -372,10 +372,11 @@ def _unlike_pairs(n: np.ndarray, bits: np.ndarray, component: np.ndarray, piece:
 
 
 def _across(rows: DataFrame, percent: int, buckets: int, most: int | None = None) -> DataFrame:
-    """(a, b) of members of a meeting that are in different components and that the sketches do not rule out.
+    """(id, others) of members of a meeting that are in different components and that the sketches do not rule out.
 
     ``rows`` has ``members``, the number of its meeting's members.  ``most`` keeps
-    for each member the nearest others of a meeting only.
+    for each member the nearest others of a meeting only; rows without id then
+    name the meetings in which there may be more.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -389,6 +390,7 @@ def _across(rows: DataFrame, percent: int, buckets: int, most: int | None = None
         edge = np.append(np.flatnonzero(new), len(order))
         sketches = table["sketch"].to_pylist()
         found: dict[int, list[np.ndarray]] = {}
+        more: set[tuple[bool, int]] = set()
         for x, y in zip(edge[:-1], edge[1:], strict=True):
             at = order[x:y]
             width = min(len(sketches[k]) for k in at)
@@ -396,8 +398,12 @@ def _across(rows: DataFrame, percent: int, buckets: int, most: int | None = None
             pieces = piece[at] if a[at[0]] != b[at[0]] else None
             for i, j in _unlike_pairs(n[at], bits, component[at], pieces, percent, most):
                 found.setdefault(int(own[at[i]]), []).append(own[at[j]])
-        others = [np.unique(np.concatenate(x)) for x in found.values()]
-        return pa.table({"id": pa.array(list(found), pa.int64()), "others": pa.array(others, pa.list_(pa.int64()))})
+                if most is not None and len(j) == most:
+                    more.add((bool(hot[at[0]]), int(meeting[at[0]])))
+        lists = [(k, np.unique(np.concatenate(x)), None, None) for k, x in found.items()]
+        lists += [(None, None, h, m) for h, m in sorted(more)]
+        kinds = {"id": pa.int64(), "others": pa.list_(pa.int64()), "hot": pa.bool_(), "meeting": pa.int64()}
+        return pa.table({c: pa.array([x[k] for x in lists], kind) for k, (c, kind) in enumerate(kinds.items())})
 
     pieces = F.ceil(F.col("members") / PIECE).cast("int")
     cut = rows.withColumn("piece", F.pmod(F.xxhash64("id"), pieces).cast("int"))
@@ -406,9 +412,12 @@ def _across(rows: DataFrame, percent: int, buckets: int, most: int | None = None
         "hot", "meeting", "id", "component", "n", "sketch", "piece", F.least("piece", "with").alias("first"), F.greatest("piece", "with").alias("second")
     )
     bucket = F.pmod(F.xxhash64("hot", "meeting", "first", "second"), F.lit(buckets)).alias("bucket")
-    # A document's candidates travel as lists, and those it met more than once are dropped before they become rows.
-    lists = dealt.groupBy(bucket).applyInArrow(run, "id long, others array<long>")
-    once = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    return dealt.groupBy(bucket).applyInArrow(run, "id long, others array<long>, hot boolean, meeting long")
+
+
+def _pairs(lists: DataFrame) -> DataFrame:
+    """(a, b) of documents and their candidates; what they met more than once is dropped before it becomes rows."""
+    once = lists.filter("id is not null").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
     pairs = once.select("id", F.explode("others").alias("other"))
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
@@ -465,13 +474,15 @@ def near_duplicates(df: DataFrame, document: str = "doc_id", column: str = "text
         return rows.join(heads, "id").select("hot", "meeting", "members", "id", "component", "n", "sketch")
 
     # Second round: members with the likeliest others of their meeting in other components.
-    near = stored(_across(with_sketch(placed), percent, buckets, NEAREST), "pairs")
-    links = links.unionByName(stored(_verified(near, docs, percent), "links"))
+    near = stored(_across(with_sketch(placed), percent, buckets, NEAREST), "nearest")
+    links = links.unionByName(stored(_verified(stored(_pairs(near), "pairs"), docs, percent), "links"))
     joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # Third round: all members of different components, where a meeting still has any.
-    placed = placed.drop("component", "members").join(joined.select(F.col("u").alias("id"), "v"), "id", "left")
+    # Third round: all members of different components, where a meeting had more of them than were compared.
+    unfinished = near.filter("id is null").select("hot", "meeting").distinct()
+    placed = placed.drop("component", "members").join(unfinished, ["hot", "meeting"], "left_semi")
+    placed = placed.join(joined.select(F.col("u").alias("id"), "v"), "id", "left")
     placed = _mixed(stored(placed.select("hot", "meeting", "id", F.coalesce("v", "id").alias("component")), "placed"))
-    more = stored(_across(with_sketch(placed), percent, buckets), "pairs")
+    more = stored(_pairs(_across(with_sketch(placed), percent, buckets)), "pairs")
     links = links.unionByName(stored(_verified(more, docs, percent), "links")).select(F.col("a").alias("u"), F.col("b").alias("v"))
     joined = components(links.unionByName(reps.select(F.col("own").alias("u"), F.col("rep").alias("v"))))
     found = described.select("id", "n").join(joined.select(F.col("u").alias("id"), "v"), "id", "left")
