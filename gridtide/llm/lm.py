@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtide.llm.components import stored
-from gridtide.llm.words import SPACED, Words, mix, text_chunks
+from gridtide.llm.words import SPACED, Words, give_back, mix, text_chunks
 
 CONTEXTS = 4096
 #: Discounts and strengths of the context restaurants and of their parent.
@@ -112,6 +112,7 @@ def _asked(docs: DataFrame, buckets: int) -> DataFrame:
                 if held >= FLUSH:
                     yield from packed(parts)
                     parts, held = [], 0
+                    give_back()
         if parts:
             yield from packed(parts)
 
@@ -126,6 +127,7 @@ def _merged(asked: DataFrame) -> DataFrame:
         counts = [_unplaned(c.as_py(), np.uint32) for c in rows["counts"]]
         pairs, place = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(place, weights=np.concatenate(counts), minlength=len(pairs)).astype(np.uint64)
+        give_back()
         ends = np.cumsum([len(k) for k in keys])
         places = [_planes(_gaps(x.astype(np.uint32))) for x in np.split(place, ends[:-1])]
         one = {"bucket": [rows["bucket"][0].as_py()], "pairs": [_planes(_gaps(pairs))], "counts": [_planes(total)], "blocks": [rows["block"].to_pylist()], "places": [places]}
@@ -256,6 +258,8 @@ def _answered(merged: DataFrame, history: list[Totals]) -> DataFrame:
                         mean += s.probability() / SAMPLES
                 scores = np.log10(np.minimum(mean, 1.0)).astype(np.float32)
                 words = s.word_counts[s.word].astype(np.uint64)
+                del s, mean
+                give_back()
                 for block, raw in zip(row["blocks"], row["places"], strict=True):
                     at = np.cumsum(_unplaned(raw, np.uint32))
                     yield pa.RecordBatch.from_pydict(
@@ -280,6 +284,7 @@ def _scored(docs: DataFrame, answers: DataFrame, totals: Totals) -> DataFrame:
             order = np.argsort(keys)
             keys, scores, counts = keys[order], scores[order], counts[order]
             del order
+            give_back()
             left = left.combine_chunks()
             texts, ids = left["text"].chunk(0), left["id"].chunk(0)
             for a, b in text_chunks(texts):

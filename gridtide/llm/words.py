@@ -8,6 +8,8 @@ the same words as working on code points.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,12 @@ ALNUM[ord("a") : ord("z") + 1] = True
 ALNUM[128:] = True
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit words (the finalizer of splitmix64)."""
     x = x ^ (x >> np.uint64(30))
