@@ -34,7 +34,7 @@ PIECES = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: Pieces remembered by a worker; beyond that it starts afresh.
-CACHED_PIECES = 1 << 19
+CACHED_PIECES = 1 << 18
 #: Longer pieces are rare and are not remembered.
 CACHED_CHARS = 48
 #: Fragments of more bytes are merged in passes over all their pairs.

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtide.llm.components import components, stored
-from gridtide.llm.words import SPACED, Words, mix, shingles, text_chunks
+from gridtide.llm.words import SPACED, Words, give_back, mix, shingles, text_chunks
 
 SHINGLE = 5
 #: Least Jaccard similarity of linked documents, in percent.
@@ -235,6 +235,7 @@ def _bucketed(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
         sigs: list = []
         ids: list = []
         held = total = 0
+        give_back()  # of what other stages left in this worker
         for batch in batches:
             for a, b in text_chunks(batch["text"]):
                 first, value = _sets(batch["text"].slice(a, b - a))
@@ -254,6 +255,7 @@ def _bucketed(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
                 if held >= FLUSH:
                     yield from packed(sets, sigs, ids)
                     sets, sigs, ids, held, total = [], [], [], 0, 0
+                    give_back()
         if ids:
             yield from packed(sets, sigs, ids)
 
