@@ -3,7 +3,9 @@
 Method: every candidate string (a long run of token characters) is read with a
 sliding window.  The window's character counts are kept up to date by one
 character in and one out, and with them its Shannon entropy; each character
-class has its own threshold.  Candidates on the allow-list are not reported.
+class has its own threshold.  Runs of hex digits inside a longer candidate are
+held to their own class's threshold, whatever they are glued to, and a hit takes
+the whole run it is in.  Candidates and runs on the allow-list are not reported.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Bits of entropy a window needs, by the class of its candidate.
 THRESHOLDS = {"hex": 3.0, "base64": 3.75}
 HEX_ONLY = re.compile(r"[0-9a-fA-F]+")
+HEX_RUN = re.compile(r"[0-9a-fA-F]{20,}")
+#: Runs that a hit is extended to; other characters of candidates may stand between a name and its value.
+RUN = re.compile(r"[A-Za-z0-9+]+")
 #: Allow-list: candidates of these forms are no secrets.
 ALLOWED = (
     re.compile(r"[A-Za-z_=/+-]+"),  # words and rulers: no digit
@@ -73,6 +78,28 @@ def entropy_spans(candidate: str) -> list[tuple[int, int]]:
     return spans
 
 
+def candidate_spans(candidate: str) -> list[tuple[int, int]]:
+    """What of ``candidate`` is reported: its windows and those of its hex runs, each out to the ends of the runs it is in."""
+    found = entropy_spans(candidate)
+    for m in HEX_RUN.finditer(candidate):
+        if not allowed(m[0]) and entropy_spans(m[0]):
+            found.append(m.span())
+    if not found:
+        return found
+    runs = [m.span() for m in RUN.finditer(candidate)]
+    if found != [(0, len(candidate))]:
+        # Hex runs are found whole; beyond them a hit goes on to the end of the letters and digits it lies in.
+        hexes = {m.span() for m in HEX_RUN.finditer(candidate)}
+        found = [s if s in hexes else (min([s[0], *(a for a, b in runs if a < s[0] < b)]), max([s[1], *(b for a, b in runs if a < s[1] < b)])) for s in found]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def spans_of(text: str) -> list[tuple[int, int, int]]:
     """(start, place of the kind in KINDS, end) of every find, sorted."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
@@ -81,7 +108,7 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     for m in CANDIDATE.finditer(text):
         if not allowed(m[0]):
-            found += [(m.start() + a, 3, m.start() + b) for a, b in entropy_spans(m[0])]
+            found += [(m.start() + a, 3, m.start() + b) for a, b in candidate_spans(m[0])]
     return sorted(found)
 
 

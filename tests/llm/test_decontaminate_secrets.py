@@ -130,6 +130,25 @@ def test_incremental_entropy_equals_the_formula():
     assert inside == {i for a, b in secrets.entropy_spans(text) for i in range(a, b)}
 
 
+@pytest.mark.parametrize("before", ["", "/", "KEY_", "key=", "a-b/", "zz"])
+@pytest.mark.parametrize("digits", ["0123456789ABCDEF", "0123456789abcdefABCDEF"])
+def test_hex_secrets_are_found_whole_whatever_they_are_glued_to(before, digits):
+    rng = random.Random(6)
+    keys = ["".join(rng.choice(digits) for _ in range(n)) for n in (32, 40, 64) for _ in range(100)]
+    for key in keys:
+        text = f"see {before}{key}/x here"
+        hits = {i for a, _, b in secrets.spans_of(text) for i in range(a, b)}
+        at = text.index(key)
+        assert not secrets.entropy_spans(key) or hits >= set(range(at, at + len(key))), text
+    assert sum(bool(secrets.entropy_spans(k)) for k in keys) >= 295
+
+
+def test_hits_go_on_to_the_end_of_their_run_and_allowed_runs_stay():
+    text = "path/q7Zr4TbV7nKp3WsX9fQ2xLm8Yc5Uaaaaaaaaaaaaaaaaaaaaaaaaaaa/more"
+    assert max(b for _, _, b in secrets.spans_of(text)) == text.index("/more")
+    assert secrets.spans_of("no_20240131235959123456_or_x") == []
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, TEXTS[2]), (2, None), (3, "clean"), (3, "clean")], "doc_id long, text string")
     out = sorted((r["doc_id"], r["text"] or "") for r in secrets.redact_secrets(df).collect())
