@@ -125,6 +125,32 @@ def test_articles_that_others_repeat_stay(spark):
     assert {r["text"] for r in out} == {("same words all over " * 20).strip()}
 
 
+def test_runs_decide_inside_articles_where_no_element_vouches(spark):
+    share = "Like what you read? Send this story to all of your friends today"
+    same = "the house style sentence that every story repeats in its own text"
+    own = [" ".join(f"word{k}x{j}" for j in range(30)) for k in range(5)]
+    page = lambda k: f"<div>menu {k}</div><article><h1>{own[k][:20]}</h1><p>{same}</p><div class='zq-7'><p>{share}</p></div><div class='zq-8'>{own[k]} {share}</div></article>"
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(5)]
+    # One article under three addresses with other menus is one content.
+    rows += [(10 + k, f"http://b.example/{k}", f"<div>menu {k}</div><article><div class='body'>{own[0]}</div></article>") for k in range(3)]
+    # Articles that are nothing but repeated runs stay.
+    rows += [(20 + k, f"http://c.example/{k}", f"<article><div class='body'>{same} {same} {share if k else ''} {same if k > 1 else ''}</div></article>") for k in range(3)]
+    out = {r["page_id"]: (r["text"], r["n_removed"]) for r in pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[k] == (f"{own[k][:20].strip()}\n{same}\n{own[k]}", 2) for k in range(5))
+    assert all(out[10 + k] == (own[0], 1) for k in range(3))
+    assert out[20] == (f"{same} {same}", 0)
+
+
+def test_covered_spans_go_and_the_rest_of_the_block_stays(spark):
+    low = "All rights reserved by the owner of this fine site since 1999"
+    own = [" ".join(f"word{k}x{j}" for j in range(9)) for k in range(4)]
+    # Runs over the edge of a labelled block are runs of the page, too.
+    page = lambda k: f"<div>{own[k]} {low}</div><nav>Home News Sports Weather</nav><div>Contact us About Imprint</div><div>{low} {own[k]} end{k}</div>"
+    df = spark.createDataFrame([(k, f"http://a.example/{k}", page(k)) for k in range(4)], "page_id long, url string, html string")
+    out = {r["page_id"]: (r["text"], r["n_removed"]) for r in pages.extract_text(df).collect()}
+    assert out == {k: (f"{own[k]}\n{own[k]} end{k}", 2) for k in range(4)}
+
+
 def test_suffix_order_sorts_by_the_first_tokens():
     import numpy as np
 
