@@ -1,8 +1,8 @@
 """Scores of texts under a language model learned from the collection.
 
-Method: hierarchical Pitman-Yor model.  A word's context is the word before it,
-dealt to one of ``CONTEXTS`` restaurants by its hash; all context restaurants
-share one parent, whose base is uniform over the vocabulary and one unknown
+Method: hierarchical Pitman-Yor model.  A word's context is the word before it;
+every such word has a restaurant of its own, and all context restaurants share
+one parent, whose base is uniform over the vocabulary and one unknown
 word.  Customers are the training tokens; the tables of a context restaurant
 are the customers of the parent.  Seating is sampled by Gibbs sweeps: the
 customers of a word in a restaurant leave and are seated again one after
@@ -11,17 +11,17 @@ customers they come in groups of a sixteenth, within which the rule's
 probability is held.  A token's probability is the mean over several samples.
 
 All of it is spread by word: a bucket of words has the words' counts in all
-contexts, and of the rest of the model only the totals of each restaurant
-matter, a few numbers that are summed up between rounds; within a round a
-bucket corrects them by its own changes.  Texts are cut into
-blocks by ranges of their id.  A block asks for the distinct (context, word)
-pairs it holds, with their counts, and gets their probabilities back, so what
-moves is a dictionary for each block, not a row for each token.
+contexts, and of the rest of the model only the totals of its contexts'
+restaurants matter.  Between rounds they are summed up by parts of the contexts
+and go back to the buckets that asked, as a frame; the driver sees a few sums
+over all.  Within a round a bucket corrects them by its own changes.  Texts are
+cut into blocks by ranges of their id.  A block asks for the distinct (context,
+word) pairs it holds, with their counts, and gets their probabilities back in
+order, so what moves is a dictionary for each block, not a row for each token.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +32,10 @@ from pyspark.sql import functions as F
 from gridtide.llm.components import stored
 from gridtide.llm.words import SPACED, Words, give_back, mix, text_chunks
 
+#: Values of the bits of a context that a key holds; with the other ones, kept beside the key, they are 52 bits of its hash.
 CONTEXTS = 4096
+_REST = np.uint64(24)
+_LOW = np.uint64(CONTEXTS.bit_length() - 1)
 #: Discounts and strengths of the context restaurants and of their parent.
 DISCOUNT, STRENGTH = 0.8, 200.0
 PARENT_DISCOUNT, PARENT_STRENGTH = 0.8, 10.0
@@ -62,10 +65,11 @@ def _gaps(x: np.ndarray) -> np.ndarray:
     return np.concatenate((x[:1], np.diff(x)))
 
 
-def pair_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) of every token of some texts, the end of each text included, in order.
+def pair_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, rest) of every token of some texts, the end of each text included, in order.
 
-    A key is the first 52 bits of the word's hash, and the number of its context.
+    A key is the first 52 bits of the word's hash, and the last 12 of its
+    context's; ``rest`` has the first 40 of the context's.
     """
     words = Words(column, SPACED)
     n = len(words.counts)
@@ -76,38 +80,44 @@ def pair_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     word = np.concatenate((hashes, np.full(n, _END, dtype=np.uint64)))[order]
     before = np.concatenate((np.zeros(1, np.uint64), word[:-1]))
     before[np.concatenate(([True], text[1:] != text[:-1]))] = _START
-    context = mix(before) & np.uint64(CONTEXTS - 1)
-    return text, (word & _WORD) | context
+    context = mix(before)
+    return text, (word & _WORD) | (context & np.uint64(CONTEXTS - 1)), context >> _REST
+
+
+def _fresh(key: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Where sorted pairs differ from the one before."""
+    return np.concatenate(([True], (key[1:] != key[:-1]) | (rest[1:] != rest[:-1])))
 
 
 def _asked(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block, keys, counts): each block's pairs and their training counts, by buckets of words."""
+    """(bucket, block, keys, rests, counts): each block's pairs and their training counts, by buckets of words."""
 
     def packed(parts: list) -> Iterator[pa.RecordBatch]:
-        block, key, learn = (np.concatenate(x) for x in zip(*parts, strict=True))
-        rows: dict[str, list] = {"bucket": [], "block": [], "keys": [], "counts": []}
+        block, key, rest, learn = (np.concatenate(x) for x in zip(*parts, strict=True))
+        rows: dict[str, list] = {"bucket": [], "block": [], "keys": [], "rests": [], "counts": []}
         for one in np.unique(block):
             mine = block == one
-            order = np.argsort(key[mine])
-            k, c = key[mine][order], learn[mine][order].astype(np.int64)
-            begin = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            k, c = k[begin], np.add.reduceat(c, begin).astype(np.uint32)
+            order = np.lexsort((rest[mine], key[mine]))
+            k, r, c = key[mine][order], rest[mine][order], learn[mine][order].astype(np.int64)
+            begin = np.flatnonzero(_fresh(k, r))
+            k, r, c = k[begin], r[begin], np.add.reduceat(c, begin).astype(np.uint32)
             bucket = ((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             for x, y in zip(edge, np.append(edge[1:], len(k)), strict=True):
                 rows["bucket"].append(int(bucket[x]))
                 rows["block"].append(int(one))
                 rows["keys"].append(_planes(_gaps(k[x:y])))
+                rows["rests"].append(_planes(r[x:y]))
                 rows["counts"].append(_planes(c[x:y]))
-        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+        yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("rests", pa.binary()), ("counts", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
             for a, b in text_chunks(batch["text"]):
                 part = batch.slice(a, b - a)
-                text, key = pair_keys(part["text"])
-                parts.append((part["block"].to_numpy()[text], key, part["learn"].to_numpy(zero_copy_only=False)[text]))
+                text, key, rest = pair_keys(part["text"])
+                parts.append((part["block"].to_numpy()[text], key, rest, part["learn"].to_numpy(zero_copy_only=False)[text]))
                 held += len(key)
                 if held >= FLUSH:
                     yield from packed(parts)
@@ -116,7 +126,7 @@ def _asked(docs: DataFrame, buckets: int) -> DataFrame:
         if parts:
             yield from packed(parts)
 
-    return docs.mapInArrow(run, "bucket int, block int, keys binary, counts binary")
+    return docs.mapInArrow(run, "bucket int, block int, keys binary, rests binary, counts binary")
 
 
 def _merged(asked: DataFrame) -> DataFrame:
@@ -124,29 +134,40 @@ def _merged(asked: DataFrame) -> DataFrame:
 
     def run(rows: pa.Table) -> pa.Table:
         keys = [np.cumsum(_unplaned(k.as_py(), np.uint64)) for k in rows["keys"]]
-        counts = [_unplaned(c.as_py(), np.uint32) for c in rows["counts"]]
-        pairs, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate(counts), minlength=len(pairs)).astype(np.uint64)
-        give_back()
         ends = np.cumsum([len(k) for k in keys])
-        places = [_planes(_gaps(x.astype(np.uint32))) for x in np.split(place, ends[:-1])]
-        one = {"bucket": [rows["bucket"][0].as_py()], "pairs": [_planes(_gaps(pairs))], "counts": [_planes(total)], "blocks": [rows["block"].to_pylist()], "places": [places]}
-        kinds = [("bucket", pa.int32()), ("pairs", pa.binary()), ("counts", pa.binary()), ("blocks", pa.list_(pa.int32())), ("places", pa.list_(pa.binary()))]
+        key, rest = np.concatenate(keys), np.concatenate([_unplaned(r.as_py(), np.uint64) for r in rows["rests"]])
+        counts = np.concatenate([_unplaned(c.as_py(), np.uint32) for c in rows["counts"]])
+        del keys
+        order = np.lexsort((rest, key))
+        new = _fresh(key[order], rest[order])
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.cumsum(new) - 1
+        pairs, rests = key[order[new]], rest[order[new]]
+        total = np.bincount(place, weights=counts, minlength=len(pairs)).astype(np.uint64)
+        del key, rest, counts, order, new
+        give_back()
+        asked: dict[int, list[np.ndarray]] = {}
+        for block, at in zip(rows["block"].to_pylist(), np.split(place, ends[:-1]), strict=True):
+            asked.setdefault(block, []).append(at)
+        # Each pair once for each block, however many parts of it asked.
+        places = [_planes(_gaps(x[0] if len(x) == 1 else np.unique(np.concatenate(x)))) for x in asked.values()]
+        one = {"bucket": [rows["bucket"][0].as_py()], "pairs": [_planes(_gaps(pairs))], "rests": [_planes(rests)], "counts": [_planes(total)], "blocks": [list(asked)], "places": [places]}
+        kinds = [("bucket", pa.int32()), *((c, pa.binary()) for c in ("pairs", "rests", "counts")), ("blocks", pa.list_(pa.int32())), ("places", pa.list_(pa.binary()))]
         return pa.table(one, schema=pa.schema(kinds))
 
-    return asked.groupBy("bucket").applyInArrow(run, "bucket int, pairs binary, counts binary, blocks array<int>, places array<binary>")
+    return asked.groupBy("bucket").applyInArrow(run, "bucket int, pairs binary, rests binary, counts binary, blocks array<int>, places array<binary>")
 
 
 class Totals:
-    """What a bucket has to know of the rest: each restaurant's customers and tables, words and tokens in all."""
+    """What a bucket has to know of the rest: customers and tables of its contexts, and words, tables and tokens in all."""
 
-    def __init__(self, customers: np.ndarray, tables: np.ndarray, parent_tables: float, words: int) -> None:
+    def __init__(self, customers: np.ndarray, tables: np.ndarray, parent_tables: float, words: int, parent_customers: float | None = None) -> None:
         self.customers, self.tables = customers, tables
-        self.parent_customers, self.parent_tables = float(tables.sum()), parent_tables
-        self.words, self.tokens = words, int(customers.sum())
+        self.parent_customers = float(tables.sum()) if parent_customers is None else parent_customers
+        self.parent_tables, self.words = parent_tables, words
 
     def plus(self, tables: np.ndarray, parent_tables: float) -> Totals:
-        return Totals(self.customers, self.tables + tables, self.parent_tables + parent_tables, self.words)
+        return Totals(self.customers, self.tables + tables, self.parent_tables + parent_tables, self.words, self.parent_customers + float(tables.sum()))
 
 
 def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -171,8 +192,9 @@ def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.rand
 class Sampler:
     """The seating of one bucket's words, from one table each on through some rounds of given totals."""
 
-    def __init__(self, pairs: np.ndarray, counts: np.ndarray, history: list[Totals], seed: int) -> None:
-        self.context = (pairs & np.uint64(CONTEXTS - 1)).astype(np.int64)
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray, history: list[Totals], seed: int, context: np.ndarray | None = None) -> None:
+        """``context`` numbers the pairs' contexts as the totals do; without it the last bits of the pairs are the numbers."""
+        self.context = (pairs & np.uint64(CONTEXTS - 1)).astype(np.int64) if context is None else context
         word = pairs & _WORD
         new = np.concatenate(([True], word[1:] != word[:-1]))
         self.word = np.cumsum(new) - 1
@@ -184,13 +206,14 @@ class Sampler:
         self.parent_tables = np.minimum(self.parent, 1)
         self.word_counts = np.add.reduceat(self.counts, self.begin)
         for k, totals in enumerate(history):
+            self.contexts = len(totals.tables)
             self.elsewhere = totals.plus(-self.own_tables(), -self.parent_tables.sum())
             self.totals = totals
             for _ in range(SWEEPS if k < len(history) - 1 else 0):
                 self.sweep()
 
     def own_tables(self) -> np.ndarray:
-        return np.bincount(self.context, weights=self.tables, minlength=CONTEXTS)
+        return np.bincount(self.context, weights=self.tables, minlength=self.contexts)
 
     def base(self) -> np.ndarray:
         """Each word's probability in the parent."""
@@ -215,88 +238,141 @@ class Sampler:
         return (own + back) / (STRENGTH + t.customers[self.context])
 
 
-def _counted(merged: DataFrame, history: list[Totals]) -> Totals:
-    """The totals after the rounds of ``history``; at first those of one table for each pair and word."""
+class Bucket:
+    """One bucket's pairs, their contexts numbered, and the seating after some rounds."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        customers, tables = np.zeros(CONTEXTS + 1), np.zeros(CONTEXTS + 1)
-        for batch in batches:
-            for row in batch.to_pylist():
-                s = Sampler(np.cumsum(_unplaned(row["pairs"], np.uint64)), _unplaned(row["counts"], np.uint64), history, row["bucket"])
-                for _ in range(SWEEPS if history else 0):
-                    s.sweep()
-                own = np.bincount(s.context, weights=s.counts, minlength=CONTEXTS)
-                customers += np.append(own, (s.word_counts > 0).sum())
-                tables += np.append(s.own_tables(), s.parent_tables.sum())
-        yield pa.RecordBatch.from_pydict({"customers": [customers.tobytes()], "tables": [tables.tobytes()]})
+    def __init__(self, row: dict, told: list[dict], sums: list[dict]) -> None:
+        self.pairs, self.counts = np.cumsum(_unplaned(row["pairs"], np.uint64)), _unplaned(row["counts"], np.uint64)
+        whole = (_unplaned(row["rests"], np.uint64) << _LOW) | (self.pairs & np.uint64(CONTEXTS - 1))
+        self.contexts, context = np.unique(whole, return_inverse=True)
+        history, customers = [], np.zeros(0)
+        for k, one in enumerate(sums):
+            mine = sorted((t for t in told if t["round"] == k), key=lambda t: t["part"])
+            joined = lambda c: np.concatenate([_unplaned(t[c], np.uint64) for t in mine]).astype(float)  # noqa: B023, E731
+            customers = customers if k else joined("customers")
+            history.append(Totals(customers, joined("tables"), one["parent_tables"], one["words"], float(one["tables"])))
+        self.seating = Sampler(self.pairs, self.counts, history, row["bucket"], context)
 
-    def added(rows: pa.Table) -> pa.Table:
-        sums = {c: [np.sum([np.frombuffer(x.as_py()) for x in rows[c]], axis=0).tobytes()] for c in ("customers", "tables")}
-        return pa.table(sums)
+    def by_context(self, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.seating.context, weights=weights, minlength=len(self.contexts)).astype(np.uint64)
 
-    # One row of sums from each task; groups of tasks are added up, and the driver adds the groups.
-    schema = "customers binary, tables binary"
-    groups = math.isqrt(int(merged.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
-    sums = merged.select("bucket", "pairs", "counts").mapInArrow(run, schema)
-    rows = sums.groupBy((F.spark_partition_id() % groups).alias("group")).applyInArrow(added, schema).collect()
-    customers, tables = (sum((np.frombuffer(bytes(r[c])) for r in rows), np.zeros(CONTEXTS + 1)) for c in ("customers", "tables"))
-    return Totals(customers[:CONTEXTS], tables[:CONTEXTS], float(tables[CONTEXTS]), int(customers[CONTEXTS]))
 
+_TOLD = "bucket int, part int, customers binary, tables binary, n_customers long, n_tables long, words long, parent_tables long"
 
-def _answered(merged: DataFrame, history: list[Totals]) -> DataFrame:
-    """(block, keys, scores, counts): for each block its pairs with log10 of their mean probability, and the words' counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_told(rows: DataFrame, told: list[DataFrame], f, schema: str) -> DataFrame:
+    """``f`` of each bucket's row and what it was told in the rounds so far."""
+    every = None
+    for k, one in enumerate(told):
+        one = one.select("bucket", F.lit(k).alias("round"), "part", "customers", "tables")
+        every = one if every is None else every.unionByName(one)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                pairs, counts = np.cumsum(_unplaned(row["pairs"], np.uint64)), _unplaned(row["counts"], np.uint64)
-                s = Sampler(pairs, counts, history, row["bucket"])
-                mean = np.zeros(len(pairs))
-                for k in range(SWEEPS + SAMPLES - 1):
-                    s.sweep()
-                    if k >= SWEEPS - 1:
-                        mean += s.probability() / SAMPLES
-                scores = np.log10(np.minimum(mean, 1.0)).astype(np.float32)
-                words = s.word_counts[s.word].astype(np.uint64)
-                del s, mean
-                give_back()
-                for block, raw in zip(row["blocks"], row["places"], strict=True):
-                    at = np.cumsum(_unplaned(raw, np.uint32))
-                    yield pa.RecordBatch.from_pydict(
-                        {"block": [block], "keys": [_planes(_gaps(pairs[at]))], "scores": [scores[at].tobytes()], "counts": [_planes(words[at])]},
-                        schema=pa.schema([("block", pa.int32()), ("keys", pa.binary()), ("scores", pa.binary()), ("counts", pa.binary())]),
-                    )
-
-    return merged.mapInArrow(run, "block int, keys binary, scores binary, counts binary")
-
-
-def _scored(docs: DataFrame, answers: DataFrame, totals: Totals) -> DataFrame:
+                yield from f(row, []).to_batches()
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.concat_tables([f(row, right.to_pylist()) for row in left.to_pylist()])
+
+    return rows.mapInArrow(alone, schema) if every is None else rows.groupBy("bucket").cogroup(every.groupBy("bucket")).applyInArrow(both, schema)
+
+
+def _counted(merged: DataFrame, told: list[DataFrame], sums: list[dict], parts: int) -> tuple[DataFrame, dict]:
+    """What each bucket is told of its contexts after the rounds so far, and the sums over all; at first of one table for each pair and word."""
+    own = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("contexts", "customers", "tables")), ("words", pa.int64()), ("parent_tables", pa.int64())])
+    back = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("customers", pa.binary()), ("tables", pa.binary()), *((c, pa.int64()) for c in ("n_customers", "n_tables", "words", "parent_tables"))])
+
+    def asked(row: dict, heard: list[dict]) -> pa.Table:
+        b = Bucket(row, heard, sums)
+        s = b.seating
+        for _ in range(SWEEPS if sums else 0):
+            s.sweep()
+        customers, tables = b.by_context(s.counts), b.by_context(s.tables)
+        part = ((b.contexts >> np.uint64(20)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        edge = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        rows = []
+        for x, y in zip(edge, np.append(edge[1:], len(part)), strict=True):
+            first = int(x == 0)
+            rows.append({
+                "part": int(part[x]), "bucket": row["bucket"], "contexts": _planes(_gaps(b.contexts[x:y])), "customers": _planes(customers[x:y]), "tables": _planes(tables[x:y]),
+                "words": first * int((s.word_counts > 0).sum()), "parent_tables": first * int(s.parent_tables.sum()),
+            })
+        return pa.Table.from_pylist(rows, schema=own)
+
+    def added(rows: pa.Table) -> pa.Table:
+        contexts = [np.cumsum(_unplaned(c.as_py(), np.uint64)) for c in rows["contexts"]]
+        ends = np.cumsum([len(c) for c in contexts])[:-1]
+        place = np.unique(np.concatenate(contexts), return_inverse=True)[1]
+        out = {"bucket": rows["bucket"], "part": rows["part"], "words": rows["words"], "parent_tables": rows["parent_tables"]}
+        for c in ("customers", "tables"):
+            total = np.bincount(place, weights=np.concatenate([_unplaned(x.as_py(), np.uint64) for x in rows[c]])).astype(np.uint64)
+            out[c] = pa.array([_planes(x) for x in np.split(total[place], ends)], pa.binary())
+            out[f"n_{c}"] = pa.array([int(total.sum()), *[0] * (rows.num_rows - 1)], pa.int64())
+        return pa.table([out[n] for n in back.names], schema=back)
+
+    schema = "part int, bucket int, contexts binary, customers binary, tables binary, words long, parent_tables long"
+    sent = _with_told(merged.select("bucket", "pairs", "rests", "counts"), told, asked, schema)
+    heard = stored(sent.groupBy("part").applyInArrow(added, _TOLD), "totals")
+    one = heard.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("n_customers", "tokens"), ("n_tables", "tables"), ("words", "words"), ("parent_tables", "parent_tables"))))
+    return heard, one.first().asDict()
+
+
+def _answered(merged: DataFrame, told: list[DataFrame], sums: list[dict]) -> DataFrame:
+    """(block, bucket, scores, counts): for each block log10 of its pairs' mean probability, and the words' counts, in the order of the pairs."""
+    kinds = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("scores", pa.binary()), ("counts", pa.binary())])
+
+    def run(row: dict, heard: list[dict]) -> pa.Table:
+        b = Bucket(row, heard, sums)
+        s = b.seating
+        mean = np.zeros(len(b.pairs))
+        for k in range(SWEEPS + SAMPLES - 1):
+            s.sweep()
+            if k >= SWEEPS - 1:
+                mean += s.probability() / SAMPLES
+        scores = np.log10(np.minimum(mean, 1.0)).astype(np.float32)
+        words = s.word_counts[s.word].astype(np.uint64)
+        del b, s, mean
+        give_back()
+        places = [np.cumsum(_unplaned(raw, np.uint32)) for raw in row["places"]]
+        n = len(places)
+        return pa.table([row["blocks"], [row["bucket"]] * n, [scores[at].tobytes() for at in places], [_planes(words[at]) for at in places]], schema=kinds)
+
+    return _with_told(merged, told, run, "block int, bucket int, scores binary, counts binary")
+
+
+def _scored(docs: DataFrame, answers: DataFrame, sums: dict) -> DataFrame:
     """The documents with the sums over their tokens."""
-    tokens, words = totals.tokens, totals.words
+    tokens, words = sums["tokens"], sums["words"]
     kinds = [("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [pa.table({n: pa.array([], k) for n, k in kinds})]
-        if right.num_rows and left.num_rows:
-            keys = np.concatenate([np.cumsum(_unplaned(k.as_py(), np.uint64)) for k in right["keys"]])
-            scores = np.concatenate([np.frombuffer(s.as_py(), dtype=np.float32) for s in right["scores"]])
-            counts = np.concatenate([_unplaned(c.as_py(), np.uint64) for c in right["counts"]])
-            order = np.argsort(keys)
-            keys, scores, counts = keys[order], scores[order], counts[order]
-            del order
-            give_back()
-            left = left.combine_chunks()
-            texts, ids = left["text"].chunk(0), left["id"].chunk(0)
-            for a, b in text_chunks(texts):
-                text, key = pair_keys(texts.slice(a, b - a))
-                at = np.searchsorted(keys, key)
-                c = counts[at].astype(float)
-                total = lambda w: np.bincount(text, weights=w, minlength=b - a)  # noqa: B023, E731
-                n = np.bincount(text, minlength=b - a)
-                base = total(np.log10(c + 1)) - n * np.log10(tokens + words + 1.0)
-                columns = [ids.slice(a, b - a), n, total((c > 0).astype(float)).astype(np.int64), base, total(scores[at])]
-                out.append(pa.table([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], schema=pa.schema(kinds)))
-        return pa.concat_tables(out)
+        if not (right.num_rows and left.num_rows):
+            return pa.table({n: pa.array([], k) for n, k in kinds})
+        left = left.combine_chunks()
+        texts, ids = left["text"].chunk(0), left["id"].chunk(0)
+        parts = []
+        for a, b in text_chunks(texts):
+            text, key, rest = pair_keys(texts.slice(a, b - a))
+            parts.append(((text + a).astype(np.int32), key, rest))
+        text, key, rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        # The answers, bucket after bucket, are those to the block's distinct pairs in order.
+        order = np.lexsort((rest, key))
+        place = np.cumsum(_fresh(key[order], rest[order])) - 1
+        text = text[order]
+        del key, rest, order
+        give_back()
+        right = right.sort_by("bucket")
+        scores = np.concatenate([np.frombuffer(s.as_py(), dtype=np.float32) for s in right["scores"]])
+        counts = np.concatenate([_unplaned(c.as_py(), np.uint64) for c in right["counts"]])
+        if len(scores) != place[-1] + 1:
+            raise ValueError(f"{len(scores)} answers to {place[-1] + 1} pairs of a block")
+        total = lambda w: np.bincount(text, weights=w[place], minlength=len(ids))
+        n = np.bincount(text, minlength=len(ids))
+        base = total(np.log10(counts + 1.0)) - n * np.log10(tokens + words + 1.0)
+        columns = [ids, n, total((counts > 0).astype(float)).astype(np.int64), base, total(scores.astype(float))]
+        return pa.table([pa.array(x) if isinstance(x, np.ndarray) else x for x in columns], schema=pa.schema(kinds))
 
     schema = "id long, n_tokens long, n_known long, base_score double, score double"
     return docs.select("block", "id", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
@@ -324,12 +400,13 @@ def score_texts(df: DataFrame, learn: str, document: str = "doc_id", column: str
     block = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
     docs = docs.withColumn("block", F.when(F.col("id").isNull(), F.lit(0)).otherwise(block).cast("int"))
     merged = stored(_merged(_asked(docs, 4 * partitions)), "counts")
-    history: list[Totals] = []
+    told: list[DataFrame] = []
+    sums: list[dict] = []
     for _ in range(ROUNDS):
-        history.append(_counted(merged, history))
-    totals = history[-1]
-    scored = _scored(docs, _answered(merged, history), totals)
-    return scored.select(F.col("id").alias(document), "n_tokens", "n_known", F.lit(totals.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+        heard, one = _counted(merged, told, sums, partitions // 4 + 1)
+        told, sums = [*told, heard], [*sums, one]
+    scored = _scored(docs, _answered(merged, told, sums), sums[-1])
+    return scored.select(F.col("id").alias(document), "n_tokens", "n_known", F.lit(sums[-1]["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

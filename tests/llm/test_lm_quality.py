@@ -68,6 +68,19 @@ def test_probabilities_sum_to_one():
     assert np.bincount(s.context, weights=s.probability(), minlength=lm.CONTEXTS) + own == pytest.approx(np.ones(lm.CONTEXTS))
 
 
+def test_every_previous_word_is_a_context_of_its_own():
+    _, key, rest = lm.pair_keys(pa.array([" ".join(f"w{k} x" for k in range(30_000))]))
+    context = (rest << np.uint64(12)) | (key & np.uint64(lm.CONTEXTS - 1))
+    assert len(np.unique(context[1::2])) == 30_000  # those of the x
+
+
+def test_contexts_beyond_the_key_bits_do_not_share_what_they_learn(spark):
+    rows = [(k, f"a{k} b{k} " * 6, True) for k in range(9000)] + [(10_000 + k, f"a{k} b{k + 1}", False) for k in range(200)]
+    out = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string, learn boolean"), "learn").collect()
+    mean = lambda ids: np.mean([r["score"] / r["n_tokens"] for r in out if r["doc_id"] in ids])
+    assert mean(range(200)) > mean(range(10_000, 10_200)) + 0.5
+
+
 def test_seating_follows_the_restaurant_rule():
     rng = np.random.default_rng(5)
     customers, fresh, discount = np.full(4000, 200), np.full(4000, 3.0), 0.4
