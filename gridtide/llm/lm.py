@@ -4,11 +4,13 @@ Method: hierarchical Pitman-Yor model.  A word's context is the word before it;
 every such word has a restaurant of its own, and all context restaurants share
 one parent, whose base is uniform over the vocabulary and one unknown
 word.  Customers are the training tokens; the tables of a context restaurant
-are the customers of the parent.  Seating is sampled by Gibbs sweeps: the
-customers of a word in a restaurant leave and are seated again one after
-another by the Chinese restaurant rule, all else as it is; beyond ``SINGLY``
+are the customers of the parent.  Seating approximates Gibbs sweeps: in
+every sweep the customers of a word in a restaurant leave and are seated again
+one after another by the Chinese restaurant rule, each seeing only those before
+it, all else as it is, and only the number of tables is kept; beyond ``SINGLY``
 customers they come in groups of a sixteenth, within which the rule's
-probability is held.  A token's probability is the mean over several samples.
+probability is held.  The draws are not corrected towards the exact conditional.
+A token's probability is the mean over several samples.
 
 All of it is spread by word: a bucket of words has the words' counts in all
 contexts, and of the rest of the model only the totals of its contexts'
