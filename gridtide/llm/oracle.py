@@ -103,8 +103,31 @@ CHAT = rf"""
     FROM repeated GROUP BY conv_id
 """
 
+HARD_NEGATIVES = """
+    WITH vectors AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = len(embedding)
+    ), scores AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same,
+             CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0
+    ), positives AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same AND vec_id <> anchor_id
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+    )
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scores USING (anchor_id)
+    WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+    QUALIFY rank <= 10
+"""
+
 ORACLE = {
     "op1_near_duplicates": NEAR_DUPLICATES,
     "op3_decontaminate": DECONTAMINATE,
     "op8_chat": CHAT,
+    "op12_hard_negatives": HARD_NEGATIVES,
 }

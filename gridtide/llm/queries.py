@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridtide.llm import bpe, chat, decontaminate, fingerprint, jaccard, lm, pages, quality, secrets, sharding
+from gridtide.functions.once import with_columns_once
+from gridtide.llm import bpe, chat, decontaminate, fingerprint, jaccard, lm, negatives, packing, pages, periodic, quality, secrets, sharding
 from gridtide.llm.oracle import ORACLE
 
 __all__ = ["GOOD", "ORACLE", "QUERIES", "table"]
@@ -172,3 +173,58 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"),
         _joined(F.col("spans")).alias("spans"),
     )
+
+
+#: Tokens of a packed sequence.
+SEQUENCE = 2048
+
+
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.cut_texts(texts(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), SEQUENCE, keep_ids=False)
+    packed = packing.pack_pieces(pieces, SEQUENCE)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = rows.select("vec_id", moved.alias("label"), negatives.whole_vectors("embedding").alias("v"))
+    return negatives.mine_negatives(whole, F.col("vec_id") % 100 == 0)
+
+
+def _repeated_from(words, n, g):
+    """Words from place ``g % n`` on replaced by repetitions of the first few of them."""
+    at = (g % n).cast("int")
+    rest = n - at
+    period = (1 + F.floor(rest / (3 + g % 8))).cast("int")
+    block = F.slice(words, at + 1, period)
+    times = F.ceil(rest / period).cast("int")
+    return F.concat(F.slice(words, F.lit(1), at), F.slice(F.flatten(F.array_repeat(block, times)), F.lit(1), rest))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    chosen = with_columns_once(texts(spark, sf_dir), {"words": F.when(h % 10 == 0, words)})
+    n, g = F.size("words"), F.floor(h / 10)
+    edited = chosen.withColumn("text", F.when(n > 0, F.array_join(_repeated_from(F.col("words"), n, g), " ")).otherwise(F.col("text")))
+    found = periodic.find_runs(edited.select("doc_id", "text"))
+    # Runs are listed by start and period, so the first of equally repeated ones stays.
+    first = F.get("runs", F.lit(0))
+    more = lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a)
+    best = F.aggregate("runs", first, more)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[f].cast("string") for f in ("start", "length", "period"))), F.lit("\n")))
+    told = with_columns_once(found.select("doc_id", "runs", F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256")), {"best": best})
+    return told.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        "collapsed_sha256",
+    )

@@ -17,7 +17,7 @@ def test_query_equals_twin(spark, sf_dir, name):
 
 
 def test_every_operator_has_a_query():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES] == list(range(1, 14))
 
 
 def test_chat_twin_over_long_conversations(spark, tmp_path):
