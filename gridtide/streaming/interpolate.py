@@ -1,11 +1,11 @@
 """Interpolation across micro-batches.
 
-Between batches only the last record of each id is kept, in buckets by a hash
-of the id.  A batch is then the batch operator over "carried records of its
-buckets, then new records": the pairs become the output, and the records that
-found no successor are what is carried on.  Buckets without a record in the
-batch are neither read nor written.  A hot id is cut into segments as in the
-batch operator, and no group of rows passes through Python.
+Between batches only the last record of each id is kept, as a log with levels
+(``streaming/state.py``).  A batch is then the batch operator over "records held
+for its ids, then new records": the pairs become the output, and the records
+that found no successor are what the log is given.  Records of other ids are
+not written again.  A hot id is cut into ranges as in the batch operator, and no
+group of rows passes through Python.
 """
 
 from __future__ import annotations
@@ -20,11 +20,9 @@ from pyspark.sql import types as T
 from gridtide.operators.densify import NEXT, Interp, check_steps, expand_pairs, interpolation_columns
 from gridtide.operators.order import with_next
 from gridtide.sinks.targets import Target, write_batch
+from gridtide.streaming.state import LastRecords
 
 NEW = "_new"
-BUCKET = "_bucket"
-# Buckets of ids; a batch with few ids touches few of them.
-BUCKETS = 16
 
 
 def interpolate_each_batch(
@@ -36,45 +34,28 @@ def interpolate_each_batch(
     target: Target,
     state_folder: str,
     rows_per_segment: int | None = None,
-    buckets: int = BUCKETS,
 ) -> Callable[[DataFrame, int], None]:
     """A batch writer that interpolates a stream of records with the given schema.
 
-    Each bucket has two slots, used in turn: a batch reads the slot its
-    predecessor left and replaces the other one.  Which slot holds is noted
-    per batch, in two notes used in turn as well, so a batch that is run again
-    after a failure starts from the same records.  ``buckets`` must not change
-    between runs.
+    A batch that is run again after a failure starts from the records that the
+    batch before it left, and gives the same rows.
     """
     if not interps:
         raise ValueError("at least one interpolator required")
     check_steps(n)
     columns = schema.names
-    if id_cols:
-        bucket = F.pmod(F.xxhash64(*id_cols), F.lit(buckets)).cast("int")
-    else:
-        bucket = F.lit(0)
-
-    def note(batch_id: int) -> str:
-        return f"{state_folder}/note={batch_id % 2}"
-
-    def data(of: int, slot: int) -> str:
-        return f"{state_folder}/slot={slot}/bucket={of}"
+    state = LastRecords(state_folder, schema, id_cols)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.select(*columns, bucket.alias(BUCKET)).persist(StorageLevel.MEMORY_AND_DISK)
+        new = batch.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            held = {}
-            if batch_id > 0:
-                held = {r["bucket"]: r["slot"] for r in spark.read.parquet(note(batch_id - 1)).collect()}
-            touched = sorted(r[0] for r in new.select(BUCKET).distinct().collect())
+            runs = state.runs(spark, batch_id - 1)
             rows = new.withColumn(NEW, F.lit(True))
-            before = [data(b, held[b]) for b in touched if b in held]
-            if before:
-                carried = spark.read.schema(schema).parquet(*before).select(*columns, bucket.alias(BUCKET))
-                rows = carried.withColumn(NEW, F.lit(False)).unionByName(rows)
-            # A carried record came before every record of this batch, whatever its time.
+            held = state.of(new, runs)
+            if held is not None:
+                rows = held.withColumn(NEW, F.lit(False)).unionByName(rows)
+            # A held record came before every record of this batch, whatever its time.
             paired = with_next(
                 rows,
                 id_cols,
@@ -84,20 +65,10 @@ def interpolate_each_batch(
                 into=NEXT,
             ).persist(StorageLevel.MEMORY_AND_DISK)
             try:
-                now = held | {b: 1 - held.get(b, 1) for b in touched}
-                kept = paired.where(F.col(NEXT).isNull())
-                for slot in (0, 1):
-                    mine = [b for b in touched if now[b] == slot]
-                    if mine:
-                        part = kept.where(F.col(BUCKET).isin(mine)).select(*columns, F.col(BUCKET).alias("bucket"))
-                        # One file for a small bucket, several for a large one.
-                        placed = part.hint("rebalance", "bucket")
-                        writer = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-                        writer.partitionBy("bucket").parquet(f"{state_folder}/slot={slot}")
+                now = state.put(paired.where(F.col(NEXT).isNull()), runs, batch_id)
                 output = expand_pairs(paired, n, interpolation_columns(interps, n)).select(*columns)
                 write_batch(output, target, batch_id)
-                noted = spark.createDataFrame(sorted(now.items()), "bucket int, slot int")
-                noted.coalesce(1).write.mode("overwrite").parquet(note(batch_id))
+                state.note(spark, now, batch_id)
             finally:
                 paired.unpersist()
         finally:

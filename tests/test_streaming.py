@@ -155,24 +155,6 @@ def test_interpolation_batch_can_be_run_again(spark, tmp_path):
     assert {r[0]: r[1] for r in got.collect()} == {1: [0.0, 1.0], 2: [2.0, 3.0, 5.0, 6.0]}
 
 
-def test_a_batch_of_one_id_leaves_the_others_alone(spark, tmp_path):
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.DoubleType())])
-    state = tmp_path / "state"
-    writer = interpolate_each_batch(
-        schema, 2, [N.Interp("v", "double")], ["id"], ["v"], file_target(str(tmp_path / "out")), str(state)
-    )
-    written = lambda: {p: p.stat().st_mtime_ns for p in state.glob("slot=*/bucket=*/*.parquet")}
-    writer(spark.createDataFrame([(k, 0.0) for k in range(200)], schema), 0)
-    before = written()
-    writer(spark.createDataFrame([(7, 4.0)], schema), 1)
-    after = written()
-    assert before.items() <= after.items()
-    assert len({p.parent for p in after} - {p.parent for p in before}) == 1
-    writer(spark.createDataFrame([(k, 2.0) for k in range(200)], schema), 2)
-    last = spark.read.parquet(str(tmp_path / "out")).where("batch = 2").where("id = 7").collect()
-    assert sorted(r.v for r in last) == [3.0, 4.0]
-
-
 def test_late_arrivals_pair_in_arrival_order(spark, tmp_path):
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.DoubleType())])
     target = file_target(str(tmp_path / "out"))
