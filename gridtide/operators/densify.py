@@ -124,11 +124,13 @@ def interpolate(
     *,
     rows_per_segment: int | None = None,
     total_rows: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """n records for each pair of neighbours of an id; the last of an id has no pair.
 
     Step 0 is the earlier record itself; columns without an interpolator keep
-    its values.  Without ``id_cols`` the whole table is one chain.
+    its values.  Without ``id_cols`` the whole table is one chain.  ``stored``
+    says that ``df`` only reads what is stored (see ``order.with_next``).
     """
     if not interps:
         raise ValueError("at least one interpolator required")
@@ -140,6 +142,7 @@ def interpolate(
         [s.column for s in interps],
         rows_per_segment=rows_per_segment,
         total_rows=total_rows,
+        stored=stored,
         into=NEXT,
     )
     return expand_pairs(pairs, n, interpolation_columns(interps, n))
@@ -154,6 +157,7 @@ def interpolate_with(
     *,
     rows_per_segment: int | None = None,
     total_rows: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """A caller's own densifier: each kernel sees both records, as structs, and the step."""
     pairs = with_next(
@@ -163,6 +167,7 @@ def interpolate_with(
         df.columns,
         rows_per_segment=rows_per_segment,
         total_rows=total_rows,
+        stored=stored,
         into=NEXT,
     )
     earlier = F.struct(*[F.col(c) for c in df.columns])
@@ -177,12 +182,13 @@ def densify(
     interps: Sequence[Interp] = (),
     id_cols: Sequence[str] = (),
     order: Sequence[str] = (),
+    stored: bool = False,
 ) -> DataFrame:
     """By type code: 1 copies, 2 interpolates, 0 and every other code pass through."""
     if kind == MULTIPLY:
         return multiply(df, n)
     if kind == INTERPOLATE:
-        return interpolate(df, n, interps, id_cols, order)
+        return interpolate(df, n, interps, id_cols, order, stored=stored)
     return df
 
 
@@ -234,6 +240,7 @@ def interpolate_lines(
     *,
     rows_per_segment: int | None = None,
     total_rows: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Text form of :func:`interpolate`: lines in, lines out, fields chosen by position.
 
@@ -265,6 +272,7 @@ def interpolate_lines(
         [f"_v{k}" for k in range(len(chosen))] or [value],
         rows_per_segment=rows_per_segment,
         total_rows=total_rows,
+        stored=stored,
         into=NEXT,
     )
 

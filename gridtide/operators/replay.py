@@ -20,12 +20,13 @@ def send_slots(
     *,
     rows_per_segment: int | None = None,
     total_rows: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Add ``slot``, the second in which a record is due at a steady rate."""
     if records_per_second < 1:
         raise ValueError("records_per_second must be positive")
     placed = with_position(
-        df, order, rows_per_segment=rows_per_segment, total_rows=total_rows, into="_position"
+        df, order, rows_per_segment=rows_per_segment, total_rows=total_rows, stored=stored, into="_position"
     )
     slot = F.call_function("div", F.col("_position"), F.lit(records_per_second))
     return placed.withColumn("slot", slot).drop("_position")

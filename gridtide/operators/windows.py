@@ -72,10 +72,11 @@ def late_rows(
     *,
     rows_per_segment: int | None = None,
     total_rows: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Rows that arrive after a row whose time is ahead by more than the delay."""
     seen = with_max_before(
-        df, arrival, ts, rows_per_segment=rows_per_segment, total_rows=total_rows, into="_seen"
+        df, arrival, ts, rows_per_segment=rows_per_segment, total_rows=total_rows, stored=stored, into="_seen"
     )
     behind = F.col(ts) < F.col("_seen") - F.make_dt_interval(secs=F.lit(float(delay_seconds)))
     return seen.where(behind).drop("_seen")

@@ -510,21 +510,21 @@ def _dense_shown(dense: DataFrame) -> DataFrame:
 def densify_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2, D2a-D2e, W1, D3: type code 2, one chain per id."""
     readings = tables.events(spark, sf_dir)
-    return _dense_shown(densify(readings, INTERPOLATE, STEPS, INTERPS, ["id"], ORDER))
+    return _dense_shown(densify(readings, INTERPOLATE, STEPS, INTERPS, ["id"], ORDER, stored=True))
 
 
 @_registered
 def densify_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chain over the whole table."""
     readings = tables.events(spark, sf_dir)
-    return _dense_shown(densify(readings, INTERPOLATE, STEPS, INTERPS, [], ORDER))
+    return _dense_shown(densify(readings, INTERPOLATE, STEPS, INTERPS, [], ORDER, stored=True))
 
 
 @_registered
 def densify_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2 on text lines with position specs, parsed again for comparison."""
     specs = [f"1;Date;{TIMESTAMP_FORMAT}", "2;double", "0;colour"]
-    dense = interpolate_lines(_lines(spark, sf_dir), STEPS, specs, ORDER, id_position=0)
+    dense = interpolate_lines(_lines(spark, sf_dir), STEPS, specs, ORDER, id_position=0, stored=True)
     return P.parse_readings(dense).select("id", "ts_text", "consumption")
 
 
@@ -533,7 +533,7 @@ def densify_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains per id over segments far smaller than an id's rows."""
     readings = tables.events(spark, sf_dir)
     return _dense_shown(
-        interpolate(readings, STEPS, INTERPS, ["id"], ORDER, rows_per_segment=SEGMENT_ROWS)
+        interpolate(readings, STEPS, INTERPS, ["id"], ORDER, rows_per_segment=SEGMENT_ROWS, stored=True)
     )
 
 
@@ -541,7 +541,7 @@ def densify_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def densify_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole numbers between two records."""
     readings = tables.events(spark, sf_dir)
-    dense = interpolate(readings, STEPS, [Interp("event_id", "integer")], ["id"], ORDER)
+    dense = interpolate(readings, STEPS, [Interp("event_id", "integer")], ["id"], ORDER, stored=True)
     return dense.select("id", "event_id", "consumption")
 
 
@@ -552,7 +552,7 @@ LINE_SPECS = [f"1;Date;{TIMESTAMP_FORMAT}", "2;double"]
 def densify_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2f: lines that cannot be interpolated are left out, their neighbours become pairs."""
     lines = _cut_lines(spark, sf_dir)
-    dense = interpolate_lines(lines, STEPS, LINE_SPECS, ORDER, id_position=0, mode="permissive")
+    dense = interpolate_lines(lines, STEPS, LINE_SPECS, ORDER, id_position=0, mode="permissive", stored=True)
     return P.parse_readings(dense).select("id", "ts_text", "consumption")
 
 
@@ -571,14 +571,14 @@ def densify_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.when(half, earlier["consumption"]).otherwise(later["consumption"])
 
     readings = tables.events(spark, sf_dir)
-    dense = interpolate_with(readings, STEPS, {"consumption": held}, ["id"], ORDER)
+    dense = interpolate_with(readings, STEPS, {"consumption": held}, ["id"], ORDER, stored=True)
     return dense.select("id", "event_id", "consumption")
 
 
 @_registered
 def replay_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5: the second in which each record is due."""
-    placed = send_slots(tables.events(spark, sf_dir), RECORDS_PER_SECOND, ORDER)
+    placed = send_slots(tables.events(spark, sf_dir), RECORDS_PER_SECOND, ORDER, stored=True)
     return placed.select("event_id", "slot")
 
 
@@ -669,7 +669,7 @@ def late_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings more than an hour behind; each is delayed by its value in minutes."""
     minutes = F.make_dt_interval(mins=F.floor("consumption").cast("int"))
     measured = tables.events(spark, sf_dir).withColumn("ts", F.col("ts") - minutes)
-    return late_rows(measured, ["event_id"], 3600).select("event_id", "id")
+    return late_rows(measured, ["event_id"], 3600, stored=True).select("event_id", "id")
 
 
 @_registered

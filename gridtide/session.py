@@ -21,6 +21,10 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Where every partition of one side is this small, hash it instead of sorting both sides.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # Ranges stored in order (operators/order.py): a bucket of one file is read as sorted, and rows
+    # that lie together by some of their keys may be joined by all of them where they lie.
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

@@ -62,6 +62,7 @@ def interpolate_each_batch(
                 [NEW, *order],
                 [s.column for s in interps],
                 rows_per_segment=rows_per_segment,
+                stored=True,
                 into=NEXT,
             ).persist(StorageLevel.MEMORY_AND_DISK)
             try:
