@@ -98,13 +98,13 @@ def hourly_partials(readings: DataFrame) -> DataFrame:
     )
 
 
-def _unit(readings: DataFrame) -> int | None:
+def reading_unit(readings: DataFrame) -> int | None:
     """Units per whole for decimal readings, which are summed as whole numbers; else None."""
     kind = readings.schema["consumption"].dataType
     return 10**kind.scale if isinstance(kind, T.DecimalType) else None
 
 
-def _adjusted_partials(
+def adjusted_partials(
     readings: DataFrame, weather: DataFrame, offset: int, missing_weather: str
 ) -> DataFrame:
     """Partials of the adjusted readings: sum(c * f + offset) = sum(c) * f + offset * n.
@@ -112,7 +112,7 @@ def _adjusted_partials(
     An hour with several weather rows counts each reading once per row, as the
     row-wise join would.  ``total`` is in tenths of the readings' unit.
     """
-    unit = _unit(readings)
+    unit = reading_unit(readings)
     if unit:
         # Sums of longs are exact and several times faster than sums of wide decimals.
         units = (F.col("consumption") * unit).cast("bigint")
@@ -128,7 +128,7 @@ def _adjusted_partials(
     return joined.select(*KEY, total.alias("total"), n.alias("n"))
 
 
-def _shift(partials: DataFrame, lags: Sequence[int], mode: str) -> DataFrame:
+def shift_partials(partials: DataFrame, lags: Sequence[int], mode: str) -> DataFrame:
     """Move each hour's partials to the days whose expectation they feed."""
     if mode == "literal":
         # Every lag lands on the day before, so nothing has to be merged.
@@ -152,6 +152,13 @@ def _shift(partials: DataFrame, lags: Sequence[int], mode: str) -> DataFrame:
     )
 
 
+def expected_of(shifted: DataFrame, unit: int | None) -> DataFrame:
+    """``id, date, hour, expected, n`` from shifted sums in tenths of the readings' unit."""
+    whole = F.lit(10.0 * (unit or 1))
+    expected = F.col("total").cast("double") / whole / F.col("n")
+    return shifted.select(*KEY, expected.alias("expected"), "n")
+
+
 def build_expected_model(
     readings: DataFrame,
     weather: DataFrame,
@@ -176,10 +183,8 @@ def build_expected_model(
         raise ValueError(f"unknown mode: {mode}")
     if not lags:
         raise ValueError("at least one lag required")
-    partials = _adjusted_partials(readings, weather, offset, missing_weather)
-    whole = F.lit(10.0 * (_unit(readings) or 1))
-    expected = F.col("total").cast("double") / whole / F.col("n")
-    return _shift(partials, lags, mode).select(*KEY, expected.alias("expected"), "n")
+    partials = adjusted_partials(readings, weather, offset, missing_weather)
+    return expected_of(shift_partials(partials, lags, mode), reading_unit(readings))
 
 
 def model_lines(model: DataFrame) -> DataFrame:

@@ -82,6 +82,23 @@ def late_rows(
     return seen.where(behind).drop("_seen")
 
 
+def time_cell(ts: Column | str, width: Column) -> Column:
+    """The number of the cell, ``width`` microseconds wide, that an instant lies in."""
+    micros = F.unix_micros(F.col(ts).cast("timestamp") if isinstance(ts, str) else ts.cast("timestamp"))
+    # Whole numbers throughout: a quotient of doubles could fall into the cell beside.
+    return F.call_function("div", micros - F.pmod(micros, width), width)
+
+
+def cell_width(within: str) -> Column:
+    """At least as many microseconds as the interval ever has.
+
+    A sixteenth is added because months differ: so many of them counted from
+    one date are never longer than that.
+    """
+    micros = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {within}"))
+    return F.greatest(micros + F.call_function("div", micros, F.lit(16)), F.lit(1)).cast("bigint")
+
+
 def join_within(
     left: DataFrame,
     right: DataFrame,
@@ -92,13 +109,22 @@ def join_within(
 ) -> DataFrame:
     """Inner join on the keys, the right time at or up to ``within`` after the left.
 
+    Time is cut into cells as wide as the interval.  A left row stands in its
+    own cell; a right row is shown to its own and to the one before, so every
+    pair meets in the left row's cell, once, and key and cell are what the join
+    is on.  A repeated key is then compared with what is near it in time, not
+    with all its rows, and a hot one takes a task for each cell.
+
     For two streams both sides need a watermark; the time range then tells
-    Spark when it may drop buffered rows.  The keys should identify a record or
-    nearly so: every matching pair comes out.
+    Spark when it may drop buffered rows.  Rows with a null key or time match
+    nothing.
     """
-    right_keys = {k: f"_right_{k}" for k in keys}
-    renamed = right.withColumnsRenamed(right_keys)
+    width = cell_width(within)
+    right_keys = {k: f"_right_{k}" for k in [*keys, "_cell"]}
+    own = time_cell(right_ts, width)
+    shown = right.where(F.col(right_ts).isNotNull()).withColumn("_cell", F.explode(F.array(own, own - 1)))
+    renamed = shown.withColumnsRenamed(right_keys)
     on = F.expr(f"{right_ts} >= {left_ts} AND {right_ts} <= {left_ts} + INTERVAL {within}")
     for key, other in right_keys.items():
         on = on & (F.col(key) == F.col(other))
-    return left.join(renamed, on).drop(*right_keys.values())
+    return left.withColumn("_cell", time_cell(left_ts, width)).join(renamed, on).drop(*right_keys.values(), "_cell")

@@ -273,6 +273,7 @@ ORACLE: dict[str, str] = {
         SELECT event_id, CAST(adjusted AS DOUBLE) AS adjusted FROM ({_adjusted_gaps(drop=False)})""",
     "join_gaps_drop": f"""
         SELECT event_id, CAST(adjusted AS DOUBLE) AS adjusted FROM ({_adjusted_gaps(drop=True)})""",
+    "model_increments": _shown(TRAILING),
     "model_double": f"""
         SELECT {KEY} AS key, floor(expected * 1000 + 0.4123) / 1000 AS expected, n FROM ({TRAILING})""",
     "weather_csv": f"SELECT epoch_us(h) // 1000000 AS timestamp, temperature FROM ({WEATHER})",
@@ -326,6 +327,10 @@ ORACLE: dict[str, str] = {
         WHERE {LINE} = (SELECT {LINE} FROM ({READINGS}) ORDER BY ts DESC, event_id DESC LIMIT 1)""",
     "ingest_metrics": f"""
         SELECT n AS records, {_count_text('n')} AS shown FROM (SELECT count(*) * 8 AS n FROM events)""",
+    "ingest_written": f"""
+        SELECT n AS records, {_count_text('n')} AS shown,
+               (s // 3600) || 'h ' || (s // 60) || 'm ' || s || 's' AS duration, n AS written
+        FROM (SELECT count(*) * 8 AS n, (max({TS_MS}) - min({TS_MS})) // 1000 AS s FROM events)""",
     "ingest_duration": f"""
         SELECT n AS records, {_count_text('n')} AS shown,
                (s // 3600) || 'h ' || (s // 60) || 'm ' || s || 's' AS duration
@@ -352,6 +357,11 @@ ORACLE: dict[str, str] = {
                 FROM ({READINGS})))
         WHERE measured < seen - to_hours(1)""",
     "join_within_hour": ALARMS,
+    "join_hot_key": f"""
+        WITH keyed AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 0 ELSE id + 1 END AS meter FROM ({READINGS}))
+        SELECT a.event_id, b.event_id AS alarm_id, a.meter FROM keyed a JOIN keyed b
+          ON a.meter = b.meter AND b.ts >= a.ts AND b.ts <= a.ts + to_minutes(20)
+        WHERE b.consumption > 100""",
     "readings_sql": f"""
         SELECT event_type, count(*) AS n, max(consumption) AS top FROM ({READINGS}) GROUP BY event_type""",
     "user_job": f"SELECT {LINE} AS value FROM ({READINGS}), range(2) WHERE consumption > 5",
@@ -361,6 +371,35 @@ ORACLE: dict[str, str] = {
     "stream_detect": _rendered(f"'[' || concat_ws(',', id, {TS_TEXT}, consumption, expected) || ']'"),
     "stream_static_join": _rendered(f"'(' || concat_ws(',', {KEY}, id, {TS_TEXT}, consumption) || ')'"),
     "stream_interpolate": DENSE_BY_ID,
+    "stream_interpolate_log": DENSE_BY_ID,
+    # A batch is judged by the newest time of all batches before it.
+    "stream_late": f"""
+        WITH arrived AS (
+          SELECT event_id, ts - to_minutes(CAST(floor(consumption) AS BIGINT)) AS ts,
+                 CAST(event_id * 4 // (SELECT max(event_id) + 1 FROM events) AS INTEGER) AS batch
+          FROM ({READINGS})
+        ), tops AS (SELECT batch, max(ts) AS top FROM arrived GROUP BY batch)
+        SELECT event_id, batch,
+               coalesce(ts < (SELECT max(top) FROM tops t WHERE t.batch < a.batch) - to_hours(1), false) AS late
+        FROM arrived a""",
+    "stream_rejects": f"""
+        SELECT concat_ws(',', id_text, ts_text, consumption) AS value,
+               CASE WHEN event_type NOT IN ('error', 'signup') THEN id END AS id,
+               CASE event_type WHEN 'error' THEN 'bad id' WHEN 'signup' THEN 'bad timestamp' END AS reason
+        FROM ({DAMAGED})""",
+    "stream_detect_rejects": f"""
+        SELECT '[' || concat_ws(',', id, {TS_TEXT}, consumption, expected) || ']' AS value, NULL AS reason
+        FROM ({_joined(_published(TRAILING))})
+        WHERE consumption > expected AND event_type NOT IN ('error', 'signup')
+        UNION ALL
+        SELECT concat_ws(',', id_text, ts_text, consumption),
+               CASE event_type WHEN 'error' THEN 'bad id' ELSE 'bad timestamp' END
+        FROM ({DAMAGED}) WHERE event_type IN ('error', 'signup')""",
+    "stream_replay": f"""
+        SELECT event_id, slot, CAST(slot AS INTEGER) AS batch FROM (
+          SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1)
+                           // (SELECT (count(*) + 3) // 4 FROM events) AS slot
+          FROM ({READINGS}))""",
     "stream_tumbling": f"""
         SELECT * FROM ({TUMBLING})
         WHERE start_ms + 86400000 <= (SELECT max({TS_MS}) - 7200000 FROM events)""",

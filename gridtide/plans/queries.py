@@ -36,6 +36,7 @@ from gridtide.operators.densify import (
     multiply,
     rejected_dense_lines,
 )
+from gridtide.operators.increments import ModelStore
 from gridtide.operators.pipelines import job, register_job
 from gridtide.operators.replay import (
     marker_records,
@@ -53,16 +54,26 @@ from gridtide.operators.windows import (
 )
 from gridtide.schemas import CONSUMPTION_CSV, TIMESTAMP_FORMAT, WEATHER_CSV
 from gridtide.session import pinned_session, scratch_folder
-from gridtide.sinks import file_target, publish_model, save_model
+from gridtide.sinks import (
+    file_target,
+    noted_batches,
+    publish_model,
+    save_model,
+    write_split,
+    write_with_totals,
+)
 from gridtide.sources import tables
 from gridtide.sources.datasets import catalog, preview
 from gridtide.sources.files import read_csv, read_lines, stream_csv, stream_lines
 from gridtide.sources.models import load_model, parse_model, rejected_model_lines
 from gridtide.streaming import (
     detect_each_batch,
+    divert_late,
     interpolate_each_batch,
+    replay,
     run_measured,
     run_to_end,
+    store_slots,
 )
 from gridtide.streaming.detect import model_for
 
@@ -75,6 +86,11 @@ STEPS = 4
 RECORDS_PER_SECOND = 1_000
 SEGMENT_ROWS = 300
 FEED_BATCHES = 4
+LOG_BATCHES = 20
+LATE_SECONDS = 3600
+HOT_LIMIT = 100
+DAILY_ADDITIONS = 2
+INTERVALS = 4
 FILES_PER_BATCH = 2
 
 
@@ -138,14 +154,18 @@ def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.non_empty(read_lines(spark, path)).select("value")
 
 
+def _damaged_columns(ts_text: Column) -> list[Column]:
+    """The fields of a line, one of them spoilt where the event is of certain types."""
+    kind = F.col("event_type")
+    id_ = F.when(kind == "error", "meter").otherwise(F.col("id").cast("string"))
+    ts = F.when(kind == "signup", "2024-02-30 25:61:00").otherwise(ts_text)
+    return [id_, ts, F.col("consumption")]
+
+
 def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reading lines, with one field spoilt where the event is of certain types."""
     readings = tables.events(spark, sf_dir)
-    kind = F.col("event_type")
-    id_ = F.when(kind == "error", "meter").otherwise(F.col("id").cast("string"))
-    ts = F.when(kind == "signup", "2024-02-30 25:61:00").otherwise(_ts_text(F.col("ts")))
-    text = F.concat_ws(",", id_, ts, "consumption")
-    return readings.select(text.alias("value"))
+    return readings.select(F.concat_ws(",", *_damaged_columns(_ts_text(F.col("ts")))).alias("value"))
 
 
 @_registered
@@ -459,6 +479,19 @@ def detect_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "consumption", _to_3(F.col("expected")).alias("expected"))
 
 
+@_registered
+def model_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1, A2: a model of all days but the last two, to which these two are added one by one."""
+    readings = tables.exact(tables.events(spark, sf_dir)).withColumn("day", F.to_date("ts"))
+    store = ModelStore(scratch_folder(spark, "model-store"))
+    last = readings.agg(F.max("day")).first()[0]
+    age = F.greatest(F.date_diff(F.lit(last).cast("date"), F.col("day")), F.lit(0))
+    for left in range(DAILY_ADDITIONS, -1, -1):
+        part = age >= left if left == DAILY_ADDITIONS else age == left
+        store.add(readings.where(part).drop("day"), _weather(spark, sf_dir), f"age-{left}")
+    return _shown(store.model(spark))
+
+
 def _rendered(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
     return D.detect_lines(_lines(spark, sf_dir), _published(spark, sf_dir), form)
 
@@ -602,6 +635,15 @@ def ingest_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_totals(multiply(tables.events(spark, sf_dir), COPIES))
 
 
+@_registered
+def ingest_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4, O2: totals of a densified run, taken by the job that writes it."""
+    out = file_target(scratch_folder(spark, "dense"))
+    totals = write_with_totals(multiply(tables.events(spark, sf_dir), COPIES), out, F.col("ts"), F.col("ts"))
+    written = spark.read.parquet(out.path).count()
+    return totals.select("records", "shown", "duration", F.lit(written).alias("written"))
+
+
 @_registered
 def ingest_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4, O2: totals with the time between the first and the last record."""
@@ -689,6 +731,18 @@ def _alarms(readings: DataFrame) -> DataFrame:
     )
 
 
+@_registered
+def join_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key in a third of the rows, compared with its neighbours in time only."""
+    key = F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("id") + 1)
+    readings = tables.events(spark, sf_dir).withColumn("meter", key)
+    alarms = D.above_limit(readings, HOT_LIMIT).select(
+        "meter", F.col("event_id").alias("alarm_id"), F.col("ts").alias("alarm_ts")
+    )
+    joined = join_within(readings, alarms, ["meter"], "ts", "alarm_ts", "20 MINUTES")
+    return joined.select("event_id", "alarm_id", "meter")
+
+
 @_registered
 def readings_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The readings as a view, queried in SQL."""
@@ -709,18 +763,25 @@ def user_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- streams -------------------------------------------------------------------
 
 
-def _feed(spark: SparkSession, sf_dir: str, form: str, *columns: str) -> str:
+def _feed(
+    spark: SparkSession, sf_dir: str, form: str, *columns: str | Column, batches: int = FEED_BATCHES, by_id: bool = False
+) -> str:
     """A folder in which the events arrive as files, in order of their time, a batch after the other.
 
     ``text`` holds lines of the given columns, ``parquet`` the events as they are.
+    Events without a time arrive in the first batch.  ``by_id`` has them arrive
+    in equal spans of their ids instead.
     """
     folder = scratch_folder(spark, "feed")
     events = tables.table(spark, sf_dir, "events")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    shares = [k / FEED_BATCHES for k in range(1, FEED_BATCHES)]
-    cuts = events.agg(F.percentile_approx(micros, shares)).first()[0]
-    batch = sum(((micros > c).cast("int") for c in cuts), F.lit(0))
-    for k in range(FEED_BATCHES):
+    if by_id:
+        batch = _arrival(events, batches)
+    else:
+        micros = F.unix_micros(F.col("ts").cast("timestamp"))
+        shares = [k / batches for k in range(1, batches)]
+        cuts = events.agg(F.percentile_approx(micros, shares)).first()[0] or []
+        batch = sum((F.coalesce((micros > c).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
+    for k in range(batches):
         part = events.where(batch == k).repartition(FILES_PER_BATCH)
         if form == "parquet":
             part.write.mode("append").parquet(folder)
@@ -730,6 +791,12 @@ def _feed(spark: SparkSession, sf_dir: str, form: str, *columns: str) -> str:
     return folder
 
 
+def _arrival(events: DataFrame, batches: int) -> Column:
+    """The batch in which an event arrives if events arrive in equal spans of their ids."""
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    return F.coalesce(F.call_function("div", F.col("event_id") * batches, F.lit(last + 1)), F.lit(0))
+
+
 def _line_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = _feed(spark, sf_dir, "text", "id", "ts", "consumption")
     return stream_lines(spark, feed, FILES_PER_BATCH)
@@ -796,6 +863,81 @@ def stream_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense_shown(spark.read.parquet(f"{out}/rows"))
 
 
+@_registered
+def stream_interpolate_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2h: the same over so many batches that the log of last records merges its runs again and again."""
+    out = scratch_folder(spark, "stream")
+    readings = _event_stream(spark, _feed(spark, sf_dir, "parquet", batches=LOG_BATCHES))
+    writer = interpolate_each_batch(
+        readings.schema, STEPS, INTERPS, ["id"], ORDER, file_target(f"{out}/rows"), f"{out}/state"
+    )
+    run_to_end(readings, writer, f"{out}/progress")
+    return _dense_shown(spark.read.parquet(f"{out}/rows"))
+
+
+@_registered
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows behind the watermark go to a target of their own, with their batch; none is lost."""
+    out = scratch_folder(spark, "stream")
+    minutes = F.make_dt_interval(mins=F.floor("consumption").cast("int"))
+    readings = _event_stream(spark, _feed(spark, sf_dir, "parquet", by_id=True))
+    measured = readings.withColumn("ts", F.col("ts") - minutes)
+    on_time, late = file_target(f"{out}/on_time"), file_target(f"{out}/late")
+    run_to_end(measured, divert_late(on_time, late, LATE_SECONDS, f"{out}/state"), f"{out}/progress")
+    schema = T.StructType([*measured.schema.fields, T.StructField("batch", T.IntegerType())])
+    read = lambda target: spark.read.schema(schema).parquet(target.path)
+    both = read(on_time).withColumn("late", F.lit(False)).unionByName(read(late).withColumn("late", F.lit(True)))
+    return both.select("event_id", "batch", "late")
+
+
+@_registered
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good lines and rejects of a stream, each with its own target, under one batch number."""
+    out = scratch_folder(spark, "stream")
+    good, bad = file_target(f"{out}/good"), file_target(f"{out}/bad")
+
+    def split(lines: DataFrame, batch_id: int) -> None:
+        tagged = P.tag_readings(lines)
+        fine = tagged.where(F.col("reason").isNull()).select("value", "id")
+        rest = tagged.where(F.col("reason").isNotNull()).select("value", "reason")
+        write_split({"good": (fine, good), "bad": (rest, bad)}, batch_id, f"{out}/notes")
+
+    feed = _feed(spark, sf_dir, "text", *_damaged_columns(F.col("ts")))
+    run_to_end(stream_lines(spark, feed, FILES_PER_BATCH), split, f"{out}/progress")
+    fine = spark.read.schema("value string, id bigint, batch int").parquet(good.path)
+    rest = spark.read.schema("value string, reason string, batch int").parquet(bad.path)
+    both = fine.withColumn("reason", F.lit(None).cast("string")).unionByName(rest, allowMissingColumns=True)
+    # Only batches that were finished count.
+    done = noted_batches(spark, f"{out}/notes").select("batch").distinct()
+    return both.join(F.broadcast(done), "batch", "left_semi").select("value", "id", "reason")
+
+
+@_registered
+def stream_detect_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A detection stream that reports the lines it cannot read."""
+    out = scratch_folder(spark, "stream")
+    model = spark.read.parquet(save_model(_published(spark, sf_dir), f"{out}/model"))
+    found, bad = file_target(f"{out}/rows"), file_target(f"{out}/rejects")
+    feed = _feed(spark, sf_dir, "text", *_damaged_columns(F.col("ts")))
+    writer = detect_each_batch(model, found, rejects=bad)
+    run_to_end(stream_lines(spark, feed, FILES_PER_BATCH), writer, f"{out}/progress")
+    anomalies = spark.read.schema("key string, value string").parquet(found.path)
+    rejects = spark.read.schema("value string, reason string").parquet(bad.path).select("value", "reason")
+    return anomalies.select("value", F.lit(None).cast("string").alias("reason")).unionByName(rejects)
+
+
+@_registered
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset replayed at a steady rate, one batch each second."""
+    out = scratch_folder(spark, "stream")
+    readings = tables.events(spark, sf_dir)
+    rate = max(1, -(-readings.count() // INTERVALS))
+    store_slots(readings, rate, ORDER, f"{out}/slots", stored=True)
+    replay(spark, f"{out}/slots", file_target(f"{out}/rows"), f"{out}/progress")
+    sent = spark.read.schema("event_id bigint, slot bigint, batch int").parquet(f"{out}/rows")
+    return sent.select("event_id", "slot", "batch")
+
+
 @_registered
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily totals of a stream; a day comes out once the watermark passes its end."""

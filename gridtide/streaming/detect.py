@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 
 from gridtide.operators.detect import detect, detect_lines, render_anomalies
 from gridtide.operators.model import with_hour_key
-from gridtide.operators.parse import parse_readings
+from gridtide.operators.parse import parse_readings, tag_readings
+from gridtide.sinks.split import write_split
 from gridtide.sinks.targets import Target, write_batch
 
-# A batch that spans more days than this is matched without naming its dates.
-MAX_DATES = 400
-
 
 def detect_stream(lines: DataFrame, model: DataFrame, form: str = "bracket") -> DataFrame:
     """Streaming lines joined to a static model: the batch operator as it is.
@@ -26,31 +24,48 @@ def detect_stream(lines: DataFrame, model: DataFrame, form: str = "bracket") ->
     return detect_lines(lines, model, form)
 
 
-def model_for(readings: DataFrame, model: DataFrame, max_dates: int = MAX_DATES) -> DataFrame:
+def model_for(readings: DataFrame, model: DataFrame) -> DataFrame:
     """The part of the model that the readings' dates can match.
 
-    On a model stored by date this prunes all other folders.  What reaches the
-    driver is at most ``max_dates`` dates.
+    On a model stored by date Spark prunes all other folders while the job
+    runs: the readings' distinct dates are broadcast, and the scan of the model
+    waits for them.  There is one for each day at most, so their size is bounded
+    by the calendar.  The driver collects nothing.
     """
-    found = readings.select("date").distinct().limit(max_dates + 1).collect()
-    dates = [row["date"] for row in found if row["date"] is not None]
-    return model.where(F.col("date").isin(dates)) if len(found) <= max_dates else model
+    # Spark prunes by a side only if something filters it; this filter keeps every date there is.
+    earliest = F.lit("-200000-01-01").cast("date")
+    dates = readings.where(F.col("date") >= earliest).select("date").distinct()
+    return model.join(F.broadcast(dates), "date", "left_semi")
 
 
 def detect_each_batch(
-    model: DataFrame, target: Target, form: str = "bracket", mode: str = "permissive"
+    model: DataFrame,
+    target: Target,
+    form: str = "bracket",
+    mode: str = "permissive",
+    rejects: Target | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """A batch writer that matches each micro-batch with its own dates of the model."""
+    """A batch writer that matches each micro-batch with its own dates of the model.
+
+    With ``rejects`` the lines that are no readings go there, with the reason,
+    under the same batch (see ``sinks.split``); otherwise they are dropped.
+    """
+    if rejects is not None and mode == "strict":
+        raise ValueError("strict parsing has no rejects")
 
     def process(lines: DataFrame, batch_id: int) -> None:
-        # Read twice: once for its dates, once for the join.
-        readings = with_hour_key(parse_readings(lines, mode=mode)).persist(
-            StorageLevel.MEMORY_AND_DISK
-        )
+        # Read twice: once for its dates, once for the join; with rejects a third time.
+        parsed = parse_readings(lines, mode=mode) if rejects is None else tag_readings(lines)
+        parsed = with_hour_key(parsed).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            found = detect(readings, model_for(readings, model))
-            write_batch(render_anomalies(found, form), target, batch_id)
+            readings = parsed if rejects is None else parsed.where(F.col("reason").isNull())
+            found = render_anomalies(detect(readings, model_for(readings, model)), form)
+            if rejects is None:
+                write_batch(found, target, batch_id)
+            else:
+                bad = parsed.where(F.col("reason").isNotNull()).select("value", "reason")
+                write_split({"anomalies": (found, target), "rejects": (bad, rejects)}, batch_id)
         finally:
-            readings.unpersist()
+            parsed.unpersist()
 
     return process

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridtide.functions.literals import few_rows
+
 #: Runs of one size that are merged into one.
 FAN = 4
 #: Rows from which on sizes are told apart.
@@ -146,5 +148,4 @@ class LastRecords:
     def note(self, spark: SparkSession, runs: Sequence[Run], batch_id: int) -> None:
         """From now on these runs hold."""
         rows = [(r.slot, r.newest, r.rows, batch_id) for r in runs] or [(None, None, None, batch_id)]
-        noted = spark.createDataFrame(rows, f"{NOTE}, batch long")
-        noted.coalesce(1).write.mode("overwrite").parquet(self._note(batch_id))
+        few_rows(spark, rows, f"{NOTE}, batch long").write.mode("overwrite").parquet(self._note(batch_id))

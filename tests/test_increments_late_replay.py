@@ -1,0 +1,283 @@
+"""Model increments, the channel for late rows, split batches, timed replay, time cells, totals while writing."""
+
+import datetime
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gridtide.functions.literals import few_rows
+from gridtide.operators import model as M
+from gridtide.operators import windows as W
+from gridtide.operators.increments import ModelStore
+from gridtide.operators.parse import tag_readings
+from gridtide.sinks import file_target, noted_batches, save_model, write_split, write_with_totals
+from gridtide.streaming import detect_each_batch, divert_late, replay, store_slots
+from gridtide.streaming.detect import model_for
+from gridtide.streaming.late import Watermark
+from gridtide.streaming.replay import clock
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+# ---- increments ---------------------------------------------------------------
+
+
+def readings_of(spark, days, seed=1, kind="decimal(10,2)"):
+    rng = random.Random(seed)
+    rows = []
+    for day in days:
+        for _ in range(60):
+            at = datetime.datetime(2024, 1, day, rng.randrange(24), rng.randrange(60), tzinfo=datetime.UTC)
+            rows.append((rng.randrange(4), int(at.timestamp()), round(rng.uniform(0, 50), 2)))
+    df = spark.createDataFrame(rows, "id long, s long, c double")
+    return df.select("id", F.timestamp_seconds("s").alias("ts"), F.col("c").cast(kind).alias("consumption"))
+
+
+@pytest.fixture(scope="module")
+def weather(spark):
+    hours = [(datetime.date(2024, 1, d), h, float((d * 7 + h * 3) % 90)) for d in range(1, 32) for h in range(24) if (d + h) % 5]
+    return spark.createDataFrame(hours, "date date, hour int, temperature double")
+
+
+def folders(path):
+    return {p.name: max(f.stat().st_mtime_ns for f in p.glob("*.parquet")) for p in path.glob("date=*")}
+
+
+@pytest.mark.parametrize("mode", M.MODES)
+def test_increments_equal_the_full_rebuild(spark, weather, tmp_path, mode):
+    store = ModelStore(str(tmp_path), mode=mode)
+    parts = [readings_of(spark, range(1, 9)), readings_of(spark, [9], 2), readings_of(spark, [10], 3), readings_of(spark, [4, 10], 4)]
+    done = None
+    for k, part in enumerate(parts):
+        store.add(part, weather, f"add-{k}")
+        done = part if done is None else done.unionByName(part)
+        assert rows_of(store.model(spark)) == rows_of(M.build_expected_model(done, weather, mode=mode))
+
+
+def test_only_touched_dates_are_written(spark, weather, tmp_path):
+    store = ModelStore(str(tmp_path))
+    store.add(readings_of(spark, range(1, 9)), weather, "history")
+    before = folders(tmp_path / "model")
+    store.add(readings_of(spark, [9], 2), weather, "day 9")
+    after = folders(tmp_path / "model")
+    assert {d for d in after if after[d] != before.get(d)} == {"date=2024-01-10", "date=2024-01-11", "date=2024-01-12"}
+    assert before.keys() <= after.keys()
+
+
+def test_an_addition_can_be_repeated(spark, weather, tmp_path):
+    store = ModelStore(str(tmp_path))
+    history, day = readings_of(spark, range(1, 6)), readings_of(spark, [6], 2)
+    store.add(history, weather, "history")
+    for _ in range(2):
+        store.add(day, weather, "day")
+    assert rows_of(store.model(spark)) == rows_of(M.build_expected_model(history.unionByName(day), weather))
+
+
+def test_increments_of_nothing(spark, weather, tmp_path):
+    store = ModelStore(str(tmp_path))
+    store.add(readings_of(spark, [3]), weather, "a")
+    before = rows_of(store.model(spark))
+    store.add(readings_of(spark, [3]).limit(0), weather, "b")
+    assert rows_of(store.model(spark)) == before
+    with pytest.raises(ValueError):
+        ModelStore(str(tmp_path), mode="none")
+    with pytest.raises(ValueError):
+        ModelStore(str(tmp_path), lags=[])
+
+
+# ---- late rows ----------------------------------------------------------------
+
+TIMED = T.StructType([T.StructField("k", T.LongType()), T.StructField("ts", T.TimestampType())])
+
+
+def timed(spark, rows):
+    df = spark.createDataFrame(rows, "k long, s long")
+    return df.select("k", F.timestamp_seconds("s").alias("ts"))
+
+
+def test_late_rows_of_a_stream_are_kept_apart(spark, tmp_path):
+    rng = random.Random(4)
+    batches = [[(b * 100 + i, rng.randrange(b * 500, b * 500 + 3000)) for i in range(40)] for b in range(6)]
+    batches[2].append((999, None))
+    on_time, late, notes = file_target(str(tmp_path / "on")), file_target(str(tmp_path / "late")), str(tmp_path / "notes")
+    writer = divert_late(on_time, late, 600, str(tmp_path / "state"), notes=notes)
+    wanted_late, newest = set(), None
+    for b, rows in enumerate(batches):
+        for _ in range(2 if b in (2, 5) else 1):  # run again: judged as before
+            writer(timed(spark, rows), b)
+        if newest is not None:
+            wanted_late |= {(b, k) for k, s in rows if s is not None and s < newest - 600}
+        newest = max([s for _, s in rows if s is not None] + ([newest] if newest is not None else []))
+    assert wanted_late
+    read = lambda t: {(r["batch"], r["k"]) for r in spark.read.parquet(t.path).collect()}
+    assert read(late) == wanted_late
+    assert read(on_time) == {(b, k) for b, rows in enumerate(batches) for k, _ in rows} - wanted_late
+    counted = noted_batches(spark, notes).groupBy("part").agg(F.sum("rows")).collect()
+    assert {r[0]: r[1] for r in counted} == {"late": len(wanted_late), "on_time": 241 - len(wanted_late)}
+
+
+def test_late_rows_before_a_writer(spark, tmp_path):
+    seen = []
+    writer = divert_late(lambda df, b: seen.append((b, df.count())), file_target(str(tmp_path / "late")), 0, str(tmp_path / "state"))
+    writer(timed(spark, []), 0)
+    writer(timed(spark, [(1, 100)]), 1)
+    writer(timed(spark, [(2, 99), (3, 100), (4, 101)]), 2)
+    assert seen == [(0, 0), (1, 1), (2, 2)]
+    assert Watermark(str(tmp_path / "state"), 0).newest(spark, 2) == 101_000_000
+    with pytest.raises(RuntimeError):
+        Watermark(str(tmp_path / "state"), 0).newest(spark, 4)
+
+
+# ---- split batches ------------------------------------------------------------
+
+
+def test_split_batches_are_complements_and_can_be_repeated(spark, tmp_path):
+    good, bad, notes = file_target(str(tmp_path / "good")), file_target(str(tmp_path / "bad")), str(tmp_path / "notes")
+    batches = [["1,2024-01-01 00:00:00,1.5", "x", ""], ["y"], ["2,2024-01-01 00:00:00,2.5"], ["1,2024-02-30 00:00:00,1", "3,2024-01-02 00:00:00,z"]]
+
+    def write(b):
+        tagged = tag_readings(spark.createDataFrame([(x,) for x in batches[b]], "value string"))
+        fine = tagged.where("reason IS NULL").select("value", "id")
+        return write_split({"good": (fine, good), "bad": (tagged.where("reason IS NOT NULL").select("value", "reason"), bad)}, b, notes)
+
+    assert [write(b) for b in range(4)] == [{"good": 1, "bad": 2}, {"good": 0, "bad": 1}, {"good": 1, "bad": 0}, {"good": 0, "bad": 2}]
+    read = lambda: (
+        rows_of(spark.read.schema("value string, id long, batch int").parquet(good.path)),
+        rows_of(spark.read.schema("value string, reason string, batch int").parquet(bad.path)),
+        rows_of(noted_batches(spark, notes)),
+    )
+    before = read()
+    assert sorted([r[0] for r in before[0]] + [r[0] for r in before[1]]) == sorted(sum(batches, []))
+    write(2)
+    assert read() == before
+
+
+def test_detection_reports_the_lines_it_cannot_read(spark, tmp_path):
+    model = few_rows(spark, [(1, datetime.date(2024, 1, 1), 0, 1.0, 1)], "id long, date date, hour int, expected double, n long")
+    stored = spark.read.parquet(save_model(model, str(tmp_path / "model")))
+    found, bad = file_target(str(tmp_path / "found")), file_target(str(tmp_path / "bad"))
+    writer = detect_each_batch(stored, found, rejects=bad)
+    lines = ["1,2024-01-01 00:10:00,1.5", "1,2024-01-01 00:20:00,0.5", "meter,2024-01-01 00:00:00,9", "short"]
+    writer(spark.createDataFrame([(x,) for x in lines], "value string"), 0)
+    assert [r["value"] for r in spark.read.parquet(found.path).collect()] == ["[1,2024-01-01 00:10:00,1.5,1.0]"]
+    assert rows_of(spark.read.parquet(bad.path).select("value", "reason")) == [("meter,2024-01-01 00:00:00,9", "bad id"), ("short", "bad id")]
+    with pytest.raises(ValueError):
+        detect_each_batch(stored, found, mode="strict", rejects=bad)
+
+
+def test_model_is_pruned_by_the_batch_without_a_collect(spark, tmp_path):
+    days = [(i % 3, datetime.date(2024, 1, 1 + i % 20), 5, float(i), 1) for i in range(60)]
+    model = spark.createDataFrame(days, "id long, date date, hour int, expected double, n long")
+    stored = spark.read.parquet(save_model(model, str(tmp_path / "model")))
+    batch = spark.createDataFrame([(1, datetime.date(2024, 1, 3)), (2, datetime.date(2024, 1, 4)), (2, None)], "id long, date date").persist()
+    part = model_for(batch, stored)
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    assert rows_of(part.select("date").distinct()) == [(datetime.date(2024, 1, 3),), (datetime.date(2024, 1, 4),)]
+    with open(os.path.join(os.path.dirname(M.__file__), "..", "streaming", "detect.py"), encoding="utf-8") as source:
+        assert ".collect(" not in source.read()
+    batch.unpersist()
+
+
+# ---- replay -------------------------------------------------------------------
+
+
+def test_replay_keeps_rate_and_order(spark, tmp_path):
+    df = spark.range(95).select((F.lit(94) - F.col("id")).alias("n"))
+    folder = store_slots(df, 20, ["n"], str(tmp_path / "slots"))
+    times = {}
+
+    def sent(rows, batch_id):
+        times[batch_id] = datetime.datetime.now()
+        rows.select("n", "slot").write.mode("overwrite").parquet(str(tmp_path / "out" / f"batch={batch_id}"))
+
+    replay(spark, folder, sent, str(tmp_path / "progress"), every_seconds=1)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((r["batch"], r["n"]) for r in out.collect()) == [(n // 20, n) for n in range(95)]
+    assert len(times) >= 5
+    begun = [times[b] for b in range(5)]
+    gaps = [(b - a).total_seconds() for a, b in zip(begun, begun[1:], strict=False)]
+    assert sum(gaps[1:]) > 0.6 * len(gaps[1:])  # an interval is kept, give or take a late start
+
+
+def test_replay_of_several_slots_at_a_time(spark, tmp_path):
+    folder = store_slots(spark.range(70).toDF("n"), 10, ["n"], str(tmp_path / "slots"))
+    target = file_target(str(tmp_path / "out"))
+    replay(spark, folder, target, str(tmp_path / "progress"), every_seconds=2)
+    out = spark.read.parquet(target.path)
+    assert sorted((r["batch"], r["n"]) for r in out.collect()) == [(n // 20, n) for n in range(70)]
+
+
+def test_replay_of_nothing(spark, tmp_path):
+    folder = store_slots(spark.range(0).toDF("n"), 10, ["n"], str(tmp_path / "slots"))
+    spark.createDataFrame([], "n long, slot long").write.mode("overwrite").parquet(folder)
+    replay(spark, folder, file_target(str(tmp_path / "out")), str(tmp_path / "progress"))
+    with pytest.raises(ValueError):
+        clock(spark, 0)
+
+
+# ---- time cells ---------------------------------------------------------------
+
+
+@pytest.mark.parametrize("within, seconds", [("60 SECONDS", 60), ("0 SECONDS", 0), ("1 HOUR", 3600)])
+def test_join_within_equals_all_pairs(spark, within, seconds):
+    rng = random.Random(seconds)
+    left = [(rng.choice([1, 1, 2, None]), rng.randrange(-4000, 4000)) for _ in range(150)] + [(1, None)]
+    right = [(rng.choice([1, 1, 2, None]), rng.randrange(-4000, 4000)) for _ in range(150)] + [(1, None)]
+    frame = lambda rows, name: spark.createDataFrame(rows, "k long, s long").select("k", F.timestamp_seconds("s").alias(name))
+    got = W.join_within(frame(left, "a"), frame(right, "b"), ["k"], "a", "b", within)
+    assert got.columns == ["k", "a", "b"]
+    found = sorted((r[0], r[1], r[2]) for r in got.select("k", F.unix_seconds("a"), F.unix_seconds("b")).collect())
+    wanted = [(k, a, b) for k, a in left for j, b in right if k is not None and k == j and None not in (a, b) and a <= b <= a + seconds]
+    assert found == sorted(wanted)
+
+
+def test_cells_hold_months_of_any_length(spark):
+    days = spark.sql("SELECT explode(sequence(DATE'1999-01-01', DATE'2005-01-01')) AS d").select(F.col("d").cast("timestamp").alias("a"))
+    for months in (1, 2, 3, 6, 12):
+        ends = days.withColumn("b", F.expr(f"a + INTERVAL {months} MONTHS"))
+        width = W.cell_width(f"{months} MONTHS")
+        apart = ends.select((W.time_cell("b", width) - W.time_cell("a", width)).alias("n"))
+        assert apart.where("n NOT IN (0, 1)").count() == 0
+
+
+def test_a_hot_key_is_compared_with_its_neighbours_only(spark):
+    """Pairs that share key and cell grow with the pairs that match, not with the square of the key's rows."""
+    n = 20_000
+    df = spark.range(n).select(F.lit(7).alias("k"), F.timestamp_seconds(F.col("id") * 30).alias("a"))
+    right = df.withColumnRenamed("a", "b")
+    width = W.cell_width("5 MINUTES")
+    per_cell = df.groupBy(W.time_cell("a", width).alias("c")).count()
+    shown = right.select(F.explode(F.array(W.time_cell("b", width), W.time_cell("b", width) - 1)).alias("c")).groupBy("c").count()
+    compared = per_cell.alias("x").join(shown.alias("y"), "c").agg(F.sum(F.col("x.count") * F.col("y.count"))).first()[0]
+    matched = W.join_within(df, right, ["k"], "a", "b", "5 MINUTES").count()
+    assert matched == sum(min(11, n - i) for i in range(n))
+    assert compared < 3 * matched
+    plan = W.join_within(df, right, ["k"], "a", "b", "5 MINUTES")._jdf.queryExecution().executedPlan().toString()
+    assert "_cell" in plan.split("Join")[1].split("\n")[0]
+
+
+# ---- totals while writing -------------------------------------------------------
+
+
+def test_totals_come_from_the_job_that_writes(spark, tmp_path):
+    df = spark.range(0, 5000, 1, 4).select("id", F.timestamp_seconds(F.col("id") * 2).alias("ts"))
+    sc = spark.sparkContext
+    sc.setJobGroup("totals", "one job")
+    try:
+        totals = write_with_totals(df, file_target(str(tmp_path / "out")), F.col("ts"), F.col("ts"))
+    finally:
+        jobs = sc.statusTracker().getJobIdsForGroup("totals")
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) == 1
+    row = totals.first()
+    assert (row["records"], row["shown"]) == (5000, "5k")
+    assert (row["finished"] - row["started"]).total_seconds() == 2 * 4999
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5000
+    plain = write_with_totals(df.limit(0), file_target(str(tmp_path / "none")))
+    assert [tuple(r) for r in plain.collect()] == [(0, "0")]
