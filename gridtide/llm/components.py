@@ -32,10 +32,10 @@ def components(edges: DataFrame) -> DataFrame:
     ordered = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = stored(ordered, "edges")
     before = _state(e)
-    while True:
+    while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -44,3 +44,10 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             return e
         before = after
+    return e
+
+
+def relabelled(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """``df`` with ``column`` replaced by the label that ``labels`` (u, v) has for it, if any."""
+    found = df.join(labels.select(F.col("u").alias("_u"), F.col("v").alias("_v")), F.col(column) == F.col("_u"), "left")
+    return found.withColumn(column, F.coalesce("_v", column)).drop("_u", "_v")

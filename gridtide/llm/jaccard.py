@@ -26,19 +26,24 @@ compared with one of them only, then those still in different components with a
 few others whose sketches are nearest, and at last every two members in different components that agree in
 some segment, where that may be more.  So a group of many copies costs a few comparisons each, not all
 pairs, and yet every pair that could join two components is tested.
+
+Before the second round groups are gathered: equal ones are one, and those of
+which one component holds the most become one for that component.  A large
+group of near copies shares many segments and would else meet in each of them.
 """
 
 from __future__ import annotations
 
 import functools
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtide.llm.components import components, stored
+from gridtide.llm.components import components, relabelled, stored
 from gridtide.llm.words import SPACED, Words, give_back, mix, shingles, text_chunks
 
 SHINGLE = 5
@@ -51,7 +56,7 @@ SMALL = 256
 #: Members of one segment in one part of the input from which they are spread over tasks.
 HOT = 64
 #: Segments put out at once; a part of the input with more gives several rows a bucket.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Others of a meeting, the nearest by their sketches, that a member is compared with in the second round.
 NEAREST = 3
 #: Members of a meeting that are compared in one group; more are cut into pieces, compared two by two.
@@ -187,6 +192,14 @@ def _unplaned(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def _forget_others() -> None:
+    """Drop what operators that ran before in this worker remember: a pipeline's workers are used again."""
+    for module, name in (("bpe", "vocabulary"), ("packing", "encoder")):
+        if f"gridtide.llm.{module}" in sys.modules:
+            getattr(sys.modules[f"gridtide.llm.{module}"], name).cache_clear()
+    give_back()
+
+
 def _bucketed(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
     """(bucket, hot, gaps, places, ids): signatures dealt to buckets, those of one part of the input sorted and packed.
 
@@ -198,6 +211,8 @@ def _bucketed(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
     def packed(sets: list, sigs: list, ids: list) -> Iterator[pa.RecordBatch]:
         id_of = np.concatenate(ids)
         member, sig = np.concatenate(sets), np.concatenate(sigs)
+        sets.clear()
+        sigs.clear()
         if not len(sig):
             return
         bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -235,7 +250,7 @@ def _bucketed(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
         sigs: list = []
         ids: list = []
         held = total = 0
-        give_back()  # of what other stages left in this worker
+        _forget_others()
         for batch in batches:
             for a, b in text_chunks(batch["text"]):
                 first, value = _sets(batch["text"].slice(a, b - a))
@@ -253,6 +268,7 @@ def _bucketed(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
                 total += len(own)
                 held += int(keep.sum())
                 if held >= FLUSH:
+                    del first, value, k1, k2, order, same, single, member, sig, keep
                     yield from packed(sets, sigs, ids)
                     sets, sigs, ids, held, total = [], [], [], 0, 0
                     give_back()
@@ -430,6 +446,30 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.join(sizes.filter("low < high").drop("low", "high"), ["hot", "meeting"])
 
 
+def _gathered(placed: DataFrame) -> DataFrame:
+    """Meetings with several components, gathered: (hot, meeting, id, component), every pair of members still together.
+
+    Of meetings with the same members one stays.  Meetings of which one
+    component holds at least half of the members become one for each such
+    component: its members and all the others.  That is a hot meeting, with the
+    component's hash in the place of a signature.
+    """
+    mixed = stored(_mixed(placed), "mixed")
+    # Members are compared by their number and two sums of hashes.
+    seed = F.xxhash64("id", F.lit(1))
+    sums = mixed.groupBy("hot", "meeting").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(seed).alias("y"))
+    one = sums.groupBy("n", "x", "y").agg(F.min(F.struct("hot", "meeting")).alias("_one")).select("_one.*")
+    parts = mixed.groupBy("hot", "meeting", "component").agg(F.count("*").alias("part"), F.first("members").alias("members"))
+    largest = parts.filter(2 * F.col("part") >= F.col("members")).groupBy("hot", "meeting").agg(F.min("component").alias("largest"))
+    kept = one.join(largest, ["hot", "meeting"], "left")
+    rows = mixed.select("hot", "meeting", "id", "component").join(kept, ["hot", "meeting"])
+    alone = F.col("largest").isNull()
+    moved = rows.select(
+        (F.col("hot") | ~alone).alias("hot"), F.when(alone, F.col("meeting")).otherwise(F.xxhash64("largest")).alias("meeting"), "id", "component", alone.alias("alone")
+    )
+    return moved.filter("alone").drop("alone").unionByName(moved.filter("NOT alone").drop("alone").distinct())
+
+
 def near_duplicates(df: DataFrame, document: str = "doc_id", column: str = "text", percent: int = SIMILARITY) -> DataFrame:
     """(document, n_shingles, component_id) of every row of ``df``.
 
@@ -461,31 +501,39 @@ def near_duplicates(df: DataFrame, document: str = "doc_id", column: str = "text
     stars = stars.join(reps, F.col("lead") == F.col("own")).select("x", F.col("rep").alias("y"))
     pairs = stars.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = stored(_verified(stored(_plausible(pairs, heads, percent), "pairs"), docs, percent), "links")
-    joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    # The sets of an id with several texts belong together.
+    several = reps.groupBy("own").agg(F.min("rep").alias("b"), F.max("rep").alias("high")).filter("b < high")
+    several = several.join(reps, "own").select(F.col("rep").alias("u"), F.col("b").alias("v"))
+    joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(several))
     # Meetings whose least documents are in one component by now become one, so that no two documents
     # meet over and over.
-    places = reps.join(joined.select(F.col("u").alias("rep"), "v"), "rep", "left")
-    places = stored(places.select("own", "rep", F.coalesce("v", "rep").alias("component")), "places")
+    places = stored(relabelled(reps.withColumn("component", F.col("rep")), "component", joined), "places")
     met = places.select(F.col("own").alias("meeting"), F.col("component").alias("there"))
     cold = shared.filter("not hot").select("meeting", "id").join(met, "meeting").select(F.lit(False).alias("hot"), F.col("there").alias("meeting"), "id").distinct()
     placed = cold.unionByName(shared.filter("hot").select("hot", "meeting", "id"))
     placed = placed.join(places, F.col("id") == F.col("own")).select("hot", "meeting", F.col("rep").alias("id"), "component").distinct()
-    placed = _mixed(stored(placed, "placed"))
+    placed = stored(_gathered(stored(placed, "placed")), "placed")
 
     def with_sketch(rows: DataFrame) -> DataFrame:
         return rows.join(heads, "id").select("hot", "meeting", "members", "id", "component", "n", "sketch")
 
+    def joined_by(links: DataFrame) -> DataFrame:
+        """Labels of the components that some links join; those of the round before are the nodes."""
+        of = places.select(F.col("rep").alias("id"), "component").distinct()
+        sides = links.join(of.select(F.col("id").alias("a"), F.col("component").alias("u")), "a")
+        sides = sides.join(of.select(F.col("id").alias("b"), F.col("component").alias("v")), "b")
+        return components(sides.select("u", "v"))
+
     # Second round: members with the likeliest others of their meeting in other components.
-    near = stored(_across(with_sketch(placed), percent, buckets, NEAREST), "nearest")
-    links = links.unionByName(stored(_verified(stored(_pairs(near), "pairs"), docs, percent), "links"))
-    joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    near = stored(_across(with_sketch(_mixed(placed)), percent, buckets, NEAREST), "nearest")
+    joined = joined_by(stored(_verified(stored(_pairs(near), "pairs"), docs, percent), "links"))
     # Third round: all members of different components, where a meeting had more of them than were compared.
     unfinished = near.filter("id is null").select("hot", "meeting").distinct()
-    placed = placed.drop("component", "members").join(unfinished, ["hot", "meeting"], "left_semi")
-    placed = placed.join(joined.select(F.col("u").alias("id"), "v"), "id", "left")
-    placed = _mixed(stored(placed.select("hot", "meeting", "id", F.coalesce("v", "id").alias("component")), "placed"))
+    placed = placed.join(unfinished, ["hot", "meeting"], "left_semi")
+    placed = _mixed(stored(relabelled(placed, "component", joined), "placed"))
+    places = stored(relabelled(places, "component", joined), "places")
     more = stored(_pairs(_across(with_sketch(placed), percent, buckets)), "pairs")
-    links = links.unionByName(stored(_verified(more, docs, percent), "links")).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    joined = components(links.unionByName(reps.select(F.col("own").alias("u"), F.col("rep").alias("v"))))
-    found = described.select("id", "n").join(joined.select(F.col("u").alias("id"), "v"), "id", "left")
-    return found.select(F.col("id").alias(document), F.col("n").alias("n_shingles"), F.coalesce("v", "id").alias("component_id"))
+    joined = joined_by(stored(_verified(more, docs, percent), "links"))
+    final = relabelled(places, "component", joined).select(F.col("own").alias("id"), "component").distinct()
+    found = described.select("id", "n").join(final, "id", "left")
+    return found.select(F.col("id").alias(document), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
