@@ -40,7 +40,8 @@ ALLOWED = (
     re.compile(r"[A-Za-z_=/+-]+"),  # words and rulers: no digit
     re.compile(r"[0-9_=/+-]+"),  # numbers, dates, rulers: no letter
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # UUIDs
-    re.compile(r"[A-Z]?[a-z]+([_/-][A-Za-z]*[a-z]+)*[0-9]{1,4}"),  # a name with a number
+    # A name with a number; its parts end in a small letter.  Each part is taken whole, never given back.
+    re.compile(r"[A-Z]?[a-z]+(?:[_/-](?>[A-Za-z]+)(?<=[a-z]))*[0-9]{1,4}"),
 )
 _XLOGX = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
