@@ -15,6 +15,7 @@ rank, and equal ranks go from left to right.
 from __future__ import annotations
 
 import functools
+import heapq
 import itertools
 import json
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ PIECES = (
 CACHED_PIECES = 1 << 18
 #: Longer pieces are rare and are not remembered.
 CACHED_CHARS = 48
-#: Fragments of more bytes are merged in passes over all their pairs.
+#: Fragments of more bytes are merged from a heap.
 LONG_FRAGMENT = 64
 _NONE = 1 << 62
 _ID = (1 << 32) - 1
@@ -108,22 +109,26 @@ class Vocabulary:
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        """The same, with all places of the best pair in one pass."""
-        find = self.merges.get
-        while len(ids) > 1:
-            ranks = [find(a << 32 | b, _NONE) for a, b in itertools.pairwise(ids)]
-            if (best := min(ranks)) == _NONE:
-                break
-            out, i, last = [], 0, len(ids) - 1
-            while i <= last:
-                if i < last and ranks[i] == best:
-                    out.append(best & _ID)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+        """The same from a heap of pairs, in n log n: a pair that is gone by its turn is passed over."""
+        find, n = self.merges.get, len(ids)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(m, i) for i, (a, b) in enumerate(itertools.pairwise(ids)) if (m := find(a << 32 | b)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            merge, i = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j >= n or find(ids[i] << 32 | ids[j]) != merge:
+                continue
+            ids[i], ids[j] = merge & _ID, -1
+            k, left = after[j], before[i]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if (m := find(ids[i] << 32 | ids[k])) is not None:
+                    heapq.heappush(heap, (m, i))
+            if left >= 0 and (m := find(ids[left] << 32 | ids[i])) is not None:
+                heapq.heappush(heap, (m, left))
+        return [x for x in ids if x >= 0]
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         found = (self.merge(f) for f in self.fragments(piece.encode()))
