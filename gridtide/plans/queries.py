@@ -672,8 +672,9 @@ def dataset_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dataset_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder with a dataset for each source, listed and previewed."""
     folder = scratch_folder(spark, "datasets")
-    lines = _document_lines(spark, sf_dir).repartition("source")
-    lines = lines.sortWithinPartitions("source", "doc_id", "line_no")
+    # By ranges: a source with many lines takes several part files, whose names are in the order of its lines.
+    place = ["source", "doc_id", "line_no"]
+    lines = _document_lines(spark, sf_dir).repartitionByRange(*place).sortWithinPartitions(*place)
     lines.select("source", "value").write.partitionBy("source").text(folder)
     listed = catalog(spark, folder)
     return listed.withColumn("preview", F.array_join("preview", "\n"))
