@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(folder)
 
 
+def stored_by(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame:
+    """The same, dealt to buckets by ``column``: grouping and cogrouping by it finds the rows in place.
+
+    The catalogue needs a name only while the table is made and opened; its files
+    stay in the scratch folder.
+    """
+    spark = df.sparkSession
+    name, folder = f"{label}_{uuid.uuid4().hex}", scratch_folder(spark, label)
+    writer = df.write.format("parquet").option("path", folder)
+    writer.bucketBy(buckets, column).saveAsTable(name)
+    opened = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return opened
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtide.llm.components import stored
+from gridtide.llm.components import stored, stored_by
 from gridtide.llm.words import SPACED, Words, give_back, mix, text_chunks
 
 #: Values of the bits of a context that a key holds; with the other ones, kept beside the key, they are 52 bits of its hash.
@@ -401,7 +401,8 @@ def score_texts(df: DataFrame, learn: str, document: str = "doc_id", column: str
     cuts = sorted(set(cuts or []))
     block = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
     docs = docs.withColumn("block", F.when(F.col("id").isNull(), F.lit(0)).otherwise(block).cast("int"))
-    merged = stored(_merged(_asked(docs, 4 * partitions)), "counts")
+    # Every round meets the pairs where they lie; only what buckets are told is exchanged.
+    merged = stored_by(_merged(_asked(docs, 4 * partitions)), "counts", "bucket", partitions)
     told: list[DataFrame] = []
     sums: list[dict] = []
     for _ in range(ROUNDS):
