@@ -40,10 +40,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtide.llm.components import components, relabelled, stored
+from gridtide.llm.components import components, relabelled, stored, stored_by
 from gridtide.llm.words import SPACED, Words, give_back, mix, shingles, text_chunks
 
 SHINGLE = 5
@@ -440,10 +440,19 @@ def _pairs(lists: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
+def _by_meeting(placed: DataFrame, buckets: int) -> DataFrame:
+    """Distinct rows (hot, meeting, id, component), stored by meeting: what follows finds a meeting's rows in place.
+
+    A hot and a cold meeting with one number, which only chance makes, are one.
+    """
+    rows = placed.repartition(buckets, "meeting").groupBy("meeting", "id", "component").agg(F.max("hot").alias("hot"))
+    return stored_by(rows.select("hot", "meeting", "id", "component"), "placed", "meeting", buckets)
+
+
 def _mixed(placed: DataFrame) -> DataFrame:
     """The rows (hot, meeting, id, component) of meetings with several components, and their number of members."""
-    sizes = placed.groupBy("hot", "meeting").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
-    return placed.join(sizes.filter("low < high").drop("low", "high"), ["hot", "meeting"])
+    sizes = placed.groupBy("meeting").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+    return placed.join(sizes.filter("low < high").drop("low", "high"), "meeting")
 
 
 def _gathered(placed: DataFrame) -> DataFrame:
@@ -454,20 +463,21 @@ def _gathered(placed: DataFrame) -> DataFrame:
     component: its members and all the others.  That is a hot meeting, with the
     component's hash in the place of a signature.
     """
-    mixed = stored(_mixed(placed), "mixed")
     # Members are compared by their number and two sums of hashes.
-    seed = F.xxhash64("id", F.lit(1))
-    sums = mixed.groupBy("hot", "meeting").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(seed).alias("y"))
-    one = sums.groupBy("n", "x", "y").agg(F.min(F.struct("hot", "meeting")).alias("_one")).select("_one.*")
-    parts = mixed.groupBy("hot", "meeting", "component").agg(F.count("*").alias("part"), F.first("members").alias("members"))
-    largest = parts.filter(2 * F.col("part") >= F.col("members")).groupBy("hot", "meeting").agg(F.min("component").alias("largest"))
-    kept = one.join(largest, ["hot", "meeting"], "left")
-    rows = mixed.select("hot", "meeting", "id", "component").join(kept, ["hot", "meeting"])
+    parts = placed.groupBy("meeting", "component").agg(
+        F.count("*").alias("part"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")
+    )
+    found = parts.groupBy("meeting").agg(
+        F.sum("part").alias("members"), F.count("*").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"),
+        F.max(F.struct("part", (-F.col("component")).alias("c"))).alias("most"),
+    ).filter("n > 1")
+    largest = F.when(2 * F.col("most.part") >= F.col("members"), -F.col("most.c"))
+    kept = found.groupBy("members", "x", "y").agg(F.min("meeting").alias("meeting"), F.min_by(largest, "meeting").alias("largest"))
+    rows = placed.join(kept.select("meeting", "largest"), "meeting")
     alone = F.col("largest").isNull()
-    moved = rows.select(
-        (F.col("hot") | ~alone).alias("hot"), F.when(alone, F.col("meeting")).otherwise(F.xxhash64("largest")).alias("meeting"), "id", "component", alone.alias("alone")
+    return rows.select(
+        (F.col("hot") | ~alone).alias("hot"), F.when(alone, F.col("meeting")).otherwise(F.xxhash64("largest")).alias("meeting"), "id", "component"
     )
-    return moved.filter("alone").drop("alone").unionByName(moved.filter("NOT alone").drop("alone").distinct())
 
 
 def near_duplicates(df: DataFrame, document: str = "doc_id", column: str = "text", percent: int = SIMILARITY) -> DataFrame:
@@ -511,8 +521,8 @@ def near_duplicates(df: DataFrame, document: str = "doc_id", column: str = "text
     met = places.select(F.col("own").alias("meeting"), F.col("component").alias("there"))
     cold = shared.filter("not hot").select("meeting", "id").join(met, "meeting").select(F.lit(False).alias("hot"), F.col("there").alias("meeting"), "id").distinct()
     placed = cold.unionByName(shared.filter("hot").select("hot", "meeting", "id"))
-    placed = placed.join(places, F.col("id") == F.col("own")).select("hot", "meeting", F.col("rep").alias("id"), "component").distinct()
-    placed = stored(_gathered(stored(placed, "placed")), "placed")
+    placed = placed.join(places, F.col("id") == F.col("own")).select("hot", "meeting", F.col("rep").alias("id"), "component")
+    placed = _by_meeting(_gathered(_by_meeting(placed, buckets // 8)), buckets // 8)
 
     def with_sketch(rows: DataFrame) -> DataFrame:
         return rows.join(heads, "id").select("hot", "meeting", "members", "id", "component", "n", "sketch")
@@ -528,9 +538,8 @@ def near_duplicates(df: DataFrame, document: str = "doc_id", column: str = "text
     near = stored(_across(with_sketch(_mixed(placed)), percent, buckets, NEAREST), "nearest")
     joined = joined_by(stored(_verified(stored(_pairs(near), "pairs"), docs, percent), "links"))
     # Third round: all members of different components, where a meeting had more of them than were compared.
-    unfinished = near.filter("id is null").select("hot", "meeting").distinct()
-    placed = placed.join(unfinished, ["hot", "meeting"], "left_semi")
-    placed = _mixed(stored(relabelled(placed, "component", joined), "placed"))
+    unfinished = near.filter("id is null").select("meeting").distinct()
+    placed = _mixed(_by_meeting(relabelled(placed.join(unfinished, "meeting", "left_semi"), "component", joined), buckets // 8))
     places = stored(relabelled(places, "component", joined), "places")
     more = stored(_pairs(_across(with_sketch(placed), percent, buckets)), "pairs")
     joined = joined_by(stored(_verified(more, docs, percent), "links"))
