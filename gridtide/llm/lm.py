@@ -402,7 +402,7 @@ def score_texts(df: DataFrame, learn: str, document: str = "doc_id", column: str
     block = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
     docs = docs.withColumn("block", F.when(F.col("id").isNull(), F.lit(0)).otherwise(block).cast("int"))
     # Every round meets the pairs where they lie; only what buckets are told is exchanged.
-    merged = stored_by(_merged(_asked(docs, 4 * partitions)), "counts", "bucket", partitions)
+    merged = stored_by(_merged(_asked(docs, 8 * partitions)), "counts", "bucket", 2 * partitions)
     told: list[DataFrame] = []
     sums: list[dict] = []
     for _ in range(ROUNDS):
