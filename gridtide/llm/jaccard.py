@@ -35,7 +35,6 @@ group of near copies shares many segments and would else meet in each of them.
 from __future__ import annotations
 
 import functools
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridtide.llm.components import components, relabelled, stored, stored_by
-from gridtide.llm.words import SPACED, Words, give_back, mix, shingles, text_chunks
+from gridtide.llm.words import SPACED, Words, forget_others, give_back, mix, shingles, text_chunks
 
 SHINGLE = 5
 #: Least Jaccard similarity of linked documents, in percent.
@@ -170,6 +169,7 @@ def _described(docs: DataFrame) -> DataFrame:
     """(id, n, k1, k2, sketch) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             for a, b in text_chunks(batch["text"]):
                 first, value = _sets(batch["text"].slice(a, b - a))
@@ -192,14 +192,6 @@ def _unplaned(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _forget_others() -> None:
-    """Drop what operators that ran before in this worker remember: a pipeline's workers are used again."""
-    for module, name in (("bpe", "vocabulary"), ("packing", "encoder")):
-        if f"gridtide.llm.{module}" in sys.modules:
-            getattr(sys.modules[f"gridtide.llm.{module}"], name).cache_clear()
-    give_back()
-
-
 def _bucketed(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
     """(bucket, hot, gaps, places, ids): signatures dealt to buckets, those of one part of the input sorted and packed.
 
@@ -250,7 +242,7 @@ def _bucketed(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
         sigs: list = []
         ids: list = []
         held = total = 0
-        _forget_others()
+        forget_others()
         for batch in batches:
             for a, b in text_chunks(batch["text"]):
                 first, value = _sets(batch["text"].slice(a, b - a))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridtide.llm.words import SPACED, Words, gram_hashes, mix, text_chunks
+from gridtide.llm.words import SPACED, Words, forget_others, gram_hashes, mix, text_chunks
 
 #: Labelled rows the trees are fitted on, at most: those of least hash of their id.
 SAMPLE_ROWS = 20_000
@@ -201,6 +201,7 @@ def learn_quality(documents: DataFrame, labels: DataFrame, document: str = "doc_
     rows = texts.join(F.broadcast(picked), "_id").select("_y", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             for a, b in text_chunks(batch["_text"]):
                 x = [r.tobytes() for r in statistics(batch["_text"].slice(a, b - a))]
@@ -223,6 +224,7 @@ def score_quality(df: DataFrame, trees: Trees, column: str = "text", score: str
     place = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             for a, b in text_chunks(batch[column]):
                 part = batch.slice(a, b - a)

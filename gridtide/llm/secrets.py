@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gridtide.llm.words import text_chunks
+from gridtide.llm.words import forget_others, text_chunks
 
 #: The patterns of the three base kinds, in the order of listing.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
@@ -126,6 +126,7 @@ def find_secrets(df: DataFrame, column: str = "text", spans: str = "spans") -> D
     place = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         kind = pa.list_(pa.struct([pa.field("kind", pa.string(), False), pa.field("start", pa.int32(), False), pa.field("end", pa.int32(), False)]))
         for batch in batches:
             for a, b in text_chunks(batch[column]):
@@ -154,6 +155,7 @@ def redact_secrets(df: DataFrame, column: str = "text", mark: str = "[secret]")
         return "".join([*out, text[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others()
         for batch in batches:
             for a, b in text_chunks(batch[column]):
                 part = batch.slice(a, b - a)

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,16 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def forget_others(own: str = "") -> None:
+    """Drop what the encoders of other operators remember in this worker, which a pipeline uses again."""
+    for module, name in (("bpe", "vocabulary"), ("packing", "encoder")):
+        found = sys.modules.get(f"gridtide.llm.{module}")
+        if found is not None and module != own and getattr(found, name).cache_info().currsize:
+            getattr(found, name).cache_clear()
+            gc.collect()
+    give_back()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit words (the finalizer of splitmix64)."""
     x = x ^ (x >> np.uint64(30))
