@@ -3,6 +3,7 @@
 import hashlib
 import html as entities
 import re
+import time
 
 import pytest
 
@@ -93,6 +94,7 @@ ARTICLE = "<article><header><h1>T &lt;1&gt;</h1><p>by me</p></header><p>a&amp;b
         ("<article><p title='a>b'>x</p><ul><li>1<li>2</ul><table><tr><td>3<td>4</table><p hidden>no</p><p style='display: none'>no</p></article>", ["x", "1", "2", "3", "4"]),
         ("<div role='banner'>no</div><div role='main'><p>yes</p></div><div id='cookieNotice'>no</div>", ["yes"]),
         ("<article><p>&#x41;&#66;&euro;&copy</p></article><div class='ad'>no</div>", ["AB€©"]),
+        ("<article><p title='a hidden gem'>kept</p><p>too</p><ul class='comment-list'><li>no</ul><div class='ads300x250'>no</div></article>", ["kept", "too"]),
         ("<SCRIPT>x</SCRIPT><ARTICLE><P>Up</ARTICLE><textarea><p>no", ["Up"]),
     ],
 )
@@ -102,6 +104,23 @@ def test_blocks_of_markup(page, want):
     assert [t for kind, t in blocks if kind == (pages.ARTICLE if article else pages.OPEN)] == want
 
 
+@pytest.mark.parametrize("name", ["class='discussion'", "class='related-work'", "id='social-policy'", "class='notice-period'", "class='search-results'", "class='comment-free'"])
+def test_names_that_only_begin_like_boilerplate_stay(spark, name):
+    page = f"<nav>menu</nav><article><p>before</p><section {name}><p>said here</p></section><p>after</p></article>"
+    out = pages.extract_text(spark.createDataFrame([(1, "http://a.example/1", page)], "page_id long, url string, html string")).first()
+    assert (out["text"], out["n_removed"]) == ("before\nsaid here\nafter", 1)
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 60_000 + "</p>" * 60_000 + "x", "<div>" * 30_000 + "<header>" + "<article><h2>x</h2></article>" * 30_000, "<a " + "b" * 200_000 + ">x", "<article>" + "<p>y" * 100_000],
+)
+def test_long_and_deep_pages_take_seconds(page):
+    begin = time.perf_counter()
+    assert pages.blocks_of(page)
+    assert time.perf_counter() - begin < 5
+
+
 def test_repeated_runs_decide_where_the_markup_does_not(spark):
     top = "Home News Sports Weather Contact us About this site Imprint"
     low = "All rights reserved by the owner of this fine site since 1999"
