@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Words of a shingle, and the share of hashes that is kept: one in so many.
 SHINGLE = 5
-ONE_IN = 8
+ONE_IN = 2
 
 
 def shingle_hashes(df: DataFrame, column: str = "text", out: str = "hashes") -> DataFrame:

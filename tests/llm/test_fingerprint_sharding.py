@@ -1,12 +1,15 @@
 """Fingerprints and shards."""
 
+import hashlib
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridtide.llm import fingerprint as P
 from gridtide.llm import sharding as S
+from gridtide.llm.queries import QUERIES, SHARDS
 
 
 def shingles(text):
@@ -76,6 +79,55 @@ def test_next_row_with_ties_nulls_one_row_and_none(spark):
     assert P.with_next(one.limit(0), "id", ["text"], 3).count() == 0
 
 
+def test_fingerprint_query_against_brute_force(spark, sf_dir):
+    given = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect())
+    out = {r["doc_id"]: r for r in QUERIES["op4_fingerprints"](spark, sf_dir).collect()}
+    assert len(out) == len(given)
+    same, errors = {}, {"near_edited": [], "near_next": []}
+    for k, (doc, text) in enumerate(given):
+        after = given[(k + 1) % len(given)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        r = out[doc]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert same.setdefault(text, r["fingerprint"]) == r["fingerprint"]
+        assert same.setdefault(edited, r["edited_fingerprint"]) == r["edited_fingerprint"]
+        for column, other in (("near_edited", edited), ("near_next", after)):
+            a, b = shingles(text), shingles(other)
+            errors[column].append(abs(r[column] - (len(a & b) / len(a | b) if a | b else 1.0)))
+    for found in errors.values():
+        assert sum(found) / len(found) < 0.03
+
+
+def test_shard_query_against_brute_force(spark, sf_dir):
+    given = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    out = QUERIES["op6_shards"](spark, sf_dir).collect()
+    assert len(out) == len(given)
+    loads, slots, homes, groups = [0] * SHARDS, [[] for _ in range(SHARDS)], {}, {}
+    for r in out:
+        data = given[r["doc_id"]]
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(data) + 16, zlib.crc32(data), "bytes", None)
+        loads[r["shard"]] += r["size"]
+        slots[r["shard"]].append(r["slot"])
+        assert homes.setdefault(data, r["shard"]) == r["shard"]
+        groups[data] = groups.get(data, 0) + r["size"]
+    assert all(sorted(s) == list(range(len(s))) for s in slots)
+    # Groups stay in one order, that of the texts' digests: no cuts in it have a smaller greatest shard.
+    in_order = [groups[d] for d in sorted(groups, key=lambda d: hashlib.sha256(d).digest())]
+    assert max(loads) <= least_capacity(in_order, SHARDS)
+
+
+def test_cells_search_ranges_without_a_nested_loop(spark):
+    rng = random.Random(1)
+    edges = sorted(rng.sample(range(1, 100_000), 400))
+    ranges = list(zip(edges[::2], edges[1::2], strict=True))
+    places = rng.sample(range(1, 100_001), 5000)
+    found = S._cells(spark.createDataFrame([(p,) for p in places], "place long").repartition(3), ranges, 1000)
+    inside = [p for p in places if any(a <= p <= b for a, b in ranges)]
+    assert found.count.sum() == len(inside)
+    assert {*found.low.tolist(), *found.high.tolist()} <= set(inside)
+
+
 def least_capacity(sizes, shards):
     low, high = max(sizes), sum(sizes)
     while low < high:
