@@ -13,7 +13,10 @@ cells only around places where the bounds still leave the answer open.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,14 +91,22 @@ def even_cuts(places: np.ndarray, capacity: int, shards: int, total: int) -> lis
 
 
 def _cells(ends: DataFrame, ranges: list[tuple[int, int]], most: int) -> Places:
-    """Places of ``ends`` inside the ranges (first, last), in at most ``most`` cells."""
-    spark = ends.sparkSession
+    """Places of ``ends`` inside the ranges (first, last; apart and in order), in at most ``most`` cells."""
+    first, last = (np.array(x, dtype=np.int64) for x in zip(*ranges, strict=True))
     fan = max(1, most // len(ranges))
-    rows = [(a, b, max(1, -(-(b - a + 1) // fan))) for a, b in ranges]
-    asked = F.broadcast(spark.createDataFrame(rows, "a long, b long, width long"))
-    cell = F.expr("(place - a) div width")
-    inside = ends.join(asked, F.col("place").between(F.col("a"), F.col("b")))
-    found = inside.groupBy("a", cell.alias("cell")).agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("n")).toPandas()
+    width = np.maximum(1, -(-(last - first + 1) // fan))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each place's range, found by binary search, and its cell in it."""
+        for batch in batches:
+            place = batch["place"].to_numpy()
+            k = np.searchsorted(first, place, "right") - 1
+            inside = (k >= 0) & (place <= last[k])
+            place, k = place[inside], k[inside]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (first[k], (place - first[k]) // width[k], place)], names=["a", "cell", "place"])
+
+    inside = ends.select("place").mapInArrow(dealt, "a long, cell long, place long")
+    found = inside.groupBy("a", "cell").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("n")).toPandas()
     return Places(*(found[c].to_numpy(dtype=np.int64) for c in ("low", "high", "n")))
 
 
