@@ -35,6 +35,8 @@ RANGES = 20_000
 RANGE_BYTES, PIECE_BYTES = 128 << 20, 64 << 20
 #: A table without ids is cut finer, to keep every core busy, but not below so many rows.
 SMALLEST_RANGE = 1_000
+#: Pieces of a given number of rows may be small: beyond ``FEW_RANGES`` they share ranges of so many rows.
+FEW_RANGES, SHARED_RANGE = 64, 1 << 14
 
 ROW = "_row"
 #: Place of the range, the number its bucket is found by, the piece in it, and the row's place in the range.
@@ -69,7 +71,8 @@ def layout(spark: SparkSession, rows: int, size: int, keyed: bool, rows_per_segm
     """The cut of a table of so many rows and bytes."""
     if rows_per_segment is not None:
         each = max(1, rows_per_segment)
-        return Layout(min(RANGES, max(1, -(-rows // each))), each)
+        most = max(FEW_RANGES, rows // SHARED_RANGE, -(-size // RANGE_BYTES))
+        return Layout(min(RANGES, most, max(1, -(-rows // each))), each)
     wanted = -(-size // RANGE_BYTES)
     if not keyed:
         wanted = max(wanted, min(4 * spark.sparkContext.defaultParallelism, rows // SMALLEST_RANGE))

@@ -139,6 +139,16 @@ def test_ranges_grow_in_number_up_to_a_width_and_then_in_pieces(spark):
     assert O.layout(spark, 10**13, 1, True, 7) == O.Layout(O.RANGES, 7)
 
 
+def test_small_pieces_share_ranges(spark):
+    # A range each would be 20,000 tasks for these rows, whose results all go to the driver.
+    for rows in (6 * 10**6, 36 * 10**6):
+        cut = O.layout(spark, rows, rows * 60, True, 300)
+        assert cut.piece_rows == 300
+        assert cut.ranges <= rows / 10**4
+    assert O.layout(spark, 10**5, 6 * 10**6, True, 300).ranges == O.FEW_RANGES
+    assert O.layout(spark, 10**4, 10**6, True, 300).ranges == 34
+
+
 def test_row_bytes_follow_the_values(spark):
     df = spark.createDataFrame([(1, "é" * 100, [1] * 50, None), (None, None, None, None)], "a long, b string, c array<int>, d struct<x:int>")
     kind = df.schema
