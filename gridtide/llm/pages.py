@@ -250,11 +250,13 @@ def _windows(parsed: DataFrame) -> DataFrame:
 
     def sorted_part(held: list) -> pa.RecordBatch:
         host, content, tokens = (np.concatenate(x) for x in zip(*held, strict=True))
+        page = np.repeat(np.arange(len(held)), [len(own) for *_, own in held])
         order, rank = suffix_order(tokens, DEPTH)
         n = len(tokens) - DEPTH + 1
         runs, keep = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if n > 0:
-            same_page = content[: len(tokens)][:n] == content[DEPTH - 1 :]
+            # By page: two copies of a content may lie side by side, and no run goes from one into the other.
+            same_page = page[:n] == page[DEPTH - 1 :]
             order = order[(order < n)]
             order = order[same_page[order]]
             # Suffixes with the same beginning are neighbours; of each such run the first contents stay.

@@ -170,6 +170,29 @@ def test_covered_spans_go_and_the_rest_of_the_block_stays(spark):
     assert out == {k: (f"{own[k]}\n{own[k]} end{k}", 2) for k in range(4)}
 
 
+def test_no_run_goes_from_one_copy_of_a_page_into_the_next(spark):
+    own = [" ".join(f"word{k}x{j}" for j in range(12)) for k in range(3)]
+    # The end of the first page and its beginning make the sentence that two other pages hold.
+    texts = [f"five six seven eight {own[0]} one two three four"] * 2 + [f"{own[k]} one two three four five six seven eight end{k}" for k in (1, 2)]
+    rows = [(k, f"http://a.example/{k}", f"<div>{t}</div>") for k, t in enumerate(texts)]
+    out = pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()
+    assert {r["page_id"]: r["text"] for r in out} == dict(enumerate(texts))
+
+
+def test_runs_of_many_contents_in_many_parts_equal_a_plain_count(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(pages, "PART_TOKENS", 200)
+    rng = random.Random(4)
+    low = [" ".join(f"low{b}y{j}" for j in range(8)) for b in range(12)]
+    held = [rng.sample(range(12), 2) if k % 5 else [0, 1] for k in range(40)]
+    rows = [(k, f"http://{k % 3}.example/{k}", f"<div>{low[a]}</div><div>own{k} alone{k}</div><div>{low[b]}</div>") for k, (a, b) in enumerate(held)]
+    out = pages.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    often = lambda k, b: sum(b in held[x] for x in range(40) if x % 3 == k % 3) >= pages.REPEATS
+    want = {k: "\n".join([low[a]] * (not often(k, a)) + [f"own{k} alone{k}"] + [low[b]] * (not often(k, b))) for k, (a, b) in enumerate(held)}
+    assert {r["page_id"]: r["text"] for r in out} == want
+
+
 def test_suffix_order_sorts_by_the_first_tokens():
     import numpy as np
 
