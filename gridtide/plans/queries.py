@@ -92,6 +92,7 @@ HOT_LIMIT = 100
 DAILY_ADDITIONS = 2
 INTERVALS = 4
 FILES_PER_BATCH = 2
+ARRIVAL = "_arrival"
 
 
 def _registered(function: Query) -> Query:
@@ -782,8 +783,12 @@ def _feed(
         shares = [k / batches for k in range(1, batches)]
         cuts = events.agg(F.percentile_approx(micros, shares)).first()[0] or []
         batch = sum((F.coalesce((micros > c).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
+    # The events are read once and dealt to a folder for each batch, whatever the number of batches.
+    dealt, staged = events.withColumn(ARRIVAL, batch.cast("int")), scratch_folder(spark, "dealt")
+    dealt.write.partitionBy(ARRIVAL).parquet(staged)
+    held = spark.read.schema(dealt.schema).parquet(staged)
     for k in range(batches):
-        part = events.where(batch == k).repartition(FILES_PER_BATCH)
+        part = held.where(F.col(ARRIVAL) == k).drop(ARRIVAL).repartition(FILES_PER_BATCH)
         if form == "parquet":
             part.write.mode("append").parquet(folder)
         else:
@@ -943,9 +948,10 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily totals of a stream; a day comes out once the watermark passes its end."""
     out = scratch_folder(spark, "stream")
-    readings = with_watermark(_event_stream(spark, _feed(spark, sf_dir, "parquet")), "2 hours")
+    feed = _feed(spark, sf_dir, "parquet")
+    readings = with_watermark(_event_stream(spark, feed), "2 hours")
     daily = _window_shown(tumbling(readings, "1 day", ["id"], _window_aggregates()))
-    run_to_end(daily, file_target(f"{out}/rows"), f"{out}/progress")
+    run_to_end(daily, file_target(f"{out}/rows"), f"{out}/progress", rows=spark.read.parquet(feed).count())
     return spark.read.schema("id bigint, start_ms bigint, n bigint, cents bigint").parquet(
         f"{out}/rows"
     )
@@ -961,7 +967,7 @@ def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = join_within(readings, alarms, ["event_id"], "ts", "alarm_ts", "1 HOUR").select(
         "event_id", "id", epoch_millis(F.col("alarm_ts")).alias("alarm_ms")
     )
-    run_to_end(joined, file_target(f"{out}/rows"), f"{out}/progress")
+    run_to_end(joined, file_target(f"{out}/rows"), f"{out}/progress", rows=spark.read.parquet(feed).count())
     return spark.read.schema("event_id bigint, id bigint, alarm_ms bigint").parquet(f"{out}/rows")
 
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -16,6 +16,10 @@ from gridtide.sinks.targets import Target
 
 BatchWriter = Callable[[DataFrame, int], None]
 
+PARTITIONS = "spark.sql.shuffle.partitions"
+#: Rows of a stream's whole input for which there is one partition of state.
+STATE_ROWS = 1 << 18
+
 
 def trigger(seconds: int | None) -> dict[str, Any]:
     """A micro-batch every so many seconds; None runs through what there is and stops."""
@@ -33,6 +37,15 @@ def records_per_trigger(records_per_second: int, seconds: int) -> int:
     return records_per_second * seconds
 
 
+def state_partitions(spark: SparkSession, rows: int) -> int:
+    """Partitions of a stateful stream over so many rows: one a core at least, never more than the session's shuffles have.
+
+    Every partition stores its state with every batch, however little it is.
+    """
+    wanted = max(spark.sparkContext.defaultParallelism, -(-rows // STATE_ROWS))
+    return min(int(spark.conf.get(PARTITIONS)), wanted)
+
+
 def start(
     df: DataFrame,
     target: Target | BatchWriter,
@@ -40,8 +53,13 @@ def start(
     every_seconds: int | None = None,
     name: str | None = None,
     output_mode: str = "append",
+    rows: int | None = None,
 ) -> StreamingQuery:
-    """Start a query with its progress kept in ``checkpoint``."""
+    """Start a query with its progress kept in ``checkpoint``.
+
+    ``rows`` is about how many rows a stateful query reads in all; without it
+    its state has as many partitions as the session's shuffles.
+    """
     writer = df.writeStream.outputMode(output_mode).option("checkpointLocation", checkpoint)
     if name:
         writer = writer.queryName(name)
@@ -49,7 +67,16 @@ def start(
         writer = writer.format(target.format).options(**target.options)
     else:
         writer = writer.foreachBatch(target)
-    return writer.trigger(**trigger(every_seconds)).start()
+    writer = writer.trigger(**trigger(every_seconds))
+    if rows is None:
+        return writer.start()
+    conf = df.sparkSession.conf
+    own = conf.get(PARTITIONS)
+    conf.set(PARTITIONS, state_partitions(df.sparkSession, rows))
+    try:
+        return writer.start()  # which copies the session's settings
+    finally:
+        conf.set(PARTITIONS, own)
 
 
 def run_to_end(df: DataFrame, target: Target | BatchWriter, checkpoint: str, **kwargs) -> StreamingQuery:

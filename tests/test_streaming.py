@@ -23,6 +23,7 @@ from gridtide.streaming import (
     spread,
     trigger,
 )
+from gridtide.streaming.run import STATE_ROWS, state_partitions
 
 BATCHES = 4
 IDS = 6
@@ -234,3 +235,32 @@ def test_stream_as_sql_view(spark, feed, tmp_path):
     run_to_end(found, file_target(str(tmp_path / "out")), str(tmp_path / "cp"))
     batch = typed(spark.read.schema(CONSUMPTION_CSV).csv(feed)).where("consumption > 20")
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count()
+
+
+def test_state_has_partitions_by_the_rows_of_the_stream(spark, tmp_path):
+    folder = arrive(tmp_path / "in", [f"{i},2024-01-0{i + 1} 00:00:00,1.0\n" for i in range(3)])
+    readings = stream_csv(spark, folder, CONSUMPTION_CSV, 1)
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    counted = readings.withColumn("at", F.lit("2024-01-01").cast("timestamp")).withWatermark("at", "1 hour").dropDuplicates([readings.columns[0], "at"])
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        run_to_end(counted, file_target(f"{tmp_path}/rows"), f"{tmp_path}/progress", rows=3)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+        assert state_partitions(spark, 10**9) == 40
+        assert state_partitions(spark, 20 * STATE_ROWS) == 20
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+    assert spark.read.parquet(f"{tmp_path}/rows").count() == 3
+    assert len([d for d in os.listdir(f"{tmp_path}/progress/state/0") if d.isdigit()]) == spark.sparkContext.defaultParallelism
+
+
+def test_what_is_kept_between_steps_has_few_partitions(spark):
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        kept = spark.range(1000).groupBy((F.col("id") % 100).alias("k")).count().persist()
+        assert kept.count() == 100
+        assert kept.rdd.getNumPartitions() < 10
+        kept.unpersist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
