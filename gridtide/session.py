@@ -19,6 +19,8 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # What is kept between steps is merged as well: a micro-batch is a few partitions, not one a shuffle's.
+    "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning": "true",
     # Where every partition of one side is this small, hash it instead of sorting both sides.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     # Ranges stored in order (operators/order.py): a bucket of one file is read as sorted, and rows
