@@ -18,15 +18,17 @@ import functools
 import heapq
 import itertools
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gridtide.llm.words import text_chunks
+from gridtide.llm.words import forget_others, text_chunks
 
 #: Fixed value: the splitting pattern of byte-level pre-tokenizers, with
 #: ``\s`` written out as Unicode's White_Space property.
@@ -40,6 +42,8 @@ CACHED_PIECES = 1 << 18
 CACHED_CHARS = 48
 #: Fragments of more bytes are merged from a heap.
 LONG_FRAGMENT = 64
+#: Rows decoded at once.
+DECODED_ROWS = 64
 _NONE = 1 << 62
 _ID = (1 << 32) - 1
 
@@ -55,6 +59,45 @@ def _printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@functools.cache
+def finder() -> re.Pattern[str]:
+    """``PIECES`` for texts without characters beyond U+FFFF, as a pattern of ``re``, which is faster than ``regex``.
+
+    The classes are those of ``regex``, written out; letters, which are most pieces, are tried first.
+    """
+    text = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000)
+
+    def written(kind: str) -> str:
+        runs = ((m.start(), m.end()) for m in regex.finditer(rf"\p{{{kind}}}+", text))
+        return "".join(f"\\u{ord(text[a]):04x}-\\u{ord(text[b - 1]):04x}" for a, b in runs)
+
+    letter, number, space = map(written, ("L", "N", "White_Space"))
+    return re.compile(f" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
+_BEYOND = re.compile("[\U00010000-\U0010ffff]").search
+
+
+class _FirstMerges(dict):
+    """Merges of two bytes; a pair without one has the greatest rank."""
+
+    def __missing__(self, pair: tuple[int, int]) -> int:
+        return _NONE
+
+
+def _token_bytes(spec: dict) -> tuple[dict[bytes, int], dict[str, int], list[bytes]]:
+    """Ids by token, ids of added tokens, and each id's bytes."""
+    to_byte = _printable_bytes()
+    vocab = {bytes(to_byte[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
+    added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    bytes_of = [b""] * (max([*vocab.values(), *added.values()]) + 1)
+    for token, i in vocab.items():
+        bytes_of[i] = token
+    for token, i in added.items():
+        bytes_of[i] = token.encode()
+    return vocab, added, bytes_of
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary with its certain cuts."""
 
@@ -63,32 +106,29 @@ class Vocabulary:
             spec = json.load(file)
         to_byte = _printable_bytes()
         raw = lambda token: bytes(to_byte[c] for c in token)
-        vocab = {raw(t): i for t, i in spec["model"]["vocab"].items()}
-        self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        size = max([*vocab.values(), *self.added.values()]) + 1
-        self.bytes_of = [b""] * size
-        for token, i in vocab.items():
-            self.bytes_of[i] = token
-        for token, i in self.added.items():
-            self.bytes_of[i] = token.encode()
+        vocab, self.added, self.bytes_of = _token_bytes(spec)
+        self.numbers = list(range(len(self.bytes_of)))
         self.byte_ids = [vocab[bytes([b])] for b in range(256)]
         #: (id, id) of a mergeable pair as one number: its rank and the id it becomes, as one number too.
         self.merges: dict[int, int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = map(raw, pair if isinstance(pair, list) else pair.split(" "))
             self.merges.setdefault(vocab[left] << 32 | vocab[right], rank << 32 | vocab[left + right])
-        #: Pairs of neighbouring bytes, as 256 * a + b, that some token holds inside.
-        self.joined = {256 * x + y for token in vocab for x, y in itertools.pairwise(token)}
-        self.find = regex.compile(PIECES).findall
+        byte_of = {i: b for b, i in enumerate(self.byte_ids)}
+        ends = ((p, byte_of.get(p >> 32), byte_of.get(p & _ID)) for p in self.merges)
+        self.first = _FirstMerges({(a, b): self.merges[p] for p, a, b in ends if a is not None and b is not None})
+        #: Pairs of neighbouring bytes that some token holds inside.
+        self.joined = {pair for token in vocab for pair in itertools.pairwise(token)}
+        self.find_any, self.find_near = regex.compile(PIECES).findall, finder().findall
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         self.cache = _Pieces(self)
 
     def fragments(self, piece: bytes) -> list[bytes]:
         """``piece`` cut at every byte pair that is inside no token."""
         joined = self.joined
-        cuts = [i for i in range(1, len(piece)) if piece[i - 1] << 8 | piece[i] not in joined]
-        if not cuts:
+        if joined.issuperset(itertools.pairwise(piece)):
             return [piece] if piece else []
+        cuts = [i for i, pair in enumerate(itertools.pairwise(piece), 1) if pair not in joined]
         return [piece[a:b] for a, b in itertools.pairwise([0, *cuts, len(piece)])]
 
     def merge(self, fragment: bytes) -> list[int]:
@@ -97,7 +137,7 @@ class Vocabulary:
         find = self.merges.get
         if len(ids) > LONG_FRAGMENT:
             return self._merge_long(ids)
-        ranks = [find(a << 32 | b, _NONE) for a, b in itertools.pairwise(ids)]
+        ranks = list(map(self.first.__getitem__, itertools.pairwise(fragment)))
         while ranks and (best := min(ranks)) != _NONE:
             i = ranks.index(best)
             ids[i : i + 2] = [best & _ID]
@@ -132,7 +172,12 @@ class Vocabulary:
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         found = (self.merge(f) for f in self.fragments(piece.encode()))
-        return tuple(itertools.chain.from_iterable(found))
+        # Numbers that all pieces share: those remembered take less memory.
+        return tuple(map(self.numbers.__getitem__, itertools.chain.from_iterable(found)))
+
+    def find(self, text: str) -> list[str]:
+        """The pieces of a text."""
+        return self.find_near(text) if text.isascii() or not _BEYOND(text) else self.find_any(text)
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
@@ -171,6 +216,27 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@functools.cache
+def token_bytes(path: str) -> pa.Array:
+    """Each id's bytes: all that decoding needs of a vocabulary."""
+    with open(path, encoding="utf-8") as file:
+        return pa.array(_token_bytes(json.load(file))[2], pa.large_binary())
+
+
+def decoded(ids: pa.Array, tokens: pa.Array) -> list[str]:
+    """The texts of some arrays of ids."""
+    flat, counts = ids.flatten(), pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False)
+    if flat.null_count:
+        raise ValueError("an id is null")
+    taken = tokens.take(flat)
+    if not len(taken):
+        return [""] * len(ids)
+    _, offsets, data = taken.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[np.concatenate(([0], np.cumsum(counts)))].tolist()
+    raw = data.to_pybytes()
+    return [raw[a:b].decode("utf-8", "replace") for a, b in itertools.pairwise(ends)]
+
+
 def _with_column(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     kept = [f for f in df.schema.fields if f.name != name]
     return T.StructType([*kept, T.StructField(name, kind)])
@@ -187,6 +253,7 @@ def encode_texts(df: DataFrame, path: str, column: str = "text", ids: str = "ids
     place = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others("bpe")
         encode = vocabulary(path).encode
         for batch in batches:
             for a, b in text_chunks(batch[column]):
@@ -211,9 +278,12 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", column: str = "decode
     place = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = vocabulary(path).decode
+        forget_others("bpe")
+        tokens = token_bytes(path)
         for batch in batches:
-            texts = [decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []) for x in batch[ids]]
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in place), pa.array(texts, pa.string())], names=[*place, column])
+            for a in range(0, len(batch), DECODED_ROWS):
+                part = batch.slice(a, DECODED_ROWS)
+                texts = pa.array(decoded(part[ids], tokens), pa.string())
+                yield pa.RecordBatch.from_arrays([*(part[n] for n in place), texts], names=[*place, column])
 
     return df.mapInArrow(run, schema)

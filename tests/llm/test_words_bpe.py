@@ -93,3 +93,22 @@ def test_columns_rows_and_nulls(spark):
     assert encode_texts(df.limit(0), PATH).count() == 0
     nothing = spark.createDataFrame([(None,)], "ids array<int>")
     assert decode_ids(nothing, PATH).first()["decoded"] == ""
+
+
+def test_pieces_and_texts_come_out_the_same_by_either_pattern(own):
+    import random
+
+    import pyarrow as pa
+    import regex
+    from gridtide.llm import bpe
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(" \n\t  'streadvéß3²\U0001d7d8\U0001f600x中،\x1c\x85") for _ in range(rng.randrange(50))) for _ in range(500)]
+    texts += ["".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)])), ""]
+    assert all(own.find(t) == regex.findall(bpe.PIECES, t) for t in texts)
+    # Texts up to U+FFFF do not take the slower pattern.
+    assert bpe.finder().findall(texts[-2]) == regex.findall(bpe.PIECES, texts[-2])
+    ids = pa.array([*map(own.encode, texts), None], pa.list_(pa.int32()))
+    tokens = pa.array(own.bytes_of, pa.large_binary())
+    assert bpe.decoded(ids, tokens) == [*texts, ""]
+    assert bpe.decoded(ids.slice(7, 30), tokens) == texts[7:37]
