@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridtide.llm import bpe, decontaminate, jaccard, quality, secrets
 from gridtide.llm.queries import GOOD, table
-from gridtide.session import scratch_folder
+from gridtide.session import SMALL_BATCHES, pinned_session, scratch_folder
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +66,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each stage's rows written and read again."""
+    """All stages over ``documents``, each stage's rows written and read again.
+
+    The workers of an executor share its memory with those of the stages before;
+    they are handed small batches, in a session beside ``spark``.
+    """
+    spark = pinned_session(spark, SMALL_BATCHES)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         folder = scratch_folder(spark, "pipeline")

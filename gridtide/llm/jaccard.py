@@ -178,6 +178,7 @@ def _described(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch["id"].slice(a, b - a), pa.array(np.diff(first), pa.int64()), pa.array(k1), pa.array(k2), pa.array(sketch, pa.binary())], names=["id", "n", "k1", "k2", "sketch"]
                 )
+            give_back()
 
     return docs.mapInArrow(run, "id long, n long, k1 long, k2 long, sketch binary")
 
@@ -266,6 +267,7 @@ def _bucketed(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
                     give_back()
         if ids:
             yield from packed(sets, sigs, ids)
+        give_back()
 
     return docs.mapInArrow(run, "bucket int, hot boolean, gaps binary, places binary, ids binary")
 
@@ -304,8 +306,10 @@ def _meetings(bucketed: DataFrame) -> DataFrame:
         lead = np.repeat(own[begin], size)
         hot = np.repeat(np.logical_or.reduceat(hot, begin) if len(begin) else hot, size)
         meeting = np.where(hot, sig.view(np.int64), lead)
-        out = pa.table({"hot": hot, "meeting": meeting, "id": own, "lead": lead})
-        return out.group_by(["hot", "meeting", "id", "lead"]).aggregate([])
+        out = pa.table({"hot": hot, "meeting": meeting, "id": own, "lead": lead}).group_by(["hot", "meeting", "id", "lead"]).aggregate([])
+        del sig, own, hot, order, kept, equal, first, begin, size, lead, meeting
+        give_back()
+        return out
 
     schema = "hot boolean, meeting long, id long, lead long"
     return bucketed.groupBy("bucket").applyInArrow(run, schema).distinct()
@@ -437,10 +441,28 @@ def _by_meeting(placed: DataFrame, buckets: int) -> DataFrame:
 
     A hot and a cold meeting with one number, which only chance makes, are one.
     """
-    rows = placed.repartition(buckets, "meeting").groupBy("meeting", "id", "component").agg(F.max("hot").alias("hot"))
+    rows = placed.groupBy("meeting", "id", "component").agg(F.max("hot").alias("hot")).repartition(buckets, "meeting")
     return stored_by(rows.select("hot", "meeting", "id", "component"), "placed", "meeting", buckets)
 
 
+def _hot_gathered(shared: DataFrame) -> DataFrame:
+    """(hot, meeting, id) of the hot meetings, those of like members as one; every pair of members is still together.
+
+    A large group of near copies meets in every signature that no edit touched.
+    Of meetings with the same members, told by their number and two sums of
+    hashes, one stays; those with the same member of least hash become one,
+    which is as likely as their members are alike.
+    """
+    rows = shared.filter("hot").select("meeting", "id").distinct()
+    found = rows.groupBy("meeting").agg(
+        F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
+        F.min(F.xxhash64("id", F.lit(2))).alias("name"),
+    )
+    kept = found.groupBy("members", "x", "y", "name").agg(F.min("meeting").alias("meeting"))
+    named = rows.join(kept.select("meeting", "name"), "meeting").select("name", "id").distinct()
+    return named.select(F.lit(True).alias("hot"), F.col("name").alias("meeting"), "id")
+
+
 def _mixed(placed: DataFrame) -> DataFrame:
     """The rows (hot, meeting, id, component) of meetings with several components, and their number of members."""
     sizes = placed.groupBy("meeting").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
@@ -512,7 +534,7 @@ def near_duplicates(df: DataFrame, document: str = "doc_id", column: str = "text
     places = stored(relabelled(reps.withColumn("component", F.col("rep")), "component", joined), "places")
     met = places.select(F.col("own").alias("meeting"), F.col("component").alias("there"))
     cold = shared.filter("not hot").select("meeting", "id").join(met, "meeting").select(F.lit(False).alias("hot"), F.col("there").alias("meeting"), "id").distinct()
-    placed = cold.unionByName(shared.filter("hot").select("hot", "meeting", "id"))
+    placed = cold.unionByName(_hot_gathered(shared))
     placed = placed.join(places, F.col("id") == F.col("own")).select("hot", "meeting", F.col("rep").alias("id"), "component")
     placed = _by_meeting(_gathered(_by_meeting(placed, buckets // 8)), buckets // 8)
 

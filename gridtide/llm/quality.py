@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridtide.llm.words import SPACED, Words, forget_others, gram_hashes, mix, text_chunks
+from gridtide.llm.words import SPACED, Words, forget_others, give_back, gram_hashes, mix, text_chunks
 
 #: Labelled rows the trees are fitted on, at most: those of least hash of their id.
 SAMPLE_ROWS = 20_000
@@ -229,5 +229,6 @@ def score_quality(df: DataFrame, trees: Trees, column: str = "text", score: str
             for a, b in text_chunks(batch[column]):
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*(part[n] for n in place), pa.array(trees.score(statistics(part[column])))], names=[*place, score])
+            give_back()
 
     return df.mapInArrow(run, T.StructType([*kept, T.StructField(score, T.DoubleType())]))

@@ -30,6 +30,9 @@ SESSION_SETTINGS = {
 }
 
 
+#: What Python workers are handed at once: a few chunks of text, not ten thousand rows of whatever length.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
 #: Bytes of input that one shuffle partition should stand for, and the widths between which that holds.
 SHUFFLE_BYTES = 128 << 20
 SHUFFLE_WIDTHS = (200, 200_000)
@@ -56,16 +59,16 @@ def get_session(
     return builder.getOrCreate()
 
 
-def pinned_session(spark: SparkSession) -> SparkSession:
-    """``spark`` if it has the library's settings, else a session beside it that has them.
+def pinned_session(spark: SparkSession, settings: Mapping[str, str] = SESSION_SETTINGS) -> SparkSession:
+    """``spark`` if it has the library's ``settings``, else a session beside it that has them.
 
     The other session shares the context and copies the settings of ``spark``;
     ``spark`` itself is not changed.
     """
-    if all(spark.conf.get(k, None) == v for k, v in SESSION_SETTINGS.items()):
+    if all(spark.conf.get(k, None) == v for k, v in settings.items()):
         return spark
     beside = spark.newSession()
-    for key, value in {**spark.conf.getAll, **SESSION_SETTINGS}.items():
+    for key, value in {**spark.conf.getAll, **settings}.items():
         if beside.conf.isModifiable(key):
             beside.conf.set(key, value)
     return beside

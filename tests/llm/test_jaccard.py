@@ -76,6 +76,29 @@ def test_hot_signatures_are_spread_and_lose_nothing(spark, monkeypatch):
     assert result(jaccard.near_duplicates(df)) == brute(rows)
 
 
+def test_a_group_of_near_copies_meets_a_few_times(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 5)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(k, " ".join(edited(base, rng, 0.01))) for k in range(400)] + [(1000 + k, " ".join([f"v{k}.{j}" for j in range(60)])) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    placed, store = [], jaccard._by_meeting
+    monkeypatch.setattr(jaccard, "_by_meeting", lambda rows, buckets: placed.append(rows.count()) or store(rows, buckets))
+    assert result(jaccard.near_duplicates(df)) == brute(rows)
+    assert placed[0] <= 12 * len(rows)
+
+
+def test_hot_meetings_of_like_members_are_one_and_keep_every_pair(spark):
+    sets = {1: range(100), 2: range(100), 3: range(1, 100), 4: range(2, 99), 5: range(500, 520), 6: [0, 500]}
+    rows = [(True, m, i, 0) for m, ids in sets.items() for i in ids] + [(False, 0, 700, 0)]
+    found = {}
+    for r in jaccard._hot_gathered(spark.createDataFrame(rows, "hot boolean, meeting long, id long, lead long")).collect():
+        assert r["hot"]
+        found.setdefault(r["meeting"], set()).add(r["id"])
+    assert len(found) <= 5
+    assert all(any(set(ids) <= members for members in found.values()) for ids in sets.values())
+
+
 def test_pieces_of_a_large_group_lose_nothing(spark, corpus, monkeypatch):
     monkeypatch.setattr(jaccard, "PIECE", 7)
     df = spark.createDataFrame(corpus, "doc_id long, text string").repartition(3)

@@ -118,3 +118,19 @@ def test_stages_on_an_empty_table(spark, sf_dir, documents):
         assert docs.collect() == []
 
 
+
+
+def test_pipeline_hands_small_batches_to_workers_and_leaves_the_session(spark, tmp_path, monkeypatch):
+    key, asked = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(key)
+    rows = [(k, "x" * 2000) for k in range(10)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def same(session, docs, sf_dir):
+        asked.append((session.conf.get(key), docs.sparkSession.conf.get(key)))
+        return docs
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("first", same), ("last", same)])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 10
+    assert asked == [("4m", "4m")] * 2
+    assert spark.conf.get(key) == before != "4m"
