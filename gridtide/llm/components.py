@@ -13,7 +13,7 @@ from gridtide.session import scratch_folder
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to a new folder below ``spark.checkpoint.dir`` and read again."""
     folder = scratch_folder(df.sparkSession, label)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.parquet(folder)
 
 
@@ -25,7 +25,7 @@ def stored_by(df: DataFrame, label: str, column: str, buckets: int) -> DataFrame
     """
     spark = df.sparkSession
     name, folder = f"{label}_{uuid.uuid4().hex}", scratch_folder(spark, label)
-    writer = df.write.format("parquet").option("path", folder)
+    writer = df.write.format("parquet").option("path", folder).option("compression", "zstd")
     writer.bucketBy(buckets, column).saveAsTable(name)
     opened = spark.table(name)
     spark.sql(f"DROP TABLE {name}")

@@ -339,6 +339,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 first, value = _sets(batch["text"].slice(a, b - a))
                 sets = [_planes(np.concatenate((value[x : x + 1], np.diff(value[x:y])))) for x, y in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a), pa.array(sets, pa.binary())], names=["id", "hashes"])
+            give_back()
 
     sets = docs.join(ids, "id", "left_semi").mapInArrow(pack, "id long, hashes binary")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("hashes").alias(f"hashes_{c}"))

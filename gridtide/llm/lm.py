@@ -15,7 +15,7 @@ A token's probability is the mean over several samples.
 All of it is spread by word: a bucket of words has the words' counts in all
 contexts, and of the rest of the model only the totals of its contexts'
 restaurants matter.  Between rounds they are summed up by parts of the contexts
-and go back to the buckets that asked, as a frame; the driver sees a few sums
+and go back to the buckets that asked, as a frame, each bucket's seating with them; the driver sees a few sums
 over all.  Within a round a bucket corrects them by its own changes.  Texts are
 cut into blocks by ranges of their id.  A block asks for the distinct (context,
 word) pairs it holds, with their counts, and gets their probabilities back in
@@ -24,6 +24,7 @@ order, so what moves is a dictionary for each block, not a row for each token.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,8 @@ ROUNDS, SWEEPS, SAMPLES = 3, 2, 3
 SINGLY = 64
 #: Bytes of text in a block, about, and tokens of one part of the input packed at once.
 BLOCK_BYTES = 12_000_000
+#: Bytes of text for each part of the contexts, about; however many buckets there are, each has one message for a part.
+PART_BYTES = 32_000_000
 FLUSH = 1 << 20
 
 _WORD = np.uint64((1 << 64) - CONTEXTS)
@@ -75,17 +78,30 @@ def pair_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     words = Words(column, SPACED)
     n = len(words.counts)
-    hashes = words.hashes()
-    text = np.concatenate((words.text, np.arange(n)))
-    order = np.argsort(text, kind="stable")  # each text's words, then its end
-    text = text[order]
-    word = np.concatenate((hashes, np.full(n, _END, dtype=np.uint64)))[order]
+    text = np.repeat(np.arange(n), words.counts + 1)
+    word = np.full(len(text), _END, dtype=np.uint64)  # each text's words, then its end
+    word[np.arange(len(words.text)) + words.text] = words.hashes()
     before = np.concatenate((np.zeros(1, np.uint64), word[:-1]))
     before[np.concatenate(([True], text[1:] != text[:-1]))] = _START
     context = mix(before)
     return text, (word & _WORD) | (context & np.uint64(CONTEXTS - 1)), context >> _REST
 
 
+def _order(key: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Places of the pairs in ascending order; equal pairs in any."""
+    order = np.argsort(key)
+    k, r = key[order], rest[order]
+    same = k[1:] == k[:-1]
+    unlike = same & (r[1:] != r[:-1])
+    if unlike.any():  # few keys have several rests
+        run = np.concatenate(([0], np.cumsum(~same)))
+        mixed = np.zeros(run[-1] + 1, dtype=bool)
+        mixed[run[1:][unlike]] = True
+        at = np.flatnonzero(mixed[run])
+        order[at] = order[at][np.lexsort((r[at], k[at]))]
+    return order
+
+
 def _fresh(key: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """Where sorted pairs differ from the one before."""
     return np.concatenate(([True], (key[1:] != key[:-1]) | (rest[1:] != rest[:-1])))
@@ -99,7 +115,7 @@ def _asked(docs: DataFrame, buckets: int) -> DataFrame:
         rows: dict[str, list] = {"bucket": [], "block": [], "keys": [], "rests": [], "counts": []}
         for one in np.unique(block):
             mine = block == one
-            order = np.lexsort((rest[mine], key[mine]))
+            order = _order(key[mine], rest[mine])
             k, r, c = key[mine][order], rest[mine][order], learn[mine][order].astype(np.int64)
             begin = np.flatnonzero(_fresh(k, r))
             k, r, c = k[begin], r[begin], np.add.reduceat(c, begin).astype(np.uint32)
@@ -140,7 +156,7 @@ def _merged(asked: DataFrame) -> DataFrame:
         key, rest = np.concatenate(keys), np.concatenate([_unplaned(r.as_py(), np.uint64) for r in rows["rests"]])
         counts = np.concatenate([_unplaned(c.as_py(), np.uint32) for c in rows["counts"]])
         del keys
-        order = np.lexsort((rest, key))
+        order = _order(key, rest)
         new = _fresh(key[order], rest[order])
         place = np.empty(len(order), np.uint32)
         place[order] = np.cumsum(new) - 1
@@ -194,18 +210,25 @@ def seat(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.rand
 class Sampler:
     """The seating of one bucket's words, from one table each on through some rounds of given totals."""
 
-    def __init__(self, pairs: np.ndarray, counts: np.ndarray, history: list[Totals], seed: int, context: np.ndarray | None = None) -> None:
-        """``context`` numbers the pairs' contexts as the totals do; without it the last bits of the pairs are the numbers."""
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray, history: list[Totals], seed: int, context: np.ndarray | None = None, state: bytes | None = None) -> None:
+        """``context`` numbers the pairs' contexts as the totals do; without it the last bits of the pairs are the numbers.
+
+        With ``state`` the seating goes on from there, not from one table each.
+        """
         self.context = (pairs & np.uint64(CONTEXTS - 1)).astype(np.int64) if context is None else context
         word = pairs & _WORD
         new = np.concatenate(([True], word[1:] != word[:-1]))
         self.word = np.cumsum(new) - 1
         self.begin = np.flatnonzero(new)
         self.counts = counts.astype(np.int64)
+        self.several = np.flatnonzero(self.counts > 1)  # all others have a table for each customer
         self.rng = np.random.default_rng(seed)
         self.tables = np.minimum(self.counts, 1).astype(float)
+        if state is not None:
+            tables, parent_tables, self.rng.bit_generator.state = pickle.loads(state)
+            self.tables[self.several] = _unplaned(tables, np.uint64)
         self.parent = np.add.reduceat(self.tables, self.begin)
-        self.parent_tables = np.minimum(self.parent, 1)
+        self.parent_tables = np.minimum(self.parent, 1) if state is None else _unplaned(parent_tables, np.uint64).astype(float)
         self.word_counts = np.add.reduceat(self.counts, self.begin)
         for k, totals in enumerate(history):
             self.contexts = len(totals.tables)
@@ -214,6 +237,11 @@ class Sampler:
             for _ in range(SWEEPS if k < len(history) - 1 else 0):
                 self.sweep()
 
+    def state(self) -> bytes:
+        """All that the next round needs to go on: tables of several customers, the parent's, and the generator."""
+        tables = (_planes(x.astype(np.uint64)) for x in (self.tables[self.several], self.parent_tables))
+        return pickle.dumps((*tables, self.rng.bit_generator.state))
+
     def own_tables(self) -> np.ndarray:
         return np.bincount(self.context, weights=self.tables, minlength=self.contexts)
 
@@ -225,8 +253,9 @@ class Sampler:
 
     def sweep(self) -> None:
         t = self.totals
-        fresh = (STRENGTH + DISCOUNT * t.tables[self.context]) * self.base()[self.word]
-        self.tables = seat(self.counts, fresh, DISCOUNT, self.rng)
+        at = self.several
+        fresh = (STRENGTH + DISCOUNT * t.tables[self.context[at]]) * self.base()[self.word[at]]
+        self.tables[at] = seat(self.counts[at], fresh, DISCOUNT, self.rng)
         self.parent = np.add.reduceat(self.tables, self.begin)
         rest = (PARENT_STRENGTH + PARENT_DISCOUNT * t.parent_tables) / (t.words + 1)
         self.parent_tables = seat(self.parent.astype(np.int64), np.full(len(self.parent), rest), PARENT_DISCOUNT, self.rng)
@@ -241,33 +270,29 @@ class Sampler:
 
 
 class Bucket:
-    """One bucket's pairs, their contexts numbered, and the seating after some rounds."""
+    """One bucket's pairs, their contexts numbered, and the seating that the round before left."""
 
-    def __init__(self, row: dict, told: list[dict], sums: list[dict]) -> None:
+    def __init__(self, row: dict, told: list[dict], sums: dict | None) -> None:
         self.pairs, self.counts = np.cumsum(_unplaned(row["pairs"], np.uint64)), _unplaned(row["counts"], np.uint64)
         whole = (_unplaned(row["rests"], np.uint64) << _LOW) | (self.pairs & np.uint64(CONTEXTS - 1))
         self.contexts, context = np.unique(whole, return_inverse=True)
-        history, customers = [], np.zeros(0)
-        for k, one in enumerate(sums):
-            mine = sorted((t for t in told if t["round"] == k), key=lambda t: t["part"])
-            joined = lambda c: np.concatenate([_unplaned(t[c], np.uint64) for t in mine]).astype(float)  # noqa: B023, E731
-            customers = customers if k else joined("customers")
-            history.append(Totals(customers, joined("tables"), one["parent_tables"], one["words"], float(one["tables"])))
-        self.seating = Sampler(self.pairs, self.counts, history, row["bucket"], context)
+        history, state = [], None
+        if sums is not None:
+            mine = sorted((t for t in told if t["state"] is None), key=lambda t: t["part"])
+            state = next((t["state"] for t in told if t["state"] is not None), None)
+            joined = lambda c: np.concatenate([_unplaned(t[c], np.uint64) for t in mine]).astype(float)
+            history = [Totals(joined("customers"), joined("tables"), sums["parent_tables"], sums["words"], float(sums["tables"]))]
+        self.seating = Sampler(self.pairs, self.counts, history, row["bucket"], context, state)
 
     def by_context(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.seating.context, weights=weights, minlength=len(self.contexts)).astype(np.uint64)
 
 
-_TOLD = "bucket int, part int, customers binary, tables binary, n_customers long, n_tables long, words long, parent_tables long"
+_TOLD = "bucket int, part int, customers binary, tables binary, n_customers long, n_tables long, words long, parent_tables long, state binary"
 
 
-def _with_told(rows: DataFrame, told: list[DataFrame], f, schema: str) -> DataFrame:
-    """``f`` of each bucket's row and what it was told in the rounds so far."""
-    every = None
-    for k, one in enumerate(told):
-        one = one.select("bucket", F.lit(k).alias("round"), "part", "customers", "tables")
-        every = one if every is None else every.unionByName(one)
+def _with_told(rows: DataFrame, told: DataFrame | None, f, schema: str) -> DataFrame:
+    """``f`` of each bucket's row and what it was told in the round before."""
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,18 +302,24 @@ def _with_told(rows: DataFrame, told: list[DataFrame], f, schema: str) -> DataFr
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.concat_tables([f(row, right.to_pylist()) for row in left.to_pylist()])
 
-    return rows.mapInArrow(alone, schema) if every is None else rows.groupBy("bucket").cogroup(every.groupBy("bucket")).applyInArrow(both, schema)
+    if told is None:
+        return rows.mapInArrow(alone, schema)
+    told = told.select("bucket", "part", "customers", "tables", "state")
+    return rows.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(both, schema)
+
 
+def _counted(merged: DataFrame, told: DataFrame | None, sums: dict | None, parts: int) -> tuple[DataFrame, dict]:
+    """What each bucket is told of its contexts after one more round, and the sums over all; at first of one table for each pair and word.
 
-def _counted(merged: DataFrame, told: list[DataFrame], sums: list[dict], parts: int) -> tuple[DataFrame, dict]:
-    """What each bucket is told of its contexts after the rounds so far, and the sums over all; at first of one table for each pair and word."""
-    own = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("contexts", "customers", "tables")), ("words", pa.int64()), ("parent_tables", pa.int64())])
-    back = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("customers", pa.binary()), ("tables", pa.binary()), *((c, pa.int64()) for c in ("n_customers", "n_tables", "words", "parent_tables"))])
+    A bucket's seating goes along, so that no round repeats those before it.
+    """
+    own = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("contexts", "customers", "tables")), ("words", pa.int64()), ("parent_tables", pa.int64()), ("state", pa.binary())])
+    back = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("customers", pa.binary()), ("tables", pa.binary()), *((c, pa.int64()) for c in ("n_customers", "n_tables", "words", "parent_tables")), ("state", pa.binary())])
 
     def asked(row: dict, heard: list[dict]) -> pa.Table:
         b = Bucket(row, heard, sums)
         s = b.seating
-        for _ in range(SWEEPS if sums else 0):
+        for _ in range(SWEEPS if sums is not None else 0):
             s.sweep()
         customers, tables = b.by_context(s.counts), b.by_context(s.tables)
         part = ((b.contexts >> np.uint64(20)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
@@ -300,27 +331,31 @@ def _counted(merged: DataFrame, told: list[DataFrame], sums: list[dict], parts:
                 "part": int(part[x]), "bucket": row["bucket"], "contexts": _planes(_gaps(b.contexts[x:y])), "customers": _planes(customers[x:y]), "tables": _planes(tables[x:y]),
                 "words": first * int((s.word_counts > 0).sum()), "parent_tables": first * int(s.parent_tables.sum()),
             })
+        if sums is not None:
+            rows.append({"part": -1 - row["bucket"], "bucket": row["bucket"], "words": 0, "parent_tables": 0, "state": s.state()})
         return pa.Table.from_pylist(rows, schema=own)
 
     def added(rows: pa.Table) -> pa.Table:
+        if rows["part"][0].as_py() < 0:  # a bucket's own seating
+            return pa.Table.from_pylist([{**r, "n_customers": 0, "n_tables": 0} for r in rows.drop_columns(["contexts"]).to_pylist()], schema=back)
         contexts = [np.cumsum(_unplaned(c.as_py(), np.uint64)) for c in rows["contexts"]]
         ends = np.cumsum([len(c) for c in contexts])[:-1]
         place = np.unique(np.concatenate(contexts), return_inverse=True)[1]
-        out = {"bucket": rows["bucket"], "part": rows["part"], "words": rows["words"], "parent_tables": rows["parent_tables"]}
+        out = {"bucket": rows["bucket"], "part": rows["part"], "words": rows["words"], "parent_tables": rows["parent_tables"], "state": rows["state"]}
         for c in ("customers", "tables"):
             total = np.bincount(place, weights=np.concatenate([_unplaned(x.as_py(), np.uint64) for x in rows[c]])).astype(np.uint64)
             out[c] = pa.array([_planes(x) for x in np.split(total[place], ends)], pa.binary())
             out[f"n_{c}"] = pa.array([int(total.sum()), *[0] * (rows.num_rows - 1)], pa.int64())
         return pa.table([out[n] for n in back.names], schema=back)
 
-    schema = "part int, bucket int, contexts binary, customers binary, tables binary, words long, parent_tables long"
+    schema = "part int, bucket int, contexts binary, customers binary, tables binary, words long, parent_tables long, state binary"
     sent = _with_told(merged.select("bucket", "pairs", "rests", "counts"), told, asked, schema)
     heard = stored(sent.groupBy("part").applyInArrow(added, _TOLD), "totals")
     one = heard.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("n_customers", "tokens"), ("n_tables", "tables"), ("words", "words"), ("parent_tables", "parent_tables"))))
     return heard, one.first().asDict()
 
 
-def _answered(merged: DataFrame, told: list[DataFrame], sums: list[dict]) -> DataFrame:
+def _answered(merged: DataFrame, told: DataFrame, sums: dict) -> DataFrame:
     """(block, bucket, scores, counts): for each block log10 of its pairs' mean probability, and the words' counts, in the order of the pairs."""
     kinds = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("scores", pa.binary()), ("counts", pa.binary())])
 
@@ -338,7 +373,7 @@ def _answered(merged: DataFrame, told: list[DataFrame], sums: list[dict]) -> Dat
         give_back()
         places = [np.cumsum(_unplaned(raw, np.uint32)) for raw in row["places"]]
         n = len(places)
-        return pa.table([row["blocks"], [row["bucket"]] * n, [scores[at].tobytes() for at in places], [_planes(words[at]) for at in places]], schema=kinds)
+        return pa.table([row["blocks"], [row["bucket"]] * n, [_planes(scores[at]) for at in places], [_planes(words[at]) for at in places]], schema=kinds)
 
     return _with_told(merged, told, run, "block int, bucket int, scores binary, counts binary")
 
@@ -360,13 +395,13 @@ def _scored(docs: DataFrame, answers: DataFrame, sums: dict) -> DataFrame:
         text, key, rest = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
         # The answers, bucket after bucket, are those to the block's distinct pairs in order.
-        order = np.lexsort((rest, key))
+        order = _order(key, rest)
         place = np.cumsum(_fresh(key[order], rest[order])) - 1
         text = text[order]
         del key, rest, order
         give_back()
         right = right.sort_by("bucket")
-        scores = np.concatenate([np.frombuffer(s.as_py(), dtype=np.float32) for s in right["scores"]])
+        scores = np.concatenate([_unplaned(s.as_py(), np.float32) for s in right["scores"]])
         counts = np.concatenate([_unplaned(c.as_py(), np.uint64) for c in right["counts"]])
         if len(scores) != place[-1] + 1:
             raise ValueError(f"{len(scores)} answers to {place[-1] + 1} pairs of a block")
@@ -396,20 +431,18 @@ def score_texts(df: DataFrame, learn: str, document: str = "doc_id", column: str
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = df.select(F.col(document).cast("long").alias("id"), F.coalesce(column, F.lit("")).alias("text"), F.coalesce(F.col(learn), F.lit(False)).alias("learn"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(partitions, -(-size // BLOCK_BYTES))
+    blocks = max(1, -(-size // BLOCK_BYTES))
     cuts = docs.agg(F.percentile_approx("id", [k / blocks for k in range(1, blocks)] or [0.5], 100 * blocks)).first()[0]
     cuts = sorted(set(cuts or []))
     block = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
     docs = docs.withColumn("block", F.when(F.col("id").isNull(), F.lit(0)).otherwise(block).cast("int"))
     # Every round meets the pairs where they lie; only what buckets are told is exchanged.
     merged = stored_by(_merged(_asked(docs, 8 * partitions)), "counts", "bucket", 2 * partitions)
-    told: list[DataFrame] = []
-    sums: list[dict] = []
+    told = sums = None
     for _ in range(ROUNDS):
-        heard, one = _counted(merged, told, sums, partitions // 4 + 1)
-        told, sums = [*told, heard], [*sums, one]
-    scored = _scored(docs, _answered(merged, told, sums), sums[-1])
-    return scored.select(F.col("id").alias(document), "n_tokens", "n_known", F.lit(sums[-1]["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+        told, sums = _counted(merged, told, sums, size // PART_BYTES + 1)
+    scored = _scored(docs, _answered(merged, told, sums), sums)
+    return scored.select(F.col("id").alias(document), "n_tokens", "n_known", F.lit(sums["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

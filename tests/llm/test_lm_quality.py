@@ -154,3 +154,48 @@ def test_labels_that_teach_nothing(spark):
     one = spark.createDataFrame([(1, 1), (1, 1), (2, 1), (None, 0), (2, None), (77, 0)], "doc_id long, quality int")
     assert all(r["score"] > 0.9 for r in quality.score_quality(docs, quality.learn_quality(docs, one)).collect())
     assert quality.score_quality(docs.limit(0), quality.learn_quality(docs.limit(0), one)).collect() == []
+
+
+def test_seating_goes_on_from_its_state():
+    rng = np.random.default_rng(4)
+    pairs = np.unique(rng.integers(0, 2**63, 400, dtype=np.uint64))
+    counts = rng.integers(0, 90, len(pairs)).astype(np.uint64)
+    context = rng.integers(0, 9, len(pairs))
+    customers = np.bincount(context, weights=counts, minlength=9)
+    totals = [lm.Totals(customers, customers // k, 100.0 * k, 400) for k in (2, 3)]
+    whole = lm.Sampler(pairs, counts, totals, 7, context)  # repeats the first round
+    first = lm.Sampler(pairs, counts, totals[:1], 7, context)
+    for _ in range(lm.SWEEPS):
+        first.sweep()
+    second = lm.Sampler(pairs, counts, totals[1:], 7, context, first.state())
+    for _ in range(2):
+        whole.sweep()
+        second.sweep()
+        assert np.array_equal(whole.tables, second.tables) and np.array_equal(whole.parent_tables, second.parent_tables)
+    assert np.array_equal(whole.probability(), second.probability())
+
+
+def test_order_of_pairs_is_that_of_both_columns():
+    rng = np.random.default_rng(6)
+    for n, keys, rests in ((0, 1, 1), (1, 1, 1), (500, 40, 3), (500, 3, 500), (500, 500, 1)):
+        key, rest = rng.integers(0, keys, n).astype(np.uint64), rng.integers(0, rests, n).astype(np.uint64)
+        order, plain = lm._order(key, rest), np.lexsort((rest, key))
+        assert sorted(order.tolist()) == list(range(n))
+        assert np.array_equal(key[order], key[plain]) and np.array_equal(rest[order], rest[plain])
+
+
+def test_messages_follow_the_text_not_the_partitions(spark, monkeypatch):
+    """A bucket has a message for each part of the contexts and each block; more shuffle partitions are more buckets, not more of those, too."""
+    parts, blocks, count, score = [], [], lm._counted, lm._scored
+    monkeypatch.setattr(lm, "_counted", lambda merged, told, sums, n: parts.append(n) or count(merged, told, sums, n))
+    monkeypatch.setattr(lm, "_scored", lambda docs, answers, sums: blocks.append(answers.select("block").distinct().count()) or score(docs, answers, sums))
+    docs = spark.createDataFrame([(k, f"a b{k % 7} c{k} a b", k % 3 > 0) for k in range(60)], "doc_id long, text string, learn boolean")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("2", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert lm.score_texts(docs, "learn").count() == 60
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert set(parts) == {1}
+    assert max(blocks) <= 2
