@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 
 from gridtide.session import scratch_folder
 
+#: Rows of a few numbers that fill a task.
+ROWS = 1 << 16
+
+
+def filled(df: DataFrame, rows: int, each: int = ROWS) -> DataFrame:
+    """``df`` in no more tasks than about ``rows`` rows fill with ``each`` of them, but one for each core.
+
+    What a shuffle made of a few rows is read by a few tasks, and they write a
+    few files, however many partitions shuffles have.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to a new folder below ``spark.checkpoint.dir`` and read again."""
@@ -36,7 +48,7 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(u, v): every node of ``edges`` that is not the least of its component, with the least.
 
     ``edges`` has the long columns ``u`` and ``v``; direction, order, loops and
@@ -44,19 +56,22 @@ def components(edges: DataFrame) -> DataFrame:
     no rows.  Each round hangs the neighbours of every node on the least of
     them, first the greater neighbours and then all others, until nothing
     changes; rounds grow with the logarithm of the largest component.  Every
-    round is stored, so a lost executor costs one round at most.
+    round is stored, so a lost executor costs one round at most.  A round's
+    tasks follow its edges; ``rows`` says about how many there are at first.
     """
     ordered = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = stored(ordered, "edges")
+    e = stored(ordered if rows is None else filled(ordered, rows), "edges")
     before = _state(e)
     while before[0]:
+        rows = 2 * before[0]
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large, "edges")
+        large = stored(filled(large, rows), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(hung.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        again = filled(hung.unionByName(least.select("u", F.col("m").alias("v"))), rows).distinct()
+        e = stored(filled(again, rows), "edges")
         after = _state(e)
         if after == before:
             return e

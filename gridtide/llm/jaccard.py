@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridtide.llm.components import components, relabelled, stored, stored_by
+from gridtide.llm.components import ROWS, components, filled, relabelled, stored, stored_by
 from gridtide.llm.words import SPACED, Words, forget_others, give_back, mix, shingles, text_chunks
 
 SHINGLE = 5
@@ -60,6 +60,11 @@ FLUSH = 1 << 19
 NEAREST = 3
 #: Members of a meeting that are compared in one group; more are cut into pieces, compared two by two.
 PIECE = 4000
+#: Rows with a sketch, and rows with a text or a shingle set, that fill a task.
+SKETCHES = 1 << 13
+SETS = 1 << 10
+#: Meetings that a document has, about, before they are counted.
+MET = 16
 
 _XOR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -315,10 +320,10 @@ def _meetings(bucketed: DataFrame) -> DataFrame:
     return bucketed.groupBy("bucket").applyInArrow(run, schema).distinct()
 
 
-def _plausible(pairs: DataFrame, described: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and bit sketches do not rule out."""
+def _plausible(pairs: DataFrame, described: DataFrame, percent: int, rows: int) -> DataFrame:
+    """The pairs (a, b), about ``rows``, that sizes and bit sketches do not rule out."""
     side = lambda c: described.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "n_a", "sketch_a", "b", "n_b", "sketch_b")
+    joined = filled(pairs.join(side("a"), "a"), rows, SKETCHES).join(side("b"), "b").select("a", "n_a", "sketch_a", "b", "n_b", "sketch_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -326,11 +331,12 @@ def _plausible(pairs: DataFrame, described: DataFrame, percent: int) -> DataFram
             keep = pa.array([may_link(*x, percent) for x in zip(*columns, strict=True)], pa.bool_())
             yield batch.select(["a", "b"]).filter(keep)
 
-    return joined.mapInArrow(run, "a long, b long")
+    return filled(joined, rows, SKETCHES).mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets reach the similarity."""
+    """The pairs (a, b) whose whole shingle sets reach the similarity; ``pairs`` is stored."""
+    rows = pairs.count()
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,9 +347,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch["id"].slice(a, b - a), pa.array(sets, pa.binary())], names=["id", "hashes"])
             give_back()
 
-    sets = docs.join(ids, "id", "left_semi").mapInArrow(pack, "id long, hashes binary")
+    sets = filled(docs.join(ids, "id", "left_semi"), 2 * rows, SETS).mapInArrow(pack, "id long, hashes binary")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("hashes").alias(f"hashes_{c}"))
-    joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "hashes_a", "hashes_b")
+    joined = filled(pairs.join(side("b"), "b"), rows, SETS).join(side("a"), "a").select("a", "b", "hashes_a", "hashes_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -355,7 +361,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, "a long, b long")
+    return filled(joined, rows, SETS).mapInArrow(run, "a long, b long")
 
 
 def _unlike_pairs(n: np.ndarray, bits: np.ndarray, component: np.ndarray, piece: np.ndarray | None, percent: int, most: int | None) -> Iterator[tuple[int, np.ndarray]]:
@@ -430,11 +436,11 @@ def _across(rows: DataFrame, percent: int, buckets: int, most: int | None = None
     return dealt.groupBy(bucket).applyInArrow(run, "id long, others array<long>, hot boolean, meeting long")
 
 
-def _pairs(lists: DataFrame) -> DataFrame:
-    """(a, b) of documents and their candidates; what they met more than once is dropped before it becomes rows."""
+def _pairs(lists: DataFrame, rows: int) -> DataFrame:
+    """(a, b) of documents and their candidates, in ``rows`` lists; what they met more than once is dropped before it becomes rows."""
     once = lists.filter("id is not null").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
-    pairs = once.select("id", F.explode("others").alias("other"))
-    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    pairs = filled(once, rows, SETS).select("id", F.explode("others").alias("other"))
+    return filled(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), rows, SETS)
 
 
 def _by_meeting(placed: DataFrame, buckets: int) -> DataFrame:
@@ -446,21 +452,21 @@ def _by_meeting(placed: DataFrame, buckets: int) -> DataFrame:
     return stored_by(rows.select("hot", "meeting", "id", "component"), "placed", "meeting", buckets)
 
 
-def _hot_gathered(shared: DataFrame) -> DataFrame:
+def _hot_gathered(shared: DataFrame, many: int = ROWS) -> DataFrame:
     """(hot, meeting, id) of the hot meetings, those of like members as one; every pair of members is still together.
 
     A large group of near copies meets in every signature that no edit touched.
     Of meetings with the same members, told by their number and two sums of
     hashes, one stays; those with the same member of least hash become one,
-    which is as likely as their members are alike.
+    which is as likely as their members are alike.  ``shared`` has about ``many`` rows.
     """
-    rows = shared.filter("hot").select("meeting", "id").distinct()
+    rows = filled(shared.filter("hot").select("meeting", "id").distinct(), many)
     found = rows.groupBy("meeting").agg(
         F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
         F.min(F.xxhash64("id", F.lit(2))).alias("name"),
     )
-    kept = found.groupBy("members", "x", "y", "name").agg(F.min("meeting").alias("meeting"))
-    named = rows.join(kept.select("meeting", "name"), "meeting").select("name", "id").distinct()
+    kept = filled(filled(found, many).groupBy("members", "x", "y", "name").agg(F.min("meeting").alias("meeting")), many)
+    named = filled(filled(rows.join(kept.select("meeting", "name"), "meeting"), many).select("name", "id").distinct(), many)
     return named.select(F.lit(True).alias("hot"), F.col("name").alias("meeting"), "id")
 
 
@@ -513,30 +519,33 @@ def near_duplicates(df: DataFrame, document: str = "doc_id", column: str = "text
     every = df.select(F.col(document).cast("long").alias("id"), F.col(column).alias("text"))
     docs = every.filter("id is not null")
     described = stored(_described(every), "described")
+    many = described.count()
     # Equal sets are one node: the least id that has them.
     with_set = described.filter("n > 0 and id is not null")
     copies = with_set.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
-    nodes = stored(with_set.join(copies, ["n", "k1", "k2"]).select("id", "rep", "n", "sketch"), "nodes")
-    reps = nodes.select(F.col("id").alias("own"), "rep").distinct()
-    heads = nodes.filter("id = rep").distinct().select("id", "n", "sketch")
-    shared = stored(_meetings(_bucketed(docs, percent, buckets)), "meetings")
+    nodes = stored(filled(with_set.join(copies, ["n", "k1", "k2"]).select("id", "rep", "n", "sketch"), many, SKETCHES), "nodes")
+    reps = filled(nodes.select(F.col("id").alias("own"), "rep").distinct(), many)
+    heads = filled(nodes.filter("id = rep").distinct().select("id", "n", "sketch"), many, SKETCHES)
+    shared = stored(filled(_meetings(_bucketed(docs, percent, buckets)), MET * many), "meetings")
+    met = shared.count()
     # First round: each member of a signature with the least one.
-    stars = shared.filter("id <> lead").select("id", "lead").distinct()
-    stars = stars.join(reps, F.col("id") == F.col("own")).select(F.col("rep").alias("x"), "lead")
-    stars = stars.join(reps, F.col("lead") == F.col("own")).select("x", F.col("rep").alias("y"))
-    pairs = stars.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = stored(_verified(stored(_plausible(pairs, heads, percent), "pairs"), docs, percent), "links")
+    stars = filled(shared.filter("id <> lead").select("id", "lead").distinct(), met)
+    stars = filled(stars.join(reps, F.col("id") == F.col("own")).select(F.col("rep").alias("x"), "lead"), met)
+    stars = filled(stars.join(reps, F.col("lead") == F.col("own")).select("x", F.col("rep").alias("y")), met)
+    pairs = filled(stars.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), met)
+    links = stored(_verified(stored(_plausible(pairs, heads, percent, met), "pairs"), docs, percent), "links")
     # The sets of an id with several texts belong together.
     several = reps.groupBy("own").agg(F.min("rep").alias("b"), F.max("rep").alias("high")).filter("b < high")
-    several = several.join(reps, "own").select(F.col("rep").alias("u"), F.col("b").alias("v"))
-    joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(several))
+    several = filled(several.join(reps, "own").select(F.col("rep").alias("u"), F.col("b").alias("v")), many)
+    joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(several), many)
     # Meetings whose least documents are in one component by now become one, so that no two documents
     # meet over and over.
-    places = stored(relabelled(reps.withColumn("component", F.col("rep")), "component", joined), "places")
-    met = places.select(F.col("own").alias("meeting"), F.col("component").alias("there"))
-    cold = shared.filter("not hot").select("meeting", "id").join(met, "meeting").select(F.lit(False).alias("hot"), F.col("there").alias("meeting"), "id").distinct()
-    placed = cold.unionByName(_hot_gathered(shared))
-    placed = placed.join(places, F.col("id") == F.col("own")).select("hot", "meeting", F.col("rep").alias("id"), "component")
+    places = stored(filled(relabelled(reps.withColumn("component", F.col("rep")), "component", joined), many), "places")
+    there = places.select(F.col("own").alias("meeting"), F.col("component").alias("there"))
+    cold = filled(shared.filter("not hot").select("meeting", "id").join(there, "meeting"), met)
+    cold = filled(cold.select(F.lit(False).alias("hot"), F.col("there").alias("meeting"), "id").distinct(), met)
+    placed = cold.unionByName(_hot_gathered(shared, met))
+    placed = filled(placed.join(places, F.col("id") == F.col("own")).select("hot", "meeting", F.col("rep").alias("id"), "component"), met)
     placed = _by_meeting(_gathered(_by_meeting(placed, buckets // 8)), buckets // 8)
 
     def with_sketch(rows: DataFrame) -> DataFrame:
@@ -544,20 +553,21 @@ def near_duplicates(df: DataFrame, document: str = "doc_id", column: str = "text
 
     def joined_by(links: DataFrame) -> DataFrame:
         """Labels of the components that some links join; those of the round before are the nodes."""
-        of = places.select(F.col("rep").alias("id"), "component").distinct()
-        sides = links.join(of.select(F.col("id").alias("a"), F.col("component").alias("u")), "a")
-        sides = sides.join(of.select(F.col("id").alias("b"), F.col("component").alias("v")), "b")
-        return components(sides.select("u", "v"))
+        rows = links.count()
+        of = filled(places.select(F.col("rep").alias("id"), "component").distinct(), many)
+        sides = filled(links.join(of.select(F.col("id").alias("a"), F.col("component").alias("u")), "a"), rows)
+        sides = filled(sides.join(of.select(F.col("id").alias("b"), F.col("component").alias("v")), "b"), rows)
+        return components(sides.select("u", "v"), rows)
 
     # Second round: members with the likeliest others of their meeting in other components.
-    near = stored(_across(with_sketch(_mixed(placed)), percent, buckets, NEAREST), "nearest")
-    joined = joined_by(stored(_verified(stored(_pairs(near), "pairs"), docs, percent), "links"))
+    near = stored(filled(_across(with_sketch(_mixed(placed)), percent, buckets, NEAREST), met, SKETCHES), "nearest")
+    joined = joined_by(stored(_verified(stored(_pairs(near, near.count()), "pairs"), docs, percent), "links"))
     # Third round: all members of different components, where a meeting had more of them than were compared.
     unfinished = near.filter("id is null").select("meeting").distinct()
     placed = _mixed(_by_meeting(relabelled(placed.join(unfinished, "meeting", "left_semi"), "component", joined), buckets // 8))
-    places = stored(relabelled(places, "component", joined), "places")
-    more = stored(_pairs(_across(with_sketch(placed), percent, buckets)), "pairs")
+    places = stored(filled(relabelled(places, "component", joined), many), "places")
+    more = stored(_pairs(_across(with_sketch(placed), percent, buckets), met), "pairs")
     joined = joined_by(stored(_verified(more, docs, percent), "links"))
     final = relabelled(places, "component", joined).select(F.col("own").alias("id"), "component").distinct()
-    found = described.select("id", "n").join(final, "id", "left")
+    found = filled(described.select("id", "n").join(final, "id", "left"), many)
     return found.select(F.col("id").alias(document), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

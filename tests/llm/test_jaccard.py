@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from gridtide.llm import components as components_module
 from gridtide.llm import jaccard
 from gridtide.llm.components import components
 
@@ -88,6 +89,27 @@ def test_a_group_of_near_copies_meets_a_few_times(spark, monkeypatch):
     assert placed[0] <= 12 * len(rows)
 
 
+def test_few_rows_take_few_tasks_whatever_the_shuffle_partitions(spark, corpus, monkeypatch):
+    beside = spark.newSession()
+    beside.conf.set("spark.sql.shuffle.partitions", "24")
+    beside.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    files = []
+    for module in (jaccard, components_module):
+        store = module.stored
+
+        def counted(df, label, store=store):
+            out = store(df, label)
+            files.append((label, len(out.inputFiles())))
+            return out
+
+        monkeypatch.setattr(module, "stored", counted)
+    df = beside.createDataFrame(corpus, "doc_id long, text string").coalesce(3)
+    assert result(jaccard.near_duplicates(df)) == brute(corpus)
+    assert {"nodes", "meetings", "pairs", "links", "edges", "places", "nearest"} <= {label for label, _ in files}
+    most = spark.sparkContext.defaultParallelism
+    assert [x for x in files if x[1] > most] == []
+
+
 def test_hot_meetings_of_like_members_are_one_and_keep_every_pair(spark):
     sets = {1: range(100), 2: range(100), 3: range(1, 100), 4: range(2, 99), 5: range(500, 520), 6: [0, 500]}
     rows = [(True, m, i, 0) for m, ids in sets.items() for i in ids] + [(False, 0, 700, 0)]
